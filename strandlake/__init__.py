@@ -1,0 +1,29 @@
+"""A PySpark-native engine for sequence, interval, copy-number and table analytics."""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
+
+def ship(spark) -> None:
+    """Send this package to the executors, once per Spark application.
+
+    Python functions that run on executors import it there; a cluster job that
+    was started with ``--py-files`` or an installed package gains nothing.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_strandlake_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp()  # Spark fetches the file as tasks need it
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder, "strandlake_src.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"strandlake/{f.relative_to(root)}")
+    context.addPyFile(str(target))
+    context._strandlake_shipped = True
