@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
-from .common import read_table
+from . import decontam, exact_dedup, html_text, langid, licenses, mixing, simhash, token_files, toxicity, warc
+from .common import fold, read_table
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document; labels are learnt from the rows outside the held-out fold."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(fold(F.col("doc_id"), 5) != 0))
+    score = toxicity.score(docs, model)
+    return score.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,8 +36,100 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+def _op3_sql() -> str:
+    rows = ", ".join("({}, '{}', '{}')".format(i + 1, k, t.replace("'", "''")) for i, (k, t) in enumerate(licenses.TEMPLATES))
+    return rf"""
+WITH t0(template, license, text) AS (VALUES {rows}),
+s0 AS (
+  SELECT DISTINCT rid, doc_id, raw FROM (
+    SELECT rid, doc_id, unnest(list_concat([text], regexp_split_to_array(text, '\n[\x20\t\r]*\n'), string_split(text, chr(10)))) AS raw
+    FROM (SELECT row_number() OVER () AS rid, doc_id, text FROM documents WHERE text IS NOT NULL))
+), s1 AS (SELECT rid, doc_id, raw, trim(regexp_replace(lower(raw), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS segment FROM s0),
+s AS (SELECT row_number() OVER () AS sid, doc_id, segment, string_split(segment, ' ') AS w FROM s1),
+sb AS (SELECT sid, w[i] || ' ' || w[i + 1] AS b, count(*) AS n FROM (SELECT sid, w, unnest(range(1, len(w))) AS i FROM s) GROUP BY ALL),
+t1 AS (SELECT template, license, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM t0),
+tb AS (SELECT template, w[i] || ' ' || w[i + 1] AS b, count(*) AS n FROM (SELECT template, w, unnest(range(1, len(w))) AS i FROM t1) GROUP BY ALL),
+hit AS (SELECT sid, template, sum(least(sb.n, tb.n)) AS shared FROM sb JOIN tb USING (b) GROUP BY ALL)
+SELECT s.doc_id, s.segment, CAST(template AS INTEGER) AS template, license, CAST(2 * shared AS DOUBLE) / (len(s.w) + len(t1.w) - 2) AS dice
+FROM hit JOIN s USING (sid) JOIN t1 USING (template) WHERE CAST(2 * shared AS DOUBLE) / (len(s.w) + len(t1.w) - 2) >= {licenses.THRESHOLD}
+"""
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page is captured in full at time 2 * page_id and asked for again a while later, with its entity tag: not modified."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("tag"))
+    name = lambda *kv: F.create_map(*[x if hasattr(x, "cast") else F.lit(x) for x in kv])
+    full = pages.select(
+        F.col("page_id").alias("record_id"), "url", (2 * F.col("page_id")).alias("ts"), F.lit(200).alias("status"),
+        name("etag", F.concat(F.lit('"'), "tag", F.lit('"')), "content-type", "text/html", "date", F.col("page_id").cast("string")).alias("headers"),
+    )
+    again = pages.select(
+        F.col("page_id").alias("record_id"), "url", (2 * F.col("page_id") + REVISIT_AFTER).alias("ts"), F.lit(304).alias("status"),
+        name("etag", F.concat(F.lit('W/"'), "tag", F.lit('"')), "content-length", "0", "date", F.concat(F.col("page_id").cast("string"), F.lit("+"))).alias("headers"),
+    )
+    found = warc.resolve(full.unionByName(again))
+    header = lambda k: F.try_element_at("merged_headers", F.lit(k))
+    return found.select(F.col("record_id").alias("page_id"), "canonical_url", "outcome", "source_record", "source_ts", header("date").alias("date"), header("content-type").alias("content_type"), header("content-length").alias("content_length"))
+
+
+REVISIT_AFTER = 2001
+OP6_SQL = rf"""
+WITH p AS (
+  SELECT page_id, md5(coalesce(html, '')) AS tag, regexp_replace(trim(url), '#.*$', '') AS bare FROM pages
+), c AS (
+  SELECT page_id, tag, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '') AS host,
+         regexp_replace(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '/+$', '') AS path,
+         list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), x -> x <> '' AND NOT regexp_matches(lower(x), '^({warc.TRACKING})(=|$)'))) AS q FROM p
+), u AS (SELECT page_id, tag, host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS curl FROM c),
+f AS (SELECT curl, 2 * page_id AS ts, max(page_id) AS rec, arg_max(tag, page_id) AS tag FROM u GROUP BY ALL),
+j AS (
+  SELECT v.page_id, v.curl, v.tag, f.ts, f.rec, f.tag AS s_tag FROM (SELECT *, 2 * page_id + {REVISIT_AFTER} - 1 AS before FROM u) v ASOF LEFT JOIN f ON v.curl = f.curl AND v.before >= f.ts
+)
+SELECT page_id, curl AS canonical_url, CASE WHEN rec IS NULL THEN 'orphan' WHEN tag = s_tag THEN 'resolved' ELSE 'mismatch' END AS outcome,
+       CASE WHEN tag = s_tag THEN rec END AS source_record, CASE WHEN tag = s_tag THEN ts END AS source_ts,
+       CASE WHEN tag = s_tag THEN page_id || '+' END AS date, CASE WHEN tag = s_tag THEN 'text/html' END AS content_type, CAST(NULL AS VARCHAR) AS content_length
+FROM j
+"""
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.count_tokens(read_table(spark, sf_dir, "documents"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; labels are learnt from the rows outside the held-out fold."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(fold(F.col("doc_id"), 3) != 1))
+    return langid.predict(docs, model).select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_license_scan": op3_license_scan,
+    "op4_simhash": op4_simhash,
     "op5_source_mix": op5_source_mix,
+    "op6_warc_revisits": op6_warc_revisits,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_main_text": op8_main_text,
+    "op9_token_counts": op9_token_counts,
+    "op10_language": op10_language,
 }
-ORACLES = {"op2_exact_dedup": OP2_SQL}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op3_license_scan": _op3_sql(), "op6_warc_revisits": OP6_SQL}
