@@ -211,12 +211,14 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATC
         found = contaminated(docs, benchmark, least, threshold, block_chars).select(F.col("doc_id").alias("__contaminated")).distinct()
         return docs.join(found, docs["doc_id"].eqNullSafe(F.col("__contaminated")), "left_anti")
     for rows in blocks:
-        shared = docs.sparkSession.sparkContext.broadcast(Index(rows(), least, threshold))  # bounded: one block
+        docs = docs.filter(~_hit(docs.sparkSession.sparkContext.broadcast(Index(rows(), least, threshold)))(docs["text"]))  # bounded: one block
+    return docs
 
-        @F.pandas_udf("boolean")
-        def hit(text: pd.Series, shared=shared) -> pd.Series:
-            index = shared.value
-            return pd.Series([bool(index.hits(t)) for t in text], dtype=bool)
 
-        docs = docs.filter(~hit(docs["text"]))
-    return docs
+def _hit(shared):
+    @F.pandas_udf("boolean")
+    def hit(text: pd.Series) -> pd.Series:
+        index = shared.value
+        return pd.Series([bool(index.hits(t)) for t in text], dtype=bool)
+
+    return hit
