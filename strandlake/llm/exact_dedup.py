@@ -10,10 +10,9 @@
    Partial aggregation comes before the shuffle, so a group with a third of all
    rows costs one row per task. Each micro-batch writes the keys it changed to a
    folder named by its batch id: a replayed batch overwrites itself.
-3. On hits (groups of two or more) the full bytes are checked: the texts of the
-   group's rows meet the text that the locator names. Members are salted by the
-   group's size, so no task gets a whole large group. Rows that share a digest
-   but not the bytes are regrouped by (digest, text).
+3. On hits (groups of two or more) the full bytes are checked: the least and the
+   greatest text of the group must be the same. Rows that share a digest but not
+   the bytes are regrouped by (digest, text).
 
 Edge cases: null text counts as empty; empty texts are one group; the row with
 most code points, then the smallest doc_id (null last), then the first locator
@@ -23,13 +22,14 @@ extra columns do no harm.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, only, shared_dir, written
 
-#: Members of one group that one salt value holds, about.
-SALT_ROWS = 2000
+#: Digests of groups with copies that are broadcast at most (about 100 bytes each).
+BROADCAST_HITS = 100_000
 ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
@@ -37,8 +37,6 @@ ROCKS = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # many small stores: don't reserve disk for logs ahead of need
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
-    # many small stores: don't reserve disk for logs ahead of need
-    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.metricsEnabled": "false",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
@@ -54,15 +52,21 @@ def digest_of(text: Column) -> Column:
     return F.sha2(normalised(text).cast("binary"), 256)
 
 
+def _has_locator(docs: DataFrame) -> bool:
+    """Whether ``docs`` is a plain scan of Parquet files, so that rows have a file and a row number."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
+
+
 def located(docs: DataFrame) -> DataFrame:
     """``docs`` as (doc_id, text, file, row): a frame that is no plain file scan is written first."""
     docs = only(docs, "doc_id", "text")
-    try:
-        return docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    except Exception as e:  # analysis: the frame has no file metadata
-        if "UNRESOLVED_COLUMN" not in str(e) and "FIELD_NOT_FOUND" not in str(e):
-            raise
-    return located(written(docs, "dedup-source"))
+    if not _has_locator(docs):
+        docs = written(docs, "dedup-source")
+    return docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
 def arrivals(docs: DataFrame, digest=digest_of) -> DataFrame:
@@ -103,18 +107,19 @@ def keep_state(spark: SparkSession, path: str, schema, files_per_batch: int | No
     return latest.groupBy("digest").agg(F.max("keep").alias("keep"), F.max("group_size").alias("group_size"))
 
 
-def checked(docs: DataFrame, hits: DataFrame, digest=digest_of) -> DataFrame:
-    """Rows of hit groups whose bytes differ from those of the row the state retains."""
-    salts = F.greatest(F.lit(1), F.ceil(F.col("group_size") / SALT_ROWS)).cast("int")
-    rows = docs.select(digest(F.col("text")).alias("digest"), normalised(F.col("text")).alias("bytes"), "file", "row")
-    hits = hits.select("digest", F.col("keep.file").alias("k_file"), F.col("keep.row").alias("k_row"), salts.alias("salts"))
-    members = rows.join(hits, "digest")
-    heads = (
-        members.filter((F.col("file") == F.col("k_file")) & (F.col("row") == F.col("k_row")))
-        .select(F.col("digest").alias("k_digest"), F.col("bytes").alias("k_bytes"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("k_salt"))
-    )
-    members = members.withColumn("salt", F.pmod(F.xxhash64("file", "row"), F.col("salts")).cast("int"))
-    return members.join(heads, (F.col("digest") == F.col("k_digest")) & (F.col("salt") == F.col("k_salt"))).filter(F.col("bytes") != F.col("k_bytes")).select("digest", "file", "row")
+def checked(docs: DataFrame, hits: DataFrame, n_hits: int, digest=digest_of) -> DataFrame:
+    """Digests of hit groups whose rows are not all of the same bytes.
+
+    All bytes of a group are equal if its least and its greatest text are; both
+    are found with partial aggregation, so a task that holds a thousand copies
+    passes on one or two texts. The hit digests are broadcast while they are few
+    (``BROADCAST_HITS``), so texts of unique documents are never shuffled; with
+    more of them the semi-join shuffles.
+    """
+    rows = docs.select(digest(F.col("text")).alias("digest"), normalised(F.col("text")).alias("bytes"))
+    hits = hits.select("digest")
+    members = rows.join(F.broadcast(hits) if n_hits <= BROADCAST_HITS else hits, "digest", "left_semi")
+    return members.groupBy("digest").agg(F.min("bytes").alias("least"), F.max("bytes").alias("most")).filter("least != most").select("digest")
 
 
 def dedup(docs: DataFrame, digest=digest_of, files_per_batch: int | None = None) -> DataFrame:
@@ -125,12 +130,12 @@ def dedup(docs: DataFrame, digest=digest_of, files_per_batch: int | None = None)
     arrivals(docs, digest).write.parquet(path)
     seen = spark.read.parquet(path)
     state = written(keep_state(spark, path, seen.schema, files_per_batch), "dedup-keys")
-    bad = written(checked(docs, state.filter("group_size > 1"), digest), "dedup-unequal")
+    hits = state.filter("group_size > 1")
+    broken = written(checked(docs, hits, hits.count(), digest), "dedup-unequal")
     rows = _decide(seen, state)
-    if bad.limit(1).count() == 0:
+    if broken.limit(1).count() == 0:
         return rows
     # different bytes under one digest: only those groups are decided anew, by the text itself
-    broken = bad.select("digest").distinct()
     again = docs.select(digest(F.col("text")).alias("digest"), normalised(F.col("text")).alias("bytes"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("points"), "doc_id", "file", "row").join(broken, "digest", "left_semi")
     groups = again.groupBy("digest", "bytes").agg(F.max(_candidate()).alias("keep"), F.count("*").alias("group_size"))
     return rows.join(broken, "digest", "left_anti").unionByName(_decide(again, groups, "digest", "bytes"))
@@ -142,7 +147,9 @@ def _decide(rows: DataFrame, state: DataFrame, *keys: str) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """All columns of the rows that stay. ``docs`` must be a plain scan of Parquet files."""
+    """All columns of the rows that stay."""
+    if not _has_locator(docs):
+        docs = written(docs, "dedup-source")
     gone = dedup(docs).filter("NOT kept").select(F.col("file").alias("__file"), F.col("row").alias("__row"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return (
