@@ -16,7 +16,7 @@ voters is trained on the model's posterior labels and scores every whole text.
 
 At most about ``FIT_ROWS`` labelled rows, chosen by a hash of the id, are used
 for fitting; all other work covers all rows. What reaches the driver is the
-hashed tokens of these rows.
+MAX_FEATURES most telling tokens and which of them these rows have.
 
 Edge cases: null and empty texts get the score of a text without tokens; without
 labelled rows of both classes the fixed lexicon alone decides; repeated rows are
@@ -31,10 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import only, written
 
 #: A seed lexicon of common insults.
 LEXICON = ("clown", "crap", "disgusting", "dumb", "filth", "garbage", "hate", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "ugly", "vermin", "worthless")
@@ -111,7 +111,7 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_linear(rows: np.ndarray, cols: np.ndarray, n: int, m: int, q: np.ndarray, l2: float = 0.02, steps: int = 300) -> tuple[np.ndarray, float]:
+def fit_linear(rows: np.ndarray, cols: np.ndarray, n: int, m: int, q: np.ndarray, l2: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels over sparse binary features, by accelerated gradient steps; classes weigh the same."""
     mass = np.array([(1 - q).sum(), q.sum()]).clip(1e-6)
     up, down = q * (0.5 * n / mass[1]), (1 - q) * (0.5 * n / mass[0])
@@ -157,6 +157,90 @@ class Model:
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
 
 
+def surprise(df: Column, df1: Column, n: int, n1: int) -> Column:
+    """Log-likelihood ratio of a token's rows among toxic and other rows."""
+    def part(x: Column, e: Column) -> Column:
+        return F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
+
+    n0, df0 = n - n1, df - df1
+    return 2 * (part(df1, df * n1 / n) + part(df0, df * n0 / n) + part(n1 - df1, (n - df) * n1 / n) + part(n0 - df0, (n - df) * n0 / n))
+
+
+def fit_rows(names: np.ndarray, toxic: np.ndarray, rows: np.ndarray, cols: np.ndarray, given: np.ndarray) -> Model:
+    """Label model and classifier from the chosen tokens (most telling first) and the (row, token) pairs that occur."""
+    n = len(given)
+    fixed = np.isin(names, [_key(p) for p in PATTERNS])
+    voters = np.flatnonzero(toxic | fixed)[:MAX_VOTERS]
+    at = np.full(len(names), -1)
+    at[voters] = np.arange(len(voters))
+    fires = np.zeros((n, len(voters)), np.float32)
+    on = at[cols] >= 0
+    fires[rows[on], at[cols[on]]] = 1
+    labels = LabelModel(fires, given)
+    w, b = fit_linear(rows, cols, n, len(names), labels.posterior(fires, given))
+    return Model({int(k): float(x) for k, x in zip(names, w, strict=True)}, b, [int(names[k]) for k in voters], labels)
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows_: int = FIT_ROWS) -> Model:
+    """Train on the rows of ``docs`` that ``labels`` (doc_id, toxic) marks: at most about ``fit_rows_`` of them, chosen by hash.
+
+    Tokens are counted on the executors, summed per batch before the shuffle; the
+    driver gets the MAX_FEATURES most telling ones, and then which of them each
+    row of the sample has.
+    """
+    fallback = Model({_key("#lexicon"): 6.0}, -3.0)
+    marks = only(labels, "doc_id", "toxic").filter("toxic IS NOT NULL AND doc_id IS NOT NULL")
+    total = marks.count()
+    marks = marks.filter(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) < int(min(1.0, fit_rows_ / max(total, 1)) * 1_000_000))
+    marks = marks.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    # the bounded sample of labels is the small side
+    sample = only(docs, "doc_id", "text").join(F.broadcast(marks) if total <= 4 * fit_rows_ else marks, "doc_id")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keys = [token_keys(t) for t in b["text"]]
+            size = np.array([len(k) for k in keys])
+            one = np.repeat((b["toxic"] == 1).to_numpy(), size)
+            name, inverse = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_inverse=True)
+            yield pd.DataFrame({"key": np.r_[name, -1], "df": np.r_[np.bincount(inverse, minlength=len(name)), len(b)], "df1": np.r_[np.bincount(inverse, one, len(name)).astype(np.int64), (b["toxic"] == 1).sum()]})
+
+    counts = written(sample.mapInPandas(count, "key long, df long, df1 long").groupBy("key").agg(F.sum("df").alias("df"), F.sum("df1").alias("df1")).filter(f"df >= {MIN_ROWS} OR key = -1"), "toxicity-counts")
+    n, n1 = counts.filter("key = -1").select("df", "df1").first() or (0, 0)  # key -1 counts the rows themselves
+    if not n1 or n1 == n:
+        return fallback
+    fixed = F.col("key").isin(*[_key(p) for p in PATTERNS])
+    g2 = surprise(F.col("df"), F.col("df1"), n, n1)
+    told = counts.filter("key >= 0").withColumn("g2", g2).filter(fixed | (F.col("g2") >= MIN_G2)).orderBy(F.desc("g2"), "key").limit(MAX_FEATURES)
+    top = told.select("key", (F.col("df1") * (n - n1) > (F.col("df") - F.col("df1")) * n1).alias("toxic")).collect()  # MAX_FEATURES rows at most
+    if not top:
+        return fallback
+    names, toxic = np.array([r[0] for r in top], np.int64), np.array([r[1] for r in top])
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        order = np.argsort(names)
+        for b in batches:
+            found = []
+            for t in b["text"]:
+                k = token_keys(t)
+                at = np.searchsorted(names, k, sorter=order).clip(max=len(names) - 1)
+                found.append(np.sort(order[at][names[order[at]] == k]).astype(np.int32))
+            yield pd.DataFrame({"doc_id": b["doc_id"].array, "toxic": b["toxic"].array, "at": found})
+
+    rows = sample.mapInPandas(mark, "doc_id long, toxic int, at array<int>").toArrow().to_pandas().sort_values("doc_id", kind="stable")
+    given = (rows["toxic"].to_numpy() == 1).astype(np.int64)
+    cols = np.concatenate([np.zeros(0, np.int32), *rows["at"]]).astype(np.int64)
+    return fit_rows(names, toxic, np.repeat(np.arange(len(rows)), rows["at"].map(len)), cols, given)
+
+
+def score(self, text: str | None) -> float:
+        words = words_of(text)
+        of = self._of
+        keys = {k for w in words for k in of(w)}
+        keys.update(k for p in patterns(text or "", words) if (k := _key(p)) in self.weights)
+        z = self.bias + sum(self.weights[k] for k in sorted(keys))
+        return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
+
+
 def fit_rows(keys: list[np.ndarray], given: np.ndarray) -> Model:
     """Mine voters, fit the label model, train the classifier."""
     fallback = Model({_key("#lexicon"): 6.0}, -3.0)
