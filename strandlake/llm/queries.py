@@ -88,7 +88,7 @@ WITH p AS (
 ), c AS (
   SELECT page_id, tag, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '') AS host,
          regexp_replace(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '/+$', '') AS path,
-         list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), x -> x <> '' AND NOT regexp_matches(lower(x), '^({warc.TRACKING})(=|$)'))) AS q FROM p
+         list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^({warc.TRACKING})(=|$)'))) AS q FROM p
 ), u AS (SELECT page_id, tag, host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS curl FROM c),
 f AS (SELECT curl, 2 * page_id AS ts, max(page_id) AS rec, arg_max(tag, page_id) AS tag FROM u GROUP BY ALL),
 j AS (
