@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 _erfc = np.vectorize(math.erfc, otypes=[float])
@@ -55,25 +56,25 @@ def poisson_cdf(k: np.ndarray, mean: np.ndarray) -> np.ndarray:
     return np.where(k < 0, 0.0, 1 - gamma_p(np.maximum(np.floor(k), 0) + 1, mean))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def poisson_lower(k: pd.Series, mean: pd.Series) -> pd.Series:
     """P(X <= k) for a Poisson mean."""
     return pd.Series(poisson_cdf(k, mean))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def poisson_upper(k: pd.Series, mean: pd.Series) -> pd.Series:
     """P(X > k)."""
     return pd.Series(1 - poisson_cdf(k, mean))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_upper_1(x: pd.Series) -> pd.Series:
     """Upper tail of chi-square with one degree of freedom."""
     return pd.Series(_erfc(np.sqrt(np.maximum(x.to_numpy(float), 0) / 2)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def gauss_upper(x: pd.Series) -> pd.Series:
     """Upper tail of the standard normal distribution."""
     return pd.Series(0.5 * _erfc(x.to_numpy(float) / math.sqrt(2)))

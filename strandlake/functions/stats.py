@@ -2,8 +2,9 @@
 
 The median is the upper one (the element at n/2 of the sorted values), spread is
 raw (no normal-consistency factor), moments are those of the population and the
-kurtosis is not the excess one. Medians come from value counts and a running
-sum, so no group's values are ever collected into one array.
+kurtosis is not the excess one. :func:`upper_median` is one aggregation whose
+state is the distinct values of a group; :func:`wide_upper_median` is for groups
+with more distinct values than a task should hold.
 """
 
 from __future__ import annotations
@@ -21,13 +22,17 @@ def moments(x: Column) -> dict[str, Column]:
     }
 
 
-def small_upper_median(x: Column) -> Column:
-    """Upper median of a group that is known to be small (its values are collected)."""
-    s = F.sort_array(F.collect_list(x))
-    return F.get(s, F.floor(F.size(s) / 2).cast("int"))
+def upper_median_of(x: str) -> Column:
+    """Upper median of a column as an aggregate: of a descending order, the first value that half of all reach."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{x}` DESC)")
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
+    """Exact upper median of ``value`` per group, with partial aggregation before the shuffle."""
+    return df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(upper_median_of(value).alias(name))
+
+
+def wide_upper_median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
     """Exact upper median of ``value`` per group.
 
     Values are counted first (partial sums before the shuffle), so equal values
@@ -53,16 +58,16 @@ def upper_median(df: DataFrame, keys: list[str], value: str, name: str = "median
     return reached.groupBy(*keys).agg(F.min("__v").alias(name))
 
 
-def mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Upper median and median absolute deviation per group."""
-    med = upper_median(df, keys, value, "median")
-    other = med.select(*[F.col(k).alias(f"__m{i}") for i, k in enumerate(keys)], "median")
+def mad(df: DataFrame, keys: list[str], value: str, wide: bool = False) -> DataFrame:
+    """Upper median and median absolute deviation per group; ``wide`` as in :func:`wide_upper_median`."""
+    find = wide_upper_median if wide else upper_median
+    rows = df.select(*keys, F.col(value).alias("__x"))
+    med = find(rows, keys, "__x", "__med")
+    other = F.broadcast(med) if not keys else med.select(*[F.col(k).alias(f"__m{i}") for i, k in enumerate(keys)], "__med")
     on = [F.col(k).eqNullSafe(F.col(f"__m{i}")) for i, k in enumerate(keys)]
-    with_med = df.join(F.broadcast(other) if not keys else other, on) if keys else df.crossJoin(F.broadcast(other))
-    dev = upper_median(with_med.withColumn("__dev", F.abs(F.col(value) - F.col("median"))), keys, "__dev", "mad")
-    dev = dev.select(*[F.col(k).alias(f"__d{i}") for i, k in enumerate(keys)], "mad")
-    on = [F.col(k).eqNullSafe(F.col(f"__d{i}")) for i, k in enumerate(keys)]
-    return (med.join(dev, on) if keys else med.crossJoin(dev)).select(*keys, "median", "mad")
+    far = (rows.join(other, on) if keys else rows.crossJoin(other)).select(*keys, "__med", F.abs(F.col("__x") - F.col("__med")).alias("__dev"))  # without keys: one row
+    # a group has one median, so it can be carried as a key
+    return find(far, [*keys, "__med"], "__dev", "mad").select(*keys, F.col("__med").alias("median"), "mad")
 
 
 def regression(y: Column, x: Column) -> dict[str, Column]:
