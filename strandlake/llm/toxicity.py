@@ -111,7 +111,7 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_linear(rows: np.ndarray, cols: np.ndarray, n: int, m: int, q: np.ndarray, l2: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
+def fit_linear(rows: np.ndarray, cols: np.ndarray, n: int, m: int, q: np.ndarray, l2: float = 0.1, steps: int = 300) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels over sparse binary features, by accelerated gradient steps; classes weigh the same."""
     mass = np.array([(1 - q).sum(), q.sum()]).clip(1e-6)
     up, down = q * (0.5 * n / mass[1]), (1 - q) * (0.5 * n / mass[0])
@@ -232,70 +232,6 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows_: int = FIT_ROWS) -> Model:
     return fit_rows(names, toxic, np.repeat(np.arange(len(rows)), rows["at"].map(len)), cols, given)
 
 
-def score(self, text: str | None) -> float:
-        words = words_of(text)
-        of = self._of
-        keys = {k for w in words for k in of(w)}
-        keys.update(k for p in patterns(text or "", words) if (k := _key(p)) in self.weights)
-        z = self.bias + sum(self.weights[k] for k in sorted(keys))
-        return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
-
-
-def fit_rows(keys: list[np.ndarray], given: np.ndarray) -> Model:
-    """Mine voters, fit the label model, train the classifier."""
-    fallback = Model({_key("#lexicon"): 6.0}, -3.0)
-    n, n1 = len(given), int(given.sum())
-    if not n1 or n1 == n:
-        return fallback
-    rows = np.repeat(np.arange(n), [len(k) for k in keys])
-    names, cols = np.unique(np.concatenate(keys), return_inverse=True)
-    df = np.bincount(cols, minlength=len(names))
-    df1 = np.bincount(cols, given[rows], len(names))
-    df0 = df - df1
-
-    def part(x, e):  # a term of the log-likelihood ratio
-        return np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / e), 0.0)
-
-    g2 = 2 * (part(df1, df * n1 / n) + part(df0, df * (n - n1) / n) + part(n1 - df1, (n - df) * n1 / n) + part((n - n1) - df0, (n - df) * (n - n1) / n))
-    toxic = df1 / n1 > df0 / (n - n1)
-    fixed = np.isin(names, [_key(p) for p in PATTERNS])
-    useful = ((df >= MIN_ROWS) & (g2 >= MIN_G2)) | fixed
-    order = np.lexsort((names, -g2))
-    voters = [k for k in order if useful[k] and (toxic[k] or fixed[k])][:MAX_VOTERS]
-    chosen = [k for k in order if useful[k]][:MAX_FEATURES]
-    if not voters:
-        return fallback
-    at = np.full(len(names), -1)
-    at[voters] = np.arange(len(voters))
-    fires = np.zeros((n, len(voters)), np.float32)
-    on = at[cols] >= 0
-    fires[rows[on], at[cols[on]]] = 1
-    labels = LabelModel(fires, given)
-    q = labels.posterior(fires, given)
-    at[:] = -1
-    at[chosen] = np.arange(len(chosen))
-    on = at[cols] >= 0
-    w, b = fit_linear(rows[on], at[cols[on]], n, len(chosen), q)
-    return Model({int(names[k]): float(x) for k, x in zip(chosen, w, strict=True)}, b, [int(names[k]) for k in voters], labels)
-
-
-def fit(docs: DataFrame, labels: DataFrame, fit_rows_: int = FIT_ROWS) -> Model:
-    """Train on the rows of ``docs`` that ``labels`` (doc_id, toxic) marks: at most about ``fit_rows_`` of them, chosen by hash."""
-    marks = only(labels, "doc_id", "toxic").filter("toxic IS NOT NULL AND doc_id IS NOT NULL")
-    n = marks.count()
-    marks = marks.filter(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) < int(min(1.0, fit_rows_ / max(n, 1)) * 1_000_000))
-    marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # the bounded sample of labels is the small side
-    sample = only(docs, "doc_id", "text").join(F.broadcast(marks) if n <= 4 * fit_rows_ else marks, "doc_id")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].array, "toxic": b["toxic"].astype(int), "keys": [token_keys(t) for t in b["text"]]})
-
-    rows = sample.mapInPandas(run, "doc_id long, toxic int, keys array<long>").toArrow().to_pandas().sort_values("doc_id", kind="stable")
-    return fit_rows([np.asarray(k, np.int64) for k in rows["keys"]], (rows["toxic"].to_numpy() == 1).astype(np.int64))
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_FEATURES
