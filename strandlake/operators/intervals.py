@@ -61,28 +61,36 @@ def flatten_genes(genes: DataFrame) -> DataFrame:
     return steps.select("chr", F.col("pos").alias("start"), F.lead("pos").over(w).alias("stop"), depth.alias("n_genes")).filter("stop IS NOT NULL AND n_genes > 0")
 
 
-def nearest_gap(points: DataFrame, gaps: DataFrame, default: int = 10**9) -> DataFrame:
+def nearest_gap(points: DataFrame, gaps: DataFrame, default: int = 10**9, width: int = 1_000_000) -> DataFrame:
     """Distance to the nearest interval of the chromosome (0 inside) and its type; (default, none) without one.
 
-    Gaps need not be disjoint. Two running maxima and minima over points and gap
-    ends in one order find the nearest end on either side; no pair is made.
+    Gaps need not be disjoint. Points and gap ends are put in one order; inside a
+    (chromosome, bin) running windows find the nearest end on either side, and one
+    row per bin carries the nearest end of the bins before and after. No pair is
+    made, and no chromosome is one task.
     """
-    ends = gaps.select("chr", F.col("stop").alias("pos"), F.struct("stop", "type").alias("left"), F.lit(None).cast("struct<start:bigint,type:string>").alias("right"), F.lit(0).alias("kind"))
-    starts = gaps.select("chr", F.col("start").alias("pos"), F.lit(None).cast("struct<stop:bigint,type:string>").alias("left"), F.struct("start", "type").alias("right"), F.lit(2).alias("kind"))
-    row = F.struct(*points.columns)
-    mine = points.select("chr", "pos", F.lit(None).cast("struct<stop:bigint,type:string>").alias("left"), F.lit(None).cast("struct<start:bigint,type:string>").alias("right"), F.lit(1).alias("kind"), row.alias("row"))
-    both = ends.withColumn("row", F.lit(None).cast(mine.schema["row"].dataType)).unionByName(starts.withColumn("row", F.lit(None).cast(mine.schema["row"].dataType))).unionByName(mine)
-    w = Window.partitionBy("chr").orderBy("pos", "kind")
-    before = F.last("left", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("right", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    sides = both.withColumn("__l", before).withColumn("__r", after).filter("kind = 1")
-    inside = point_join(points, gaps).groupBy(*points.columns).agg(F.min("r_type").alias("inside"))
-    out = sides.select("row.*", "__l", "__r").join(inside, points.columns, "left")
-    to_left, to_right = F.col("pos") - F.col("__l.stop") + 1, F.col("__r.start") - F.col("pos")
+    end = "struct<at:bigint,type:string>"
+    none = F.lit(None).cast(end)
+    left = gaps.select("chr", F.col("stop").alias("pos"), F.struct(F.col("stop").alias("at"), "type").cast(end).alias("left"), none.alias("right"), F.lit(0).alias("kind"))
+    right = gaps.select("chr", F.col("start").alias("pos"), none.alias("left"), F.struct(F.col("start").alias("at"), "type").cast(end).alias("right"), F.lit(2).alias("kind"))
+    mine = points.select("chr", "pos", none.alias("left"), none.alias("right"), F.lit(1).alias("kind"), F.struct(*points.columns).alias("row"))
+    empty = F.lit(None).cast(mine.schema["row"].dataType)
+    both = left.withColumn("row", empty).unionByName(right.withColumn("row", empty)).unionByName(mine).withColumn("bin", F.floor(F.col("pos") / width))
+    here = Window.partitionBy("chr", "bin")
+    back = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    sides = both.withColumn("__l", F.last("left", ignorenulls=True).over(back(here.orderBy("pos", "kind")))).withColumn("__r", F.last("right", ignorenulls=True).over(back(here.orderBy(F.desc("pos"), F.desc("kind"))))).filter("kind = 1")
+    bins = both.groupBy("chr", "bin").agg(F.max("left").alias("l"), F.min("right").alias("r"))
+    strict = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy("chr")
+    carried = bins.select("chr", "bin", F.last("l", ignorenulls=True).over(strict(line.orderBy("bin"))).alias("__cl"), F.last("r", ignorenulls=True).over(strict(line.orderBy(F.desc("bin")))).alias("__cr"))
+    out = sides.join(carried, ["chr", "bin"]).select("row.*", F.coalesce("__l", "__cl").alias("__l"), F.coalesce("__r", "__cr").alias("__r"))
+    inside = point_join(points, gaps).groupBy(*points.columns).agg(F.min("r_type").alias("__in"))
+    out = out.join(inside, points.columns, "left")
+    to_left, to_right = F.col("pos") - F.col("__l.at") + 1, F.col("__r.at") - F.col("pos")
     return out.select(
         *points.columns,
-        F.when(F.col("inside").isNotNull(), 0).otherwise(F.coalesce(F.least(to_left, to_right), F.lit(default))).cast("long").alias("distance"),
-        F.when(F.col("inside").isNotNull(), F.col("inside")).when(F.col("__r").isNull() | (to_left <= to_right), F.coalesce("__l.type", F.lit("none"))).otherwise(F.col("__r.type")).alias("type"),
+        F.when(F.col("__in").isNotNull(), 0).otherwise(F.coalesce(F.least(to_left, to_right), F.lit(default))).cast("long").alias("distance"),
+        F.when(F.col("__in").isNotNull(), F.col("__in")).when(F.col("__r").isNull() | (to_left <= to_right), F.coalesce("__l.type", F.lit("none"))).otherwise(F.col("__r.type")).alias("type"),
     )
 
 

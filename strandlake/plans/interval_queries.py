@@ -52,7 +52,7 @@ def _(t):
 
 
 _SEG_SQL = f"""WITH {m.INTERVALS}, s AS (SELECT chr, start, stop, type, user_id FROM intervals WHERE stop - start < 3000)
-SELECT a.user_id AS a_user, b.user_id AS b_user, a.start AS a_start, b.start AS b_start, least(a.stop, b.stop) - greatest(a.start, b.start) AS overlap, round((least(a.stop, b.stop) - greatest(a.start, b.start)) / CAST(a.stop - a.start AS DOUBLE), 6) AS share
+SELECT a.user_id AS a_user, b.user_id AS b_user, a.start AS a_start, b.start AS b_start, least(a.stop, b.stop) - greatest(a.start, b.start) AS overlap, (least(a.stop, b.stop) - greatest(a.start, b.start)) / CAST(a.stop - a.start AS DOUBLE) AS share
 FROM s a JOIN s b ON a.chr = b.chr AND a.type = b.type AND a.user_id < b.user_id AND a.start < b.stop AND b.start < a.stop"""
 
 
@@ -61,7 +61,7 @@ def _(t):
     """Overlaps of segments of the same type."""
     s = t.intervals.filter("stop - start < 3000")
     c = iv.compare_segments(s, s).filter("l_user_id < r_user_id")
-    return c.select(F.col("l_user_id").alias("a_user"), F.col("r_user_id").alias("b_user"), F.col("l_start").alias("a_start"), F.col("r_start").alias("b_start"), "overlap", rounded("l_share").alias("share"))
+    return c.select(F.col("l_user_id").alias("a_user"), F.col("r_user_id").alias("b_user"), F.col("l_start").alias("a_start"), F.col("r_start").alias("b_start"), "overlap", F.col("l_share").alias("share"))
 
 
 @query("merged_intervals", f"""WITH {m.GENES}, r AS (SELECT *, max(stop) OVER (PARTITION BY chr ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM genes),

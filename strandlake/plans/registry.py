@@ -14,6 +14,8 @@ from .model import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Module of each query.
+MODULES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -27,7 +29,7 @@ def query(name: str, sql: str | None = None):
             return fn(Tables(spark, sf_dir))
 
         run.__doc__ = fn.__doc__
-        QUERIES[name] = run
+        QUERIES[name], MODULES[name] = run, fn.__module__
         if sql:
             ORACLES[name] = sql
         return fn
