@@ -109,7 +109,7 @@ class Model:
                 part = [k for k, x in enumerate(labels) if x in (a, b)]
                 weights.append(fit_svm([rows[k] for k in part], np.array([1 if labels[k] == a else -1 for k in part])))
                 self.machines.append((level, a, b))
-        self.weights = np.array(weights, np.float32).reshape(len(weights), -1)
+        self.weights = np.array(weights, np.float32).reshape(len(weights), (1 << DIMS_LOG2) + 1)
 
     def _vote(self, level: str | None, names: list[str], margins: dict) -> tuple[str, float]:
         if len(names) == 1:

@@ -133,7 +133,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                         continue
                     status, headers, body = http_message(block)
                     ts = int(pd.Timestamp(fields["warc-date"]).timestamp()) if fields.get("warc-date") else None
-                    row = {"record_id": base + n, "url": fields.get("warc-target-uri"), "ts": ts, "status": 304 if fields["warc-type"] == "revisit" else status, "headers": list(headers.items()), "body": body}
+                    row = {"record_id": base + n, "url": fields.get("warc-target-uri"), "ts": ts, "status": 304 if fields["warc-type"] == "revisit" else status, "headers": headers, "body": body}
                     yield pd.DataFrame([row]).astype({"ts": "Int64", "status": "Int64"})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, CAPTURE + ", body binary")
