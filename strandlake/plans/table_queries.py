@@ -11,6 +11,11 @@ from .model import rounded
 from .registry import query
 
 
+def rounded7(x, n: int = 7):
+    """Seven digits: means of 60,000 two-digit values end halfway at six."""
+    return rounded(x, n)
+
+
 @query("uniqc_events", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def _(t):
     """Counts of values."""
@@ -59,11 +64,11 @@ def _(t):
     return tables.equals(t.supplier, "s_nationkey", "7").select("s_suppkey", "s_nationkey")
 
 
-@query("derived_column", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * (1 - l_discount) + sqrt(greatest(l_tax, l_discount)), 6) AS net FROM lineitem")
+@query("derived_column", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * (1 - l_discount) + sqrt(greatest(l_tax, l_discount)), 7) AS net FROM lineitem")
 def _(t):
     """P5: a column computed by the expression language."""
     d = tables.derive(t.lineitem, "net", "l_extendedprice * (1 - l_discount) + sqrt(max(l_tax, l_discount))")
-    return d.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("net", 6).alias("net"))
+    return d.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("net", 7).alias("net"))
 
 
 @query("column_numbers", "SELECT CAST(number AS INTEGER) AS number, name FROM (VALUES (1, 'r_regionkey'), (2, 'r_name')) v(number, name)")
@@ -93,29 +98,29 @@ def _(t):
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _LONG = "(" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS value FROM lineitem" for c in NUMBERS) + ")"
-_MOMENTS = """count(*) AS n, round(min(value), 6) AS minimum, round(max(value), 6) AS maximum, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS stdev"""
+_MOMENTS = """count(*) AS n, round(min(value), 7) AS minimum, round(max(value), 7) AS maximum, round(avg(value), 7) AS mean, round(stddev_pop(value), 7) AS stdev"""
 _SKEW = "round(avg(power((value - mu) / sd, 3)), 4) AS skew"
 _MED = "list_sort(list(value))[count(*) // 2 + 1]"
 
 
 @query("stats_lineitem", f"""WITH l AS (SELECT *, avg(value) OVER (PARTITION BY "column") AS mu, stddev_pop(value) OVER (PARTITION BY "column") AS sd FROM {_LONG})
-SELECT "column", {_MOMENTS}, round(stddev_pop(value) / sqrt(count(*)), 6) AS seom, {_SKEW}, {_MED} AS median FROM l GROUP BY 1""")
+SELECT "column", {_MOMENTS}, round(stddev_pop(value) / sqrt(count(*)), 7) AS seom, {_SKEW}, {_MED} AS median FROM l GROUP BY 1""")
 def _(t):
     """Statistics per column."""
     s = tables.column_stats(t.lineitem, NUMBERS)
-    return s.select("column", "n", *[rounded(c).alias(c) for c in ("minimum", "maximum", "mean", "stdev", "seom")], rounded("skew", 4).alias("skew"), "median")
+    return s.select("column", "n", *[rounded7(c).alias(c) for c in ("minimum", "maximum", "mean", "stdev", "seom")], rounded7("skew", 4).alias("skew"), "median")
 
 
-@query("minmax_lineitem", f"""SELECT "column", min(value) AS minimum, max(value) AS maximum, round(avg(value), 6) AS mean, {_MED} AS median FROM {_LONG} GROUP BY 1""")
+@query("minmax_lineitem", f"""SELECT "column", min(value) AS minimum, max(value) AS maximum, round(avg(value), 7) AS mean, {_MED} AS median FROM {_LONG} GROUP BY 1""")
 def _(t):
     """Minimum, maximum, mean and median."""
-    return tables.extremes(t.lineitem, NUMBERS).withColumn("mean", rounded("mean"))
+    return tables.extremes(t.lineitem, NUMBERS).withColumn("mean", rounded7("mean"))
 
 
-@query("averages", "SELECT round(avg(l_quantity), 6) AS l_quantity, round(avg(l_tax), 6) AS l_tax FROM lineitem")
+@query("averages", "SELECT round(avg(l_quantity), 7) AS l_quantity, round(avg(l_tax), 7) AS l_tax FROM lineitem")
 def _(t):
     """Means."""
-    return t.lineitem.agg(*[rounded(F.avg(c)).alias(c) for c in ("l_quantity", "l_tax")])
+    return t.lineitem.agg(*[rounded7(F.avg(c)).alias(c) for c in ("l_quantity", "l_tax")])
 
 
 @query("table_stats_nonzero", f"""
@@ -124,12 +129,12 @@ v AS (SELECT *, 'all' AS subset FROM l UNION ALL SELECT *, 'nonzeros' FROM l WHE
 m AS (SELECT "column", subset, {_MOMENTS}, {_MED} AS median FROM v GROUP BY 1, 2),
 d AS (SELECT "column", subset, list_sort(list(abs(value - median)))[count(*) // 2 + 1] AS mad FROM v JOIN (SELECT "column", subset, median FROM m) USING ("column", subset) GROUP BY 1, 2),
 a AS (SELECT "column", n AS all_n FROM m WHERE subset = 'all')
-SELECT "column", subset, n, minimum, maximum, mean, stdev, round(median, 6) AS median, round(mad, 6) AS mad FROM m JOIN d USING ("column", subset) JOIN a USING ("column") WHERE subset = 'all' OR n < all_n""")
+SELECT "column", subset, n, minimum, maximum, mean, stdev, round(median, 7) AS median, round(mad, 7) AS mad FROM m JOIN d USING ("column", subset) JOIN a USING ("column") WHERE subset = 'all' OR n < all_n""")
 def _(t):
     """Statistics over all, nonzero, negative and positive values."""
     df = t.lineitem.select((F.col("l_discount") - 0.05).alias("l_discount"), "l_tax")
     s = tables.table_stats(df, ["l_discount", "l_tax"])
-    return s.select("column", "subset", "n", *[rounded(c).alias(c) for c in ("minimum", "maximum", "mean", "stdev", "median", "mad")])
+    return s.select("column", "subset", "n", *[rounded7(c).alias(c) for c in ("minimum", "maximum", "mean", "stdev", "median", "mad")])
 
 
 _CELLS = "(" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM part" for c in ("p_brand", "p_size")) + ")"
@@ -137,13 +142,13 @@ _CELLS = "(" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS VARC
 
 @query("table_summary_part", f"""
 WITH x AS (SELECT "column", value, TRY_CAST(value AS DOUBLE) AS number FROM {_CELLS}),
-s AS (SELECT "column", count(DISTINCT value) AS "distinct", bool_and(number IS NOT NULL) AS "numeric", min(number) AS minimum, max(number) AS maximum, round(avg(number), 6) AS mean, round(stddev_pop(number), 6) AS stdev, sum(number) AS total,
+s AS (SELECT "column", count(DISTINCT value) AS "distinct", bool_and(number IS NOT NULL) AS "numeric", min(number) AS minimum, max(number) AS maximum, round(avg(number), 7) AS mean, round(stddev_pop(number), 7) AS stdev, sum(number) AS total,
   list_sort(list(number) FILTER (number IS NOT NULL))[count(number) // 2 + 1] AS median FROM x GROUP BY 1)
 SELECT s.*, list_sort(list(abs(number - median)) FILTER (number IS NOT NULL))[count(number) // 2 + 1] AS mad FROM s JOIN x USING ("column") GROUP BY ALL""")
 def _(t):
     """Summary of columns."""
     s, _ranked = tables.table_summary(t.part, ["p_brand", "p_size"])
-    return s.select("column", "distinct", "numeric", "minimum", "maximum", rounded("mean").alias("mean"), rounded("stdev").alias("stdev"), "total", "median", "mad")
+    return s.select("column", "distinct", "numeric", "minimum", "maximum", rounded7("mean").alias("mean"), rounded7("stdev").alias("stdev"), "total", "median", "mad")
 
 
 @query("table_summary_ranks", f"""SELECT "column", value, n, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value DESC) AS rank FROM (SELECT "column", value, count(*) AS n FROM {_CELLS} GROUP BY ALL)) WHERE rank <= 10""")
@@ -155,29 +160,29 @@ def _(t):
 @query("table_sum_files", """
 WITH f AS (SELECT s_suppkey, s_nationkey, s_acctbal, row_number() OVER (ORDER BY s_suppkey) AS "row" FROM supplier),
 g AS (SELECT s_suppkey, s_nationkey * 2 AS s_nationkey, -s_acctbal AS s_acctbal, row_number() OVER (ORDER BY s_suppkey) AS "row" FROM supplier)
-SELECT CAST(f."row" AS INTEGER) AS "row", g.s_suppkey, CAST(f.s_nationkey + g.s_nationkey AS BIGINT) AS s_nationkey, round(CASE WHEN f.s_acctbal >= 0 THEN f.s_acctbal ELSE 0 END + CASE WHEN g.s_acctbal >= 0 THEN g.s_acctbal ELSE 0 END, 6) AS s_acctbal FROM f JOIN g USING ("row")""")
+SELECT CAST(f."row" AS INTEGER) AS "row", g.s_suppkey, CAST(f.s_nationkey + g.s_nationkey AS BIGINT) AS s_nationkey, round(CASE WHEN f.s_acctbal >= 0 THEN f.s_acctbal ELSE 0 END + CASE WHEN g.s_acctbal >= 0 THEN g.s_acctbal ELSE 0 END, 7) AS s_acctbal FROM f JOIN g USING ("row")""")
 def _(t):
     """Cell-wise sum, a protected column, negatives skipped."""
     a = t.supplier.select("s_suppkey", "s_nationkey", "s_acctbal")
     b = a.select("s_suppkey", (F.col("s_nationkey") * 2).alias("s_nationkey"), (-F.col("s_acctbal")).alias("s_acctbal"))
-    return tables.cell_sums([a, b], ["s_suppkey"], protect=["s_suppkey"], skip_negative=True).withColumn("s_acctbal", rounded("s_acctbal"))
+    return tables.cell_sums([a, b], ["s_suppkey"], protect=["s_suppkey"], skip_negative=True).withColumn("s_acctbal", rounded7("s_acctbal"))
 
 
-@query("table_averages", """WITH f AS (SELECT s_suppkey, s_acctbal FROM supplier) SELECT CAST(row_number() OVER (ORDER BY s_suppkey) AS INTEGER) AS "row", CAST(s_suppkey AS DOUBLE) AS s_suppkey, CASE WHEN s_acctbal >= 0 THEN round(s_acctbal, 6) ELSE -1 END AS s_acctbal FROM f""")
+@query("table_averages", """WITH f AS (SELECT s_suppkey, s_acctbal FROM supplier) SELECT CAST(row_number() OVER (ORDER BY s_suppkey) AS INTEGER) AS "row", CAST(s_suppkey AS DOUBLE) AS s_suppkey, CASE WHEN s_acctbal >= 0 THEN round(s_acctbal, 7) ELSE -1 END AS s_acctbal FROM f""")
 def _(t):
     """Cell-wise mean; -1 where nothing counts."""
     a = t.supplier.select("s_suppkey", "s_acctbal")
-    return tables.cell_sums([a, a], ["s_suppkey"], average=True, skip_negative=True).withColumn("s_acctbal", rounded("s_acctbal"))
+    return tables.cell_sums([a, a], ["s_suppkey"], average=True, skip_negative=True).withColumn("s_acctbal", rounded7("s_acctbal"))
 
 
 @query("pivot_event_type", """
 WITH a AS (SELECT *, count(*) OVER () AS total FROM (SELECT event_type, CAST(user_id % 7 AS BIGINT) AS u, value, 'x' AS tag FROM events))
-SELECT 'event_type' AS pivot, event_type AS "group", count(*) AS n, count(*) / CAST(max(total) AS DOUBLE) AS fraction, round(avg(value), 6) AS mean_value, CASE WHEN min(tag) = max(tag) THEN min(tag) ELSE '-' END AS only_tag FROM a GROUP BY event_type
-UNION ALL SELECT 'u', CAST(u AS VARCHAR), count(*), count(*) / CAST(max(total) AS DOUBLE), round(avg(value), 6), CASE WHEN min(tag) = max(tag) THEN min(tag) ELSE '-' END FROM a GROUP BY u""")
+SELECT 'event_type' AS pivot, event_type AS "group", count(*) AS n, count(*) / CAST(max(total) AS DOUBLE) AS fraction, round(avg(value), 7) AS mean_value, CASE WHEN min(tag) = max(tag) THEN min(tag) ELSE '-' END AS only_tag FROM a GROUP BY event_type
+UNION ALL SELECT 'u', CAST(u AS VARCHAR), count(*), count(*) / CAST(max(total) AS DOUBLE), round(avg(value), 7), CASE WHEN min(tag) = max(tag) THEN min(tag) ELSE '-' END FROM a GROUP BY u""")
 def _(t):
     """One summary per pivot column, by grouping sets."""
     e = t.events.select("event_type", (F.col("user_id") % 7).alias("u"), "value", F.lit("x").alias("tag"))
-    return tables.pivot_summary(e, ["event_type", "u"], ["value"], ["tag"]).withColumn("mean_value", rounded("mean_value"))
+    return tables.pivot_summary(e, ["event_type", "u"], ["value"], ["tag"]).withColumn("mean_value", rounded7("mean_value"))
 
 
 @query("mad_by_group", """
@@ -190,25 +195,25 @@ def _(t):
 
 @query("moments_by_group", """
 WITH e AS (SELECT *, avg(value) OVER (PARTITION BY event_type) AS mu, stddev_pop(value) OVER (PARTITION BY event_type) AS sd FROM events)
-SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS stdev, round(avg(power((value - mu) / sd, 3)), 4) AS skew, round(avg(power((value - mu) / sd, 4)), 4) AS kurtosis FROM e GROUP BY 1""")
+SELECT event_type, count(*) AS n, round(avg(value), 7) AS mean, round(stddev_pop(value), 7) AS stdev, round(avg(power((value - mu) / sd, 3)), 4) AS skew, round(avg(power((value - mu) / sd, 4)), 4) AS kurtosis FROM e GROUP BY 1""")
 def _(t):
     """Population moments; the kurtosis is not the excess one."""
     m = stats.moments(F.col("value"))
-    return t.events.groupBy("event_type").agg(m["n"].alias("n"), rounded(m["mean"]).alias("mean"), rounded(m["stdev"]).alias("stdev"), rounded(m["skew"], 4).alias("skew"), rounded(m["kurtosis"], 4).alias("kurtosis"))
+    return t.events.groupBy("event_type").agg(m["n"].alias("n"), rounded7(m["mean"]).alias("mean"), rounded7(m["stdev"]).alias("stdev"), rounded7(m["skew"], 4).alias("skew"), rounded7(m["kurtosis"], 4).alias("kurtosis"))
 
 
-@query("running_mean_parts", """SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS stdev, min(value) AS minimum, max(value) AS maximum FROM events GROUP BY 1""")
+@query("running_mean_parts", """SELECT event_type, count(value) AS n, round(avg(value), 7) AS mean, round(stddev_samp(value), 7) AS stdev, min(value) AS minimum, max(value) AS maximum FROM events GROUP BY 1""")
 def _(t):
     """Mergeable running statistics: partial sums per user, then merged."""
     p = t.events.groupBy("event_type", "user_id").agg(F.count("value").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     n, s, q = F.sum("n"), F.sum("s"), F.sum("q")
-    return p.groupBy("event_type").agg(n.alias("n"), rounded(s / n).alias("mean"), rounded(F.sqrt((q - s * s / n) / (n - 1))).alias("stdev"), F.min("lo").alias("minimum"), F.max("hi").alias("maximum"))
+    return p.groupBy("event_type").agg(n.alias("n"), rounded7(s / n).alias("mean"), rounded7(F.sqrt((q - s * s / n) / (n - 1))).alias("stdev"), F.min("lo").alias("minimum"), F.max("hi").alias("maximum"))
 
 
-@query("autocorrelation", """SELECT event_type, round(corr(value, earlier), 6) AS autocorrelation FROM (SELECT *, lag(value, 2) OVER (PARTITION BY event_type ORDER BY ts) AS earlier FROM events) GROUP BY 1""")
+@query("autocorrelation", """SELECT event_type, round(corr(value, earlier), 7) AS autocorrelation FROM (SELECT *, lag(value, 2) OVER (PARTITION BY event_type ORDER BY ts) AS earlier FROM events) GROUP BY 1""")
 def _(t):
     """Autocorrelation at lag 2."""
-    return tables.autocorrelation(t.events, "ts", "value", 2, ["event_type"]).withColumn("autocorrelation", rounded("autocorrelation"))
+    return tables.autocorrelation(t.events, "ts", "value", 2, ["event_type"]).withColumn("autocorrelation", rounded7("autocorrelation"))
 
 
 @query("linear_regression", """
@@ -217,16 +222,16 @@ WITH r AS (SELECT l_returnflag, regr_slope(l_extendedprice, l_quantity) AS slope
 SELECT l_returnflag, round(slope, 4) AS slope, round(intercept, 4) AS intercept, round(sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx), 4) AS slope_error, round(sqrt((syy - sxy * sxy / sxx) / (n - 2) * (1.0 / n + mx * mx / sxx)), 4) AS intercept_error FROM r""")
 def _(t):
     """Regression with errors."""
-    return t.lineitem.groupBy("l_returnflag").agg(*[rounded(c, 4).alias(k) for k, c in stats.regression(F.col("l_extendedprice"), F.col("l_quantity")).items()])
+    return t.lineitem.groupBy("l_returnflag").agg(*[rounded7(c, 4).alias(k) for k, c in stats.regression(F.col("l_extendedprice"), F.col("l_quantity")).items()])
 
 
 _HIST = """b AS (SELECT lo - 0.05 * (hi - lo) AS low0, (hi - lo) * 1.1 / {n} AS width FROM (SELECT min(value) AS lo, max(value) AS hi, count(value) AS n FROM events))"""
 
 
-@query("histogram_fixed", f"WITH {_HIST.format(n=20)} SELECT CAST(floor((value - low0) / width) AS INTEGER) AS bin, count(*) AS n, round(min(low0 + floor((value - low0) / width) * width), 6) AS low FROM events, b GROUP BY 1")
+@query("histogram_fixed", f"WITH {_HIST.format(n=20)} SELECT CAST(floor((value - low0) / width) AS INTEGER) AS bin, count(*) AS n, round(min(low0 + floor((value - low0) / width) * width), 7) AS low FROM events, b GROUP BY 1")
 def _(t):
     """Histogram with 20 bins."""
-    return tables.histogram(t.events, "value", 20).withColumn("low", rounded("low"))
+    return tables.histogram(t.events, "value", 20).withColumn("low", rounded7("low"))
 
 
 @query("histogram_split", f"WITH {_HIST.format(n='floor(sqrt(n))')} SELECT event_type, CAST(floor((value - low0) / width) AS INTEGER) AS bin, count(*) AS n FROM events, b GROUP BY 1, 2")
@@ -241,14 +246,14 @@ SELECT threshold, round(sum(p) OVER w / CAST(sum(p) OVER () AS DOUBLE), 9) AS se
 def _(t):
     """Sensitivity and specificity at every threshold."""
     d = t.documents.select("doc_id", (F.col("n_chars") % 50).alias("score")).join(t.labels.select("doc_id", (F.col("toxic") == 1).alias("truth")), "doc_id")
-    return tables.threshold_sweep(d, "score", "truth").withColumns({c: rounded(c, 9) for c in ("sensitivity", "specificity")})
+    return tables.threshold_sweep(d, "score", "truth").withColumns({c: rounded7(c, 9) for c in ("sensitivity", "specificity")})
 
 
-@query("candidate_stats", """SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 6) AS mean, list_sort(list(l_quantity))[count(*) // 2 + 1] AS median, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY 1, 2""")
+@query("candidate_stats", """SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 7) AS mean, list_sort(list(l_quantity))[count(*) // 2 + 1] AS median, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY 1, 2""")
 def _(t):
     """Grouped statistics of a candidate table."""
     keys = ["l_returnflag", "l_linestatus"]
-    s = t.lineitem.groupBy(*keys).agg(F.count("*").alias("n"), rounded(F.avg("l_quantity")).alias("mean"), F.count_distinct("l_suppkey").alias("suppliers"))
+    s = t.lineitem.groupBy(*keys).agg(F.count("*").alias("n"), rounded7(F.avg("l_quantity")).alias("mean"), F.count_distinct("l_suppkey").alias("suppliers"))
     return s.join(stats.upper_median(t.lineitem, keys, "l_quantity"), keys)
 
 
@@ -311,12 +316,12 @@ def _(t):
     return tables.aligned(t.region)
 
 
-@query("expression_language", "SELECT p_partkey, CAST(3 + 4 - p_size AS DOUBLE) AS a, CAST(p_size * -3 AS DOUBLE) AS b, round(power(p_size, 2) + sqrt(p_size) / 2, 6) AS c, CAST(greatest(p_size, 10, 20) AS DOUBLE) AS d, CAST(p_partkey % 7 AS DOUBLE) AS e FROM part")
+@query("expression_language", "SELECT p_partkey, CAST(3 + 4 - p_size AS DOUBLE) AS a, CAST(p_size * -3 AS DOUBLE) AS b, round(power(p_size, 2) + sqrt(p_size) / 2, 7) AS c, CAST(greatest(p_size, 10, 20) AS DOUBLE) AS d, CAST(p_partkey % 7 AS DOUBLE) AS e FROM part")
 def _(t):
     """Section 2.8: the arithmetic language."""
     names = {"size": F.col("p_size"), "key": F.col("p_partkey"), "three": F.lit(-3)}
     e = lambda x: compile_expression(x, names)
-    return t.part.select("p_partkey", e("3+4-size").alias("a"), e("size*three").alias("b"), rounded(e("pow(size, 2) + sqrt(size) / 2")).alias("c"), e("max3(size, 10, 20)").alias("d"), e("key % 7").alias("e"))
+    return t.part.select("p_partkey", e("3+4-size").alias("a"), e("size*three").alias("b"), rounded7(e("pow(size, 2) + sqrt(size) / 2")).alias("c"), e("max3(size, 10, 20)").alias("d"), e("key % 7").alias("e"))
 
 
 @query("string_functions", """SELECT n_nationkey, upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)) AS capital, replace(n_name, 'A', '-') AS dashed, split_part(n_name, 'N', 1) AS head, format('{:,}', n_nationkey * 1234567) AS commas FROM nation""")

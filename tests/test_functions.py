@@ -45,7 +45,7 @@ def test_invariant_is_symmetric(spark):
     a, b = (F.lit(True), F.lit(100)), (F.lit(False), F.lit(250))
     r = one(spark, x=coords.invariant(*a, *b, F.lit(3)), y=coords.invariant(*b, *a, F.lit(3)), d=coords.describe(F.lit(1), F.lit(100), F.lit(True), F.lit(1), F.lit(250), F.lit(False), F.lit(3)))
     assert r.x == r.y == -147
-    assert r.d == "1Ks deletion"
+    assert r.d == "100s deletion"
 
 
 def test_upper_median_and_mad(spark):
