@@ -7,8 +7,9 @@ within a factor of t / (2 - t), so every template has a range of admissible
 sizes: segments meet templates by an equi-join on the number of bigrams, and a
 segment that no template admits is gone before its bigrams are made.
 
-Everything happens row by row next to a small template table: no shuffle, and no
-group of rows ever meets in one task.
+Next to a template table of counted, bounded size everything happens row by row:
+no shuffle, and no group of rows ever meets in one task. A larger template table
+is joined by shuffle on the number of bigrams.
 
 Edge cases: null and empty texts have no segment; a segment of one word has no
 bigram and matches nothing; a segment that repeats in its document counts once;
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import only
 
 THRESHOLD = 0.8
+#: (template, admissible size) rows that are broadcast at most; more of them are joined by shuffle.
+BROADCAST_ROWS = 20_000
 
 #: Licence statements and notices (identifier, text).
 TEMPLATES = (
@@ -82,7 +85,8 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, threshold: float =
     t = t.withColumn("m", F.size("own")).withColumn("again", F.col("m") - F.size(F.array_distinct("own"))).filter("m > 0")
     # the sizes that can reach the threshold, one row each
     t = t.withColumn("n", F.explode(F.sequence(F.ceil(F.col("m") * near - 1e-9).cast("int"), F.floor(F.col("m") / near + 1e-9).cast("int"))))
-    most = t.agg(F.max("n")).first()[0] or 0  # one number
+    most, n = t.agg(F.max("n"), F.count("*")).first()  # two numbers
+    most, t = most or 0, F.broadcast(t) if n <= BROADCAST_ROWS else t
     text = F.col("text")
     parts = F.concat(F.array(text), F.split(text, r"\n[\x20\t\r]*\n"), F.split(text, r"\n"))
     segments = (
