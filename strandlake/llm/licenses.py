@@ -83,6 +83,9 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, threshold: float =
     near = threshold / (2 - threshold)
     t = templates.select("template", "license", bigrams(normalised(F.col("text"))).alias("own"))
     t = t.withColumn("m", F.size("own")).withColumn("again", F.col("m") - F.size(F.array_distinct("own"))).filter("m > 0")
+    # a match shares at least this much, so it has one of any ``m`` - least + 1 pairs of the template
+    least = F.ceil(F.col("m") * (threshold / 2 * (1 + near)) - 1e-9).cast("int")
+    t = t.withColumn("probe", F.slice("own", F.lit(1), F.col("m") - least + 1))
     # the sizes that can reach the threshold, one row each
     t = t.withColumn("n", F.explode(F.sequence(F.ceil(F.col("m") * near - 1e-9).cast("int"), F.floor(F.col("m") / near + 1e-9).cast("int"))))
     most, n = t.agg(F.max("n"), F.count("*")).first()  # two numbers
@@ -95,7 +98,8 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, threshold: float =
         .select("doc_id", "raw", (n_words(F.col("raw")) - 1).alias("n")).filter(F.col("n").between(1, most))
         .select("doc_id", normalised(F.col("raw")).alias("segment"), "n")
     )
-    pairs = segments.withColumn("theirs", bigrams(F.col("segment"))).join(t, "n").withColumn("common", F.array_intersect("own", "theirs"))
+    pairs = segments.join(t, "n").filter(F.exists("probe", lambda b: F.contains(F.col("segment"), b)))
+    pairs = pairs.withColumn("theirs", bigrams(F.col("segment"))).withColumn("common", F.array_intersect("own", "theirs"))
     # no more than this can be shared; only pairs that may reach the threshold are counted in full
     whole = F.col("m") + F.col("n")
     pairs = pairs.filter(2 * (F.size("common") + F.col("again")) >= threshold * whole)
