@@ -45,7 +45,7 @@ def chosen():
             yield name
 
 
-@pytest.mark.parametrize("name", chosen())
+@pytest.mark.parametrize("name", list(chosen()))
 def test_query_equals_sql(spark, con, name):
     got, want = registry.QUERIES[name](spark, SF).toPandas(), con.sql(registry.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
