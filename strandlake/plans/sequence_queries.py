@@ -53,12 +53,24 @@ def _(t):
     return sq.consensus(d, ["grp"], "s")
 
 
+@query("consensus_whole")
+def _(t):
+    """A27 over whole texts."""
+    return sq.consensus(t.documents.select((F.col("doc_id") % 50).alias("grp"), as_dna("text").alias("s")), ["grp"], "s")
+
+
 @query("base_counts", _CYCLE + """SELECT pos AS cycle, count(*) AS depth, count(*) FILTER (b = 'A') AS "A", count(*) FILTER (b = 'C') AS "C", count(*) FILTER (b = 'G') AS "G", count(*) FILTER (b = 'T') AS "T", CAST(0 AS BIGINT) AS "N" FROM c GROUP BY 1""")
 def _(t):
     """Bases per cycle."""
     return sq.base_counts(t.documents.select(F.substring(as_dna("text"), 1, 30).alias("s")), [], "s")
 
 
+@query("base_counts_whole")
+def _(t):
+    """A28 over whole texts: every cycle."""
+    return sq.base_counts(t.documents.select(as_dna("text").alias("s")), [], "s")
+
+
 @query("quality_per_cycle", """WITH c AS (SELECT CAST(i AS INTEGER) AS cycle, ascii(substr(p_name, CAST(i AS BIGINT) + 1, 1)) - 33 AS q FROM (SELECT p_name, unnest(range(length(p_name))) AS i FROM part)) SELECT cycle, count(*) AS n, round(avg(q), 6) AS mean_quality, CAST(min(q) AS INTEGER) AS min_quality FROM c GROUP BY 1""")
 def _(t):
     """Qualities per cycle."""
@@ -73,6 +85,13 @@ def _(t):
     return t.documents.select("doc_id", dna.similarity(F.substring(s, 1, 40), F.substring(s, 3, 40)).alias("x")).select("doc_id", "x.matches", "x.testable")
 
 
+@query("sequence_similarity_whole")
+def _(t):
+    """A32 over whole texts: each against itself two bases on."""
+    s = as_dna("text")
+    return t.documents.select("doc_id", dna.similarity(s, F.substring(s, F.lit(3), F.length(s))).alias("x")).select("doc_id", "x.matches", "x.testable")
+
+
 @query("hamming_barcode", """WITH r AS (SELECT DISTINCT upper(substr(p_name, 1, 6)) AS seen FROM part), b AS (SELECT upper(substr(p_name, 1, 6)) AS barcode, 'b' || p_partkey AS name FROM part WHERE p_partkey < 12),
 d AS (SELECT seen, name, greatest(length(seen), length(barcode)) - (SELECT count(*) FROM range(1, least(length(seen), length(barcode)) + 1) t(i) WHERE substr(seen, CAST(i AS BIGINT), 1) = substr(barcode, CAST(i AS BIGINT), 1)) AS d FROM r, b),
 m AS (SELECT seen AS s, min(d) AS least FROM d GROUP BY 1) SELECT seen AS barcode, CAST(least AS INTEGER) AS distance, CASE WHEN least <= 2 AND count(*) = 1 THEN min(name) ELSE 'unknown' END AS name FROM d JOIN m ON seen = s WHERE d.d = least GROUP BY seen, least""")
@@ -106,6 +125,22 @@ def _(t):
     return sq.unique_matches(*_mems(t), 30).select("query", "ref", "q_start", "r_start", "len")
 
 
+def _all_mems(t):
+    return t.documents.select(F.col("doc_id").alias("query"), F.col("text").alias("seq")), t.benchmark.select(F.col("item_id").alias("ref"), F.col("text").alias("seq"))
+
+
+@query("maximal_matches_whole")
+def _(t):
+    """J22 with every document as a query, of any length."""
+    return sq.maximal_matches(*_all_mems(t), 30)
+
+
+@query("unique_matches_whole")
+def _(t):
+    """J22, D2 with every document as a query, of any length."""
+    return sq.unique_matches(*_all_mems(t), 30).select("query", "ref", "q_start", "r_start", "len")
+
+
 @query("mappability")
 def _(t):
     """Shortest unique lengths of every base."""
@@ -131,3 +166,10 @@ def _(t):
     """Bases over positions and calls."""
     r = t.documents.select(F.col("doc_id").alias("pair_id"), (F.col("doc_id") % 5).alias("chr"), (F.col("doc_id") % 7).alias("pos"), F.substring(as_dna("text"), 1, 20).alias("seq"))
     return sq.genotype(sq.pileup(r), 2, 0.3)
+
+
+@query("pileup_genotypes_whole")
+def _(t):
+    """A9, D28 over whole texts: every position."""
+    r = t.documents.select(F.col("doc_id").alias("pair_id"), (F.col("doc_id") % 5).alias("chr"), (F.col("doc_id") % 7).alias("pos"), as_dna("text").alias("seq"))
+    return sq.genotype(sq.pileup(r), 2, 0.3)
