@@ -31,7 +31,8 @@ from .common import only
 #: Element names by their role in a page.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object select button canvas audio video map".split())
+RAW = frozenset("script style textarea title".split())
+DROPPED = frozenset("noscript template svg math iframe object select button canvas audio video map".split())
 CHROME = frozenset("nav footer aside form menu dialog fieldset".split())
 CONTENT = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -89,8 +90,9 @@ def blocks(page: str | None) -> list[tuple[Block, str]]:
     """Flat text blocks of a page in order, each with its training label ('' on ordinary pages)."""
     page = page or ""
     out: list[tuple[Block, str]] = []
-    stack: list[tuple] = []  # (name, chrome, chrome word, content, content word, heading, header, list item, label)
-    state = ("", False, False, False, False, False, False, False, "")
+    # (name, chrome, chrome word, content, content word, heading, header, list item, label, dropped) of all open elements
+    stack: list[tuple] = []
+    root = state = ("", False, False, False, False, False, False, False, "", False)
     text: list[str] = []
     linked: list[str] = []
     anchors = 0
@@ -108,7 +110,7 @@ def blocks(page: str | None) -> list[tuple[Block, str]]:
     while at < size:
         m = _TOKEN.search(page, at)
         piece = page[at : m.start() if m else size]
-        if piece:
+        if piece and not state[9]:
             text.append(piece)
             if anchors:
                 linked.append(piece)
@@ -125,6 +127,21 @@ def blocks(page: str | None) -> list[tuple[Block, str]]:
                 end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
                 at = end.end() if end else size
             continue
+        if name in DROPPED or state[9]:
+            # no text inside, and no block ends there: inner elements only count as open, with the flags around them
+            if not closing:
+                if name not in VOID and not m[0].endswith("/>"):
+                    stack.append((name, *state[1:9], True))
+            elif any(s[0] == name for s in stack):
+                at_name = max(i for i, s in enumerate(stack) if s[0] == name)
+                if name in BLOCK or name in DROPPED or not any(s[0] in BLOCK or s[0] in DROPPED for s in stack[at_name:]):
+                    after = stack[at_name - 1] if at_name else root
+                    if name in BLOCK and not after[9]:  # the end of a block around an unclosed one
+                        close()
+                        anchors = 0
+                    del stack[at_name:]
+            state = stack[-1] if stack else root
+            continue
         if name == "a":
             anchors = max(0, anchors - 1) if closing else anchors + 1
             continue
@@ -132,13 +149,24 @@ def blocks(page: str | None) -> list[tuple[Block, str]]:
             text.append(" ")
             continue
         if name not in BLOCK:
-            if closing or name in VOID or m[0].endswith("/>"):
+            if name in VOID or m[0].endswith("/>"):
+                continue
+            if closing:  # ends the innermost element of its name, but no block
+                i = len(stack) - 1
+                while i >= 0 and stack[i][0] not in BLOCK and stack[i][0] != name:
+                    i -= 1
+                if i >= 0 and stack[i][0] == name:
+                    after = stack[i - 1] if i else root
+                    if after[2] != state[2]:
+                        close()
+                    del stack[i:]
+                    state = after
                 continue
             chrome, _, _ = _hints(m[3] or m[6] or "")
-            if chrome:  # an inline element that is an advert, a share link and the like: a block of its own
+            if chrome and not state[2]:  # an inline element that is an advert, a share link and the like: a block of its own
                 close()
-                stack.append((name, state[1], True, *state[3:]))
-                state = stack[-1]
+            stack.append((name, state[1], state[2] or chrome, *state[3:]))
+            state = stack[-1]
             continue
         close()
         anchors = 0
@@ -148,13 +176,16 @@ def blocks(page: str | None) -> list[tuple[Block, str]]:
                     pass
         elif name not in VOID:
             # a new paragraph or item ends an open one
-            if stack and stack[-1][0] == "p" and name != "p" or stack and name in ("p", "li", "dt", "dd") and stack[-1][0] == name:
-                stack.pop()
-            up = stack[-1] if stack else ("", False, False, False, False, False, False, False, "")
+            i = len(stack) - 1
+            while i >= 0 and stack[i][0] not in BLOCK:
+                i -= 1
+            if i >= 0 and (stack[i][0] == "p" and name != "p" or name in ("p", "li", "dt", "dd") and stack[i][0] == name):
+                del stack[i:]
+            up = stack[-1] if stack else root
             chrome, content, label = _hints(m[3] or m[6] or "")
             inside = up[3] or name in CONTENT
-            stack.append((name, up[1] or name in CHROME, up[2] or chrome, inside, up[4] or content, name in HEADINGS, up[6] or name == "header" and not up[3], up[7] or name == "li", label or up[8]))
-        state = stack[-1] if stack else ("", False, False, False, False, False, False, False, "")
+            stack.append((name, up[1] or name in CHROME, up[2] or chrome, inside, up[4] or content, name in HEADINGS, up[6] or name == "header" and not up[3], up[7] or name == "li", label or up[8], False))
+        state = stack[-1] if stack else root
     close()
     return out
 
