@@ -63,6 +63,14 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of a Parquet scan but those at ``gone`` (file, row); equal rows are told apart by where they stand."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    gone = gone.select(F.col("file").alias("__gone_file"), F.col("row").alias("__gone_row"))
+    here = docs.select(*columns, F.col("_metadata.file_path").alias("__at_file"), F.col("_metadata.row_index").alias("__at_row"))
+    return here.join(gone, (F.col("__at_file") == F.col("__gone_file")) & (F.col("__at_row") == F.col("__gone_row")), "left_anti").select(*columns)
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have yet (names are caseless)."""
     taken = {c.lower() for c in df.columns}

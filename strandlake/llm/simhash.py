@@ -33,8 +33,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, union_all, written
+from .common import only, union_all, without_rows, written
 from .components import components
+from .exact_dedup import _has_locator as has_locator
+from .exact_dedup import located
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 #: Rows of a key beyond which its tile pairs become tasks of their own, and rows of a tile inside a task.
@@ -188,7 +190,22 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE,
     return rows.join(ids, F.col("fp") == F.col("i_fp")).select("doc_id", "fp", "component_id")
 
 
-def distinct_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` whose id is that of their component; rows that repeat this id are one document and stay."""
-    gone = near_duplicates(docs, **how).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
+def distinct_documents(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE, tile: int = TILE, blocks: int | None = None) -> DataFrame:
+    """One row of ``docs`` per component: that of the least known id, then of the first place. Ids may be null or repeat."""
+    if not has_locator(docs):
+        docs = written(docs, "simhash-source")
+
+    @F.pandas_udf("long")
+    def of(text: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(t, words) for t in text], dtype="int64")
+
+    rows = written(located(docs).select("doc_id", "file", "row", of("text").alias("fp")), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "file", "row")
+    fps = written(rows.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
+    linked = fps.join(components(links(fps, radius, blocks, tile)), F.col("fp") == F.col("node")).select(F.col("fp").alias("l_fp"), "first", "root")
+    heads = linked.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("head"))
+    heads = written(linked.join(heads, F.col("root") == F.col("r")).select("l_fp", "head"), "components")
+    # a fingerprint of one row and no link keeps its row
+    kept = fps.join(heads, F.col("fp") == F.col("l_fp"), "left").filter("n > 1 OR l_fp IS NOT NULL").select(F.col("fp").alias("k_fp"), F.coalesce("head", "first").alias("kept"))
+    gone = rows.join(kept, F.col("fp") == F.col("k_fp")).filter("file != kept.file OR row != kept.row").select("file", "row")
+    return without_rows(docs, gone)
