@@ -30,7 +30,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, union_all
+from .common import only, union_all, without_rows, written
+from .exact_dedup import _has_locator as has_locator
+from .exact_dedup import located
 
 MIN_MATCH, THRESHOLD = 5, 0.8
 BLOCK_CHARS = 8_000_000
@@ -203,13 +205,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH,
 def clean_documents(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` that no benchmark item contaminates.
 
-    A benchmark of few blocks is tested row by row, without a shuffle; a larger
-    one goes through :func:`contaminated`, so that a task holds one block.
+    Every row is judged by its own text, whatever its id. A benchmark of few
+    blocks is tested in one pass, without a shuffle; a larger one block after
+    block, so that a task holds one block, and hits leave by where they stand.
     """
     blocks = _blocks(docs.sparkSession, benchmark, block_chars)
     if len(blocks) > INLINE_BLOCKS:
-        found = contaminated(docs, benchmark, least, threshold, block_chars).select(F.col("doc_id").alias("__contaminated")).distinct()
-        return docs.join(found, docs["doc_id"].eqNullSafe(F.col("__contaminated")), "left_anti")
+        if not has_locator(docs):
+            docs = written(docs, "decontam-source")
+        parts = []
+        for rows in blocks:
+            shared = docs.sparkSession.sparkContext.broadcast(Index(rows(), least, threshold))  # bounded: one block
+            parts.append(written(located(docs).filter(_hit(shared)("text")).select("file", "row"), "contaminated"))
+            shared.destroy()
+        return without_rows(docs, union_all(parts).distinct())
     for rows in blocks:
         docs = docs.filter(~_hit(docs.sparkSession.sparkContext.broadcast(Index(rows(), least, threshold)))(docs["text"]))  # bounded: one block
     return docs
