@@ -75,10 +75,18 @@ def lowess(df: DataFrame, keys: list[str], order: str, x: str, y: str, frac: flo
     return df.select(*columns).groupBy(*keys).applyInPandas(lambda p: run(p), schema)
 
 
-def _best_arc(y: np.ndarray) -> tuple[float, int, int]:
-    """Largest |t| over circular arcs [i, j), from the cumulative sums."""
+def _best_arc(y: np.ndarray, block: int = 64) -> tuple[float, int, int]:
+    """Largest |t| over circular arcs [i, j), from the cumulative sums; of equal ones the first.
+
+    Starts and ends are taken in blocks. Between two blocks |s[j] - s[i]| is at most
+    the spread of their sums, and size * (1 - size / n) at least that of the
+    shortest or longest arc; block pairs whose bound lies below an arc that
+    is already known are left out, so none that is better is missed.
+    """
     n = len(y)
     s = np.r_[0.0, np.cumsum(y - y.mean())]
+    if n > 4 * block:
+        return _pruned_arc(s, n, block)
     best = (0.0, 0, 0)
     for i in range(n):
         k = np.arange(i + 1, n + 1)
@@ -92,7 +100,34 @@ def _best_arc(y: np.ndarray) -> tuple[float, int, int]:
     return best
 
 
-def cbs_cuts(y: np.ndarray, alpha: float = 0.01, permutations: int = 200, least: int = 2, seed: int = 25, window: int = 2000) -> list[int]:
+def _pruned_arc(s: np.ndarray, n: int, block: int) -> tuple[float, int, int]:
+    starts = np.arange(0, n + 1, block)
+    stops = np.r_[starts[1:], n + 1]
+    low, high = np.minimum.reduceat(s, starts), np.maximum.reduceat(s, starts)
+    a, b = np.triu_indices(len(starts))
+    shortest = np.maximum(1, starts[b] - stops[a] + 1)
+    longest = np.minimum(n - 1, stops[b] - 1 - starts[a])
+    spread = np.maximum(high[b] - low[a], high[a] - low[b])
+    least = np.minimum(shortest * (1 - shortest / n), longest * (1 - longest / n))
+    # a margin for rounding: bounds may only be too large
+    bound = spread / np.sqrt(np.maximum(least, 1e-300)) * (1 + 1e-9)
+    best = (0.0, 0, 0)
+    for k in np.argsort(-bound, kind="stable"):
+        if bound[k] < best[0]:
+            break
+        i, j = np.arange(starts[a[k]], stops[a[k]]), np.arange(starts[b[k]], stops[b[k]])
+        size = j[None, :] - i[:, None]
+        ok = (size > 0) & (size < n)
+        t = np.where(ok, np.abs(s[j][None, :] - s[i][:, None]) / np.sqrt(np.where(ok, size * (1 - size / n), 1.0)), 0.0)
+        at = int(np.argmax(t))
+        x, y = divmod(at, len(j))
+        found = (float(t[x, y]), int(i[x]), int(j[y]))
+        if found[0] > best[0] or found[0] == best[0] and found[1:] < best[1:]:
+            best = found
+    return best
+
+
+def cbs_cuts(y: np.ndarray, alpha: float = 0.01, permutations: int = 200, least: int = 2, seed: int = 25) -> list[int]:
     """Change points by circular binary segmentation with permutation tests."""
     rng = np.random.default_rng(seed)
     cuts, todo = [], [(0, len(y))]
@@ -101,17 +136,15 @@ def cbs_cuts(y: np.ndarray, alpha: float = 0.01, permutations: int = 200, least:
         part = y[a:b]
         if b - a < 2 * least or np.ptp(part) == 0:
             continue
-        step = max(1, (b - a) // window)  # long stretches are searched on means of neighbours
-        coarse = part[: (b - a) // step * step].reshape(-1, step).mean(1)
-        t, i, j = _best_arc(coarse)
+        t, i, j = _best_arc(part)
         above = 0
         for k in range(permutations):
-            above += _best_arc(rng.permutation(coarse))[0] >= t
+            above += _best_arc(rng.permutation(part))[0] >= t
             if above > alpha * permutations:
                 break
         if above > alpha * permutations:
             continue
-        ends = sorted({a + i * step, a + j * step} - {a, b})
+        ends = sorted({a + i, a + j} - {a, b})
         ends = [e for e in ends if e - a >= least and b - e >= least]
         if ends:
             cuts += ends
