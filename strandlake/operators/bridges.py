@@ -286,7 +286,7 @@ def unequal_bridges(bridges: DataFrame, pairs_per_sample: DataFrame, least: int
     return scored.filter((10 * F.col("least") <= F.col("most")) & (F.col("p") < p_value))
 
 
-def incidental_split(bridges: DataFrame) -> DataFrame:
-    """Per first anchor: its most supported bridge is real, the others incidental."""
-    w = Window.partitionBy("chr1", "pos1", "high1").orderBy(F.desc("bridge_count"), "chr2", "pos2", "high2", "offset")
+def incidental_split(bridges: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Per first anchor (and ``keys``): its most supported bridge is real, the others incidental."""
+    w = Window.partitionBy(*keys, "chr1", "pos1", "high1").orderBy(F.desc("bridge_count"), "chr2", "pos2", "high2", "offset")
     return bridges.withColumn("real", F.row_number().over(w) == 1)

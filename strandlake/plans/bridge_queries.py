@@ -262,6 +262,12 @@ def _(t):
     return br.incidental_split(t.sample_bridges.filter("sample = 4")).select("sample", *SIG, "bridge_count", "real")
 
 
+@query("incidental_split_whole", f"""WITH {m.BRIDGES} SELECT sample, {_S}, bridge_count, row_number() OVER (PARTITION BY sample, chr1, pos1, high1 ORDER BY bridge_count DESC, chr2, pos2, high2, "offset") = 1 AS "real" FROM bridges""")
+def _(t):
+    """Real and incidental bridges of an anchor, in every sample."""
+    return br.incidental_split(t.sample_bridges, ["sample"]).select("sample", *SIG, "bridge_count", "real")
+
+
 @query("bridge_genes", f"""WITH {m.BRIDGES}, {m.GENES}, a AS (SELECT DISTINCT chr1 AS chr, pos1 AS pos FROM bridges) SELECT a.chr, a.pos, string_agg(g.name, ',' ORDER BY g.name) AS genes,
 bool_or(len(list_filter(g.exons, lambda e: e.a <= a.pos AND a.pos < e.b)) > 0) AS in_exon FROM a JOIN genes g ON a.chr = g.chr AND g.start < a.pos AND a.pos < g.stop GROUP BY 1, 2""")
 def _(t):
