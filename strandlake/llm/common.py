@@ -23,14 +23,17 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name below the cluster's shared checkpoint folder.
 
-    The session's ``spark.checkpoint.dir`` decides. Only where it is unset (one
-    machine, tests) a temporary folder is made and set for the session.
+    ``spark.checkpoint.dir`` decides, then the folder that the context was given.
+    Only where both are unset and Spark runs in one process (tests) a temporary
+    folder is made and set for the session; on a cluster its executors could not
+    see each other's files, so that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="strandlake-")
         spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/strandlake/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -65,16 +68,5 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
 
 def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of a Parquet scan but those at ``gone`` (file, row); equal rows are told apart by where they stand."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    gone = gone.select(F.col("file").alias("__gone_file"), F.col("row").alias("__gone_row"))
-    here = docs.select(*columns, F.col("_metadata.file_path").alias("__at_file"), F.col("_metadata.row_index").alias("__at_row"))
-    return here.join(gone, (F.col("__at_file") == F.col("__gone_file")) & (F.col("__at_row") == F.col("__gone_row")), "left_anti").select(*columns)
-
-
-def free_name(df: DataFrame, stem: str) -> str:
-    """A column name that ``df`` does not have yet (names are caseless)."""
-    taken = {c.lower() for c in df.columns}
-    name = f"__{stem}"
-    while name.lower() in taken:
-        name += "_"
-    return name
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return whole.join(gone.select("file", "row"), ["file", "row"], "left_anti").select(*[F.col("kept")[c].alias(c) for c in docs.columns])
