@@ -22,11 +22,13 @@ extra columns do no harm.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, only, shared_dir, written
+from .common import SPACE_CLASS, only, shared_dir, without_rows, written
 
 #: Digests of groups with copies that are broadcast at most (about 100 bytes each).
 BROADCAST_HITS = 100_000
@@ -83,9 +85,14 @@ def _candidate() -> Column:
     )
 
 
-def keep_state(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
-    """Run the stream over the arrivals at ``path``; the state per digest: keep, group_size."""
-    out, log = shared_dir(spark, "dedup-state"), shared_dir(spark, "dedup-log")
+def keep_state(spark: SparkSession, path: str, schema, files_per_batch: int | None = None, base: str | None = None) -> DataFrame:
+    """Run the stream over the arrivals at ``path``; the state per digest: keep, group_size.
+
+    The stream's state and log are below ``base``: with the same folder it goes
+    on where it stopped, and reads new files only.
+    """
+    base = base or shared_dir(spark, "dedup")
+    out, log = f"{base}/keys", f"{base}/log"
     before = {k: spark.conf.get(k, None) for k in ROCKS}
     try:
         for k, v in ROCKS.items():
@@ -107,38 +114,72 @@ def keep_state(spark: SparkSession, path: str, schema, files_per_batch: int | No
     return latest.groupBy("digest").agg(F.max("keep").alias("keep"), F.max("group_size").alias("group_size"))
 
 
-def checked(docs: DataFrame, hits: DataFrame, n_hits: int, digest=digest_of) -> DataFrame:
-    """Digests of hit groups whose rows are not all of the same bytes.
+def checked(docs: DataFrame, hits: DataFrame, rows: int, digest=digest_of) -> DataFrame:
+    """Digests of hit groups (digest, group_size) whose rows are not all of the same bytes; ``rows``: how many rows there are.
 
     All bytes of a group are equal if its least and its greatest text are; both
     are found with partial aggregation, so a task that holds a thousand copies
-    passes on one or two texts. The hit digests are broadcast while they are few
-    (``BROADCAST_HITS``), so texts of unique documents are never shuffled; with
-    more of them the semi-join shuffles.
+    passes on one or two texts. While they are few (``BROADCAST_HITS``) the hit
+    digests are broadcast, so texts of unique documents are never shuffled. With
+    more of them, groups above rows / BROADCAST_HITS rows are broadcast, of which
+    there are fewer than BROADCAST_HITS by that very bound, and only groups up
+    to that size meet by a shuffle: no task gets a hot group's texts.
     """
-    rows = docs.select(digest(F.col("text")).alias("digest"), normalised(F.col("text")).alias("bytes"))
-    hits = hits.select("digest")
-    members = rows.join(F.broadcast(hits) if n_hits <= BROADCAST_HITS else hits, "digest", "left_semi")
-    return members.groupBy("digest").agg(F.min("bytes").alias("least"), F.max("bytes").alias("most")).filter("least != most").select("digest")
+    every = docs.select(digest(F.col("text")).alias("digest"), normalised(F.col("text")).alias("bytes"))
+
+    def unequal(members: DataFrame) -> DataFrame:
+        return members.groupBy("digest").agg(F.min("bytes").alias("least"), F.max("bytes").alias("most")).filter("least != most").select("digest")
+
+    if hits.count() <= BROADCAST_HITS:
+        return unequal(every.join(F.broadcast(hits.select("digest")), "digest", "left_semi"))
+    hot = F.col("group_size") > max(2, rows // BROADCAST_HITS)
+    large, small = hits.filter(hot).select("digest"), hits.filter(~hot).select("digest")
+    return unequal(every.join(F.broadcast(large), "digest", "left_semi")).union(unequal(every.join(small.hint("shuffle_merge"), "digest", "left_semi")))
 
 
-def dedup(docs: DataFrame, digest=digest_of, files_per_batch: int | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, file, row, digest, keep_id, group_size, kept."""
+def dedup(docs: DataFrame, digest=digest_of, files_per_batch: int | None = None, state: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, file, row, digest, keep_id, group_size, kept.
+
+    With a folder ``state`` (in shared storage) the stream's state outlives the
+    call: a later call with other rows goes on from there, and judges them
+    against all rows of the calls before, whose Parquet files must still stand
+    where they stood. Rows of earlier calls aren't returned again.
+    """
     spark = docs.sparkSession
     docs = located(docs)
-    path = shared_dir(spark, "dedup-arrivals")
-    arrivals(docs, digest).write.parquet(path)
-    seen = spark.read.parquet(path)
-    state = written(keep_state(spark, path, seen.schema, files_per_batch), "dedup-keys")
-    hits = state.filter("group_size > 1")
-    broken = written(checked(docs, hits, hits.count(), digest), "dedup-unequal")
-    rows = _decide(seen, state)
+    base = state.rstrip("/") if state else shared_dir(spark, "dedup")
+    path = f"{base}/arrivals"
+    part = f"call-{uuid.uuid4().hex[:12]}"
+    arrivals(docs, digest).write.parquet(f"{path}/{part}")
+    seen = spark.read.parquet(f"{path}/{part}")
+    keys = written(keep_state(spark, f"{path}/*", seen.schema, files_per_batch, base), "dedup-keys")
+    if state:  # groups that this call's rows are in
+        keys = written(keys.join(seen.select("digest").distinct(), "digest", "left_semi"), "dedup-keys")
+    hits = keys.filter("group_size > 1")
+    if state:  # the texts of earlier rows are read where the locators say
+        before = _earlier(spark, path, part, hits)
+        docs = docs if before is None else docs.unionByName(before)
+    total = keys.agg(F.sum("group_size")).first()[0] or 0
+    broken = written(checked(docs, hits, total, digest), "dedup-unequal")
+    rows = _decide(seen, keys)
     if broken.limit(1).count() == 0:
         return rows
     # different bytes under one digest: only those groups are decided anew, by the text itself
     again = docs.select(digest(F.col("text")).alias("digest"), normalised(F.col("text")).alias("bytes"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("points"), "doc_id", "file", "row").join(broken, "digest", "left_semi")
     groups = again.groupBy("digest", "bytes").agg(F.max(_candidate()).alias("keep"), F.count("*").alias("group_size"))
-    return rows.join(broken, "digest", "left_anti").unionByName(_decide(again, groups, "digest", "bytes"))
+    decided = _decide(again, groups, "digest", "bytes").join(seen.select("file", "row"), ["file", "row"], "left_semi").select(*rows.columns)
+    return rows.join(broken, "digest", "left_anti").unionByName(decided)
+
+
+def _earlier(spark: SparkSession, path: str, part: str, hits: DataFrame) -> DataFrame | None:
+    """(doc_id, text, file, row) of the rows of earlier calls whose digest was hit; None if there is none."""
+    old = spark.read.option("recursiveFileLookup", "true").parquet(path).filter(~F.contains(F.col("_metadata.file_path"), F.lit(f"/{part}/")))
+    places = written(old.join(hits.select("digest"), "digest", "left_semi").select("file", "row"), "dedup-earlier")
+    files = [r[0] for r in places.select("file").distinct().collect()]  # names of input files
+    if not files:
+        return None
+    rows = spark.read.parquet(*files).select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return rows.join(places, ["file", "row"], "left_semi").select("doc_id", "text", "file", "row")
 
 
 def _decide(rows: DataFrame, state: DataFrame, *keys: str) -> DataFrame:
@@ -150,9 +191,4 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     """All columns of the rows that stay."""
     if not _has_locator(docs):
         docs = written(docs, "dedup-source")
-    gone = dedup(docs).filter("NOT kept").select(F.col("file").alias("__file"), F.col("row").alias("__row"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return (
-        docs.select(*columns, F.col("_metadata.file_path").alias("__at_file"), F.col("_metadata.row_index").alias("__at_row"))
-        .join(gone, (F.col("__at_file") == F.col("__file")) & (F.col("__at_row") == F.col("__row")), "left_anti").select(*columns)
-    )
+    return without_rows(docs, dedup(docs).filter("NOT kept").select("file", "row"))
