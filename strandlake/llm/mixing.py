@@ -12,20 +12,28 @@ so sources are configuration-sized), ``BUCKETS`` sums per refined source and
 level, and the length histogram up to twice the open budget. None of them grows
 with the number of documents.
 
+Rows that repeat the same source, id and text are decided one by one like any
+other: the n-th of them has an order key of its own. How many of them the mix
+takes depends on the data only; which ones is settled by where they stand, and
+as they are equal it makes no difference. Their numbers come from partial counts
+over slices, so a group of a third of all rows is never numbered in one task.
+
 Edge cases: null text has size 0; size-0 documents are taken 0 words; a null
-source is a source of its own and sorts last; rows that repeat the same id and
-text share one decision and count as one unit of their joint size; an empty
-table gives an empty result; extra columns are carried by :func:`mix` and their
-names may clash with nothing but the five result columns, which win.
+source is a source of its own and sorts last; an empty table gives an empty
+result; extra columns are carried by :func:`mix`, and one that is named like a
+result column comes back as ``input_`` and its name.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, free_name, only, written
+from .common import WORD_PATTERN, only, written
+from .exact_dedup import _has_locator as has_locator
 
 #: The cycle of source weights, and the most passes over a source.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -36,6 +44,8 @@ BITS, LEVEL_BITS = 60, 10
 MARGIN, MAX_OPEN = 4096, 100_000
 #: A dimension of at most so many rows is broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: Rows of a repeated unit that are opened or numbered in one task.
+SLICE = 1 << 16
 
 
 def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, cap=MAX_REPEATS) -> dict[str | None, float]:
@@ -90,26 +100,18 @@ def fit_lengths(histogram: list[tuple[int, int]], budget: int) -> dict[int, int]
     return taken
 
 
-def _keyed(docs: DataFrame, seed: int) -> DataFrame:
-    """Size and seeded 60-bit order key of every row."""
-    return docs.withColumns({
-        "__size": F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long"),
-        "__h": F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 64 - BITS),
-    })
-
-
 def _small(dim: DataFrame, n: int) -> DataFrame:
     return F.broadcast(dim) if n <= BROADCAST_ROWS else dim
 
 
-def plan(units: DataFrame, weights=WEIGHTS, cap=MAX_REPEATS) -> tuple[list[tuple], DataFrame | None, int]:
-    """Per source (size, target, whole passes, bulk threshold), and the picked units.
+def plan(pieces: DataFrame, weights=WEIGHTS, cap=MAX_REPEATS) -> tuple[list[tuple], DataFrame | None, int]:
+    """Per source (size, target, whole passes, bulk threshold), and the pieces picked beside the bulk.
 
-    ``units``: (source, doc_id, size, h, n) with one row per distinct decision.
+    ``pieces``: (source, doc_id, size, u, k, h), one per row; rows of equal (source, doc_id, u) are alike and numbered by k.
     """
-    spark = units.sparkSession
+    spark = pieces.sparkSession
     # sources are configuration-sized: one row each comes to the driver
-    sizes = [(r[0], int(r[1])) for r in units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()]
+    sizes = [(r[0], int(r[1])) for r in pieces.groupBy("source").agg(F.sum("size").alias("words")).collect()]
     goal = targets(sizes, weights, cap)
     state = {}
     for s, size in sizes:
@@ -121,10 +123,10 @@ def plan(units: DataFrame, weights=WEIGHTS, cap=MAX_REPEATS) -> tuple[list[tuple
         shift -= LEVEL_BITS
         ranges = spark.createDataFrame([(s, state[s]["low"]) for s in todo], "k_source string, low long")
         sums = (
-            units.join(_small(ranges, len(todo)), F.col("source").eqNullSafe(F.col("k_source")))
+            pieces.join(_small(ranges, len(todo)), F.col("source").eqNullSafe(F.col("k_source")))
             .filter((F.col("h") >= F.col("low")) & (F.col("h") < F.col("low") + F.lit(1 << (shift + LEVEL_BITS))))
             .groupBy("source", F.shiftright(F.col("h") - F.col("low"), shift).alias("bucket"))
-            .agg(F.sum(F.col("size") * F.col("n")).alias("words"))
+            .agg(F.sum("size").alias("words"))
         )
         got: dict = {s: np.zeros(1 << LEVEL_BITS, np.int64) for s in todo}
         for s, b, words in sums.toLocalIterator():
@@ -144,10 +146,10 @@ def plan(units: DataFrame, weights=WEIGHTS, cap=MAX_REPEATS) -> tuple[list[tuple
         return rows, None, 0
     ranges = spark.createDataFrame(open_, "k_source string, low long, most long")
     pool = (
-        units.withColumn("words", F.col("size") * F.col("n"))
+        pieces.withColumnRenamed("size", "words")
         .join(_small(ranges, len(open_)), F.col("source").eqNullSafe(F.col("k_source")))
         .filter((F.col("h") >= F.col("low")) & (F.col("words") > 0) & (F.col("words") <= F.col("most")))
-        .select("source", "doc_id", "words", "h")
+        .select("source", "doc_id", "words", "u", "k", "h")
     )
     lengths: dict = {s: [] for s, _, _ in open_}
     for s, words, n in pool.groupBy("source", "words").count().toLocalIterator():
@@ -163,58 +165,108 @@ def plan(units: DataFrame, weights=WEIGHTS, cap=MAX_REPEATS) -> tuple[list[tuple
         # the literal bound lets Spark keep only the first rows of each group before it shuffles
         .filter(F.col("rank") <= max(c for _, _, c in picks))
         .filter(F.col("rank") <= F.col("p_count"))
-        .select(F.col("source").alias("p_source"), F.col("doc_id").alias("p_doc_id"), F.col("h").alias("p_h"))
+        .select(F.col("source").alias("p_source"), F.col("doc_id").alias("p_doc_id"), F.col("u").alias("p_u"), F.col("k").alias("p_k"))
     )
     return rows, chosen, sum(c for _, _, c in picks)
 
 
 def _window():
-    from pyspark.sql import Window
+    return Window.partitionBy("source", "words").orderBy("h", "doc_id", "k")
+
+
+def _pieces(units: DataFrame, seed: int) -> DataFrame:
+    """One row per row that the units stand for: (source, doc_id, size, u, k, h); u is the unit's key, k its number there, h its own order key."""
+    key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "u", "k"), 64 - BITS)
+    one = units.filter("n = 1").select("source", "doc_id", "size", F.col("h").alias("u"), F.lit(0).cast("long").alias("k"), "h")
+    # a large unit is opened in two steps, so that its rows come from many tasks
+    some = units.filter("n > 1").select("source", "doc_id", "size", F.col("h").alias("u"), "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(SLICE).cast("long"))).alias("at"))
+    some = some.repartition("source", "doc_id", "u", "at").select("source", "doc_id", "size", "u", F.explode(F.sequence(F.col("at"), F.least(F.col("at") + SLICE, F.col("n")) - 1)).alias("k"))
+    return one.unionByName(some.withColumn("h", key))
+
+
+def _numbered(rows: DataFrame, repeated: DataFrame, n: int) -> DataFrame:
+    """(file, row, k) of the rows of repeated units: k counts the rows of a unit from 0."""
+    unit = ["source", "doc_id", "u"]
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in unit])
+    own = rows.withColumnRenamed("h", "u").join(_small(repeated.select(*[F.col(c).alias(f"r_{c}") for c in unit], F.col("n").alias("r_n")), n), same)
+    # slices by place: their sizes are summed before, and each is numbered by itself
+    own = own.withColumn("slice", F.pmod(F.xxhash64("file", "row"), F.ceil(F.col("r_n") / SLICE))).select(*unit, "slice", "file", "row")
+    sizes = own.groupBy(*unit, "slice").agg(F.count("*").alias("m"))
+    before = Window.partitionBy(*unit).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*[F.col(c).alias(f"s_{c}") for c in [*unit, "slice"]], F.coalesce(F.sum("m").over(before), F.lit(0)).alias("first"))
+    inside = own.withColumn("k", F.row_number().over(Window.partitionBy(*unit, "slice").orderBy("file", "row")))
+    met = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in [*unit, "slice"]])
+    return inside.join(sizes, met).select(*unit, "file", "row", (F.col("first") + F.col("k") - 1).alias("k"))
 
-    return Window.partitionBy("source", "words").orderBy("h", "doc_id")
 
+def _decided(docs: DataFrame, rows: DataFrame, weights, cap, seed: int) -> DataFrame:
+    """``docs`` (with __source, __doc_id, __size, __h, __file and __row) and source_size, target and copies.
 
-def _decided(keyed: DataFrame, weights, cap) -> DataFrame:
-    """Add source_size, target and copies to rows that have __size and __h."""
-    spark = keyed.sparkSession
-    rows = written(keyed.select("source", "doc_id", F.col("__size").alias("size"), F.col("__h").alias("h")), "mix-sizes")
+    ``rows`` has the same rows without texts: source, doc_id, size, h, file, row.
+    """
+    spark = docs.sparkSession
     units = written(rows.groupBy("source", "doc_id", "size", "h").agg(F.count("*").alias("n")), "mix-units")
-    per_source, chosen, n = plan(units, weights, cap)
+    repeated = units.filter("n > 1").withColumnRenamed("h", "u")
+    n_repeated = repeated.count()
+    pieces = units.select("source", "doc_id", "size", F.col("h").alias("u"), F.lit(0).cast("long").alias("k"), "h")
+    if n_repeated:
+        pieces = written(_pieces(units, seed), "mix-pieces")
+    per_source, chosen, n = plan(pieces, weights, cap)
     dim = spark.createDataFrame(per_source, "k_source string, source_size long, target double, passes int, low long")
-    out = keyed.join(_small(dim, len(per_source)), F.col("source").eqNullSafe(F.col("k_source")), "left")
-    bulk = F.when(F.col("__h") < F.col("low"), 1).otherwise(0)
-    extra = F.lit(0)
+    out = docs.join(_small(dim, len(per_source)), F.col("__source").eqNullSafe(F.col("k_source")), "left")
+    extra = F.when(F.col("__h") < F.col("low"), 1).otherwise(0)
     if chosen is not None:
-        chosen = written(chosen.withColumn("picked", F.lit(1)), "mix-picks")
+        chosen = written(chosen, "mix-picks")
         out = out.join(
-            _small(chosen, n),
-            F.col("source").eqNullSafe(F.col("p_source")) & F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.col("__h") == F.col("p_h")),
+            _small(chosen.filter("p_k = 0").withColumn("picked", F.lit(1)), n),
+            F.col("__source").eqNullSafe(F.col("p_source")) & F.col("__doc_id").eqNullSafe(F.col("p_doc_id")) & (F.col("__h") == F.col("p_u")),
             "left",
         )
-        extra = F.coalesce(F.col("picked"), F.lit(0))
-    return out.withColumn("copies", F.least(F.lit(cap), F.coalesce(F.col("passes"), F.lit(0)) + bulk + extra).cast("int"))
+        extra += F.coalesce(F.col("picked"), F.lit(0))
+    if n_repeated:
+        # how many rows of each repeated unit get one more copy; then the rows that do
+        unit = ["source", "doc_id", "u"]
+        bulk = pieces.join(repeated.select(*[F.col(c).alias(f"r_{c}") for c in unit]), reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in unit]))
+        bulk = bulk.join(_small(dim, len(per_source)), F.col("source").eqNullSafe(F.col("k_source"))).filter("h < low").select(*unit)
+        if chosen is not None:
+            bulk = bulk.union(chosen.select("p_source", "p_doc_id", "p_u"))
+        more = bulk.groupBy(*unit).agg(F.count("*").alias("more"))
+        more = more.select(*[F.col(c).alias(f"m_{c}") for c in unit], "more")
+        numbered = _numbered(rows, repeated, n_repeated).join(more, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in unit]), "left")
+        places = written(numbered.select(F.col("file").alias("n_file"), F.col("row").alias("n_row"), (F.col("k") < F.coalesce("more", F.lit(0))).cast("int").alias("by_place")), "mix-places")
+        out = out.join(_small(places, places.count()), (F.col("__file") == F.col("n_file")) & (F.col("__row") == F.col("n_row")), "left")
+        extra = F.coalesce(F.col("by_place"), extra)
+    return out.withColumn("copies", F.least(F.lit(cap), F.coalesce(F.col("passes"), F.lit(0)) + extra).cast("int"))
+
+
+RESULT = ("size", "source_size", "target", "copies", "taken")
+HIDDEN = ("__doc_id", "__source", "__size", "__h", "__file", "__row")
+
+
+def _sized(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """A Parquet scan of ``docs`` with the columns HIDDEN, and its narrow copy in the shared folder."""
+    if not has_locator(docs):
+        docs = written(docs, "mix-source")
+    text = F.col("text")
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__in"), F.col("doc_id").alias("__doc_id"), F.col("source").alias("__source"),
+        F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("__size"),
+        F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", text), 64 - BITS).alias("__h"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"),
+    )
+    return keyed, written(keyed.select(*[F.col(c).alias(c[2:]) for c in HIDDEN]), "mix-sizes")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, cap=MAX_REPEATS, seed=SEED) -> DataFrame:
     """``docs`` with size, source_size, target, copies and taken, one row each."""
-    result = ("size", "source_size", "target", "copies", "taken")
-    needed = {"doc_id", "source", "text"}
-    others = [c for c in docs.columns if c not in needed and c.lower() not in result]
-    hidden = free_name(docs, "rest")
-    base = only(docs, "doc_id", "source", "text").withColumn(hidden, F.lit(None)) if not others else docs.select(
-        "doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in others]).alias(hidden)
-    )
-    out = _decided(_keyed(base, seed), weights, cap)
-    back = {"doc_id": F.col("doc_id"), "source": F.col("source"), "text": F.col("text")} | {c: F.col(hidden)[c] for c in others}
-    return out.select(
-        *[back[c].alias(c) for c in docs.columns if c in back],
-        F.col("__size").alias("size"), "source_size", "target", "copies", (F.col("__size") * F.col("copies")).alias("taken"),
-    )
+    keyed, rows = _sized(docs, seed)
+    out = _decided(keyed, rows, weights, cap, seed)
+    name = lambda c: f"input_{c}" if c.lower() in RESULT else c
+    return out.select(*[F.col("__in")[c].alias(name(c)) for c in docs.columns], F.col("__size").alias("size"), "source_size", "target", "copies", (F.col("__size") * F.col("copies")).alias("taken"))
 
 
 def mixed_sizes(docs: DataFrame, weights=WEIGHTS, cap=MAX_REPEATS, seed=SEED) -> DataFrame:
     """As :func:`mix`, without texts: doc_id, source, size, source_size, target, copies, taken."""
-    keyed = written(_keyed(only(docs, "doc_id", "source", "text"), seed).select("doc_id", "source", "__size", "__h"), "mix-keys")
-    return _decided(keyed, weights, cap).select(
-        "doc_id", "source", F.col("__size").alias("size"), "source_size", "target", "copies", (F.col("__size") * F.col("copies")).alias("taken")
+    _, rows = _sized(only(docs, "doc_id", "source", "text"), seed)
+    return _decided(rows.select(*[F.col(c[2:]).alias(c) for c in HIDDEN]), rows, weights, cap, seed).select(
+        F.col("__doc_id").alias("doc_id"), F.col("__source").alias("source"), F.col("__size").alias("size"), "source_size", "target", "copies", (F.col("__size") * F.col("copies")).alias("taken")
     )
