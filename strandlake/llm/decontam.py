@@ -14,8 +14,9 @@ the tasks that scan the documents. So the memory is bounded whatever the
 benchmark's size; documents are neither shuffled nor collected.
 
 Edge cases: null and empty texts match nothing; an item of fewer than
-``MIN_MATCH`` words is matched only by a document of exactly these words; equal
-items are reported each; repeated rows are reported each; extra columns do no
+``MIN_MATCH`` words is found where all its words follow one another in a
+document, as one tile; items without words match nothing; equal items are
+reported each; repeated rows are reported each; extra columns do no
 harm; an empty table on either side gives an empty result.
 """
 
@@ -30,14 +31,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, union_all, without_rows, written
-from .exact_dedup import _has_locator as has_locator
-from .exact_dedup import located
+from .common import only, union_all, written
 
 MIN_MATCH, THRESHOLD = 5, 0.8
 BLOCK_CHARS = 8_000_000
-#: A filter tests so many blocks row by row; beyond it, block after block.
-INLINE_BLOCKS = 4
 _WORD = re.compile(r"\w+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "doc_id long, item_id long, coverage double, matched_words long, item_words long, n_tiles int"
@@ -66,41 +63,61 @@ def windows(ids: np.ndarray, length: int) -> np.ndarray:
 
 
 def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling: (doc position, item position, length), longest first, none overlapping."""
+    """Greedy tiling: (doc position, item position, length), longest first, then by position, none overlapping.
+
+    Every round finds the length of the longest common run of free words (a
+    common run of n words holds one of every length below n, so halving the
+    range finds it, each probe by running hashes) and marks all of that length.
+    A round costs O((n + m) log(n + m)) however repetitive the two are, and there
+    are at most as many rounds as distinct tile lengths, that is O(sqrt(m)).
+    """
     free_d, free_i, out = np.ones(len(doc), bool), np.ones(len(item), bool), []
-    size = max(least, min(len(doc), len(item)))
-    while True:
-        # free windows of `size` words on both sides, met by their running hash
-        at_d = np.flatnonzero(_runs(free_d, size))
-        at_i = np.flatnonzero(_runs(free_i, size))
-        hd, hi = windows(doc, size)[at_d], windows(item, size)[at_i]
-        order = np.argsort(hi, kind="stable")
-        lo, hi_end = np.searchsorted(hi[order], hd, "left"), np.searchsorted(hi[order], hd, "right")
-        n = hi_end - lo
-        d = np.repeat(at_d, n)
-        i = at_i[order[np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]] if n.sum() else np.zeros(0, int)
-        # a start that extends to the left lies inside a longer match
-        inner = (d > 0) & (i > 0)
-        inner[inner] = (doc[d[inner] - 1] == item[i[inner] - 1]) & free_d[d[inner] - 1] & free_i[i[inner] - 1]
-        found = [(_extent(doc, item, free_d, free_i, a, b), a, b) for a, b in zip(d[~inner].tolist(), i[~inner].tolist(), strict=True)]
-        queue = sorted((-m, a, b) for m, a, b in found if m >= size)
-        while queue:
-            m, a, b = queue[0][0], queue[0][1], queue[0][2]
-            queue.pop(0)
-            m = -m
-            clear = free_d[a : a + m] & free_i[b : b + m]
-            if clear.all():
-                free_d[a : a + m] = False
-                free_i[b : b + m] = False
-                out.append((a, b, m))
+    longest = min(len(doc), len(item))
+    while longest >= least:
+        low, high, best = least, longest, None
+        while low <= high:
+            # the whole first, as a copied item is one run
+            size = high if best is None and high == longest else (low + high) // 2
+            if met := _common(doc, item, free_d, free_i, size):
+                best, low = (size, *met), size + 1
+            else:
+                high = size - 1
+        if best is None:
+            break
+        size, at_d, h_d, at_i, h_i = best
+        places: dict[int, list[int]] = defaultdict(list)
+        for p, h in zip(at_i[::-1].tolist(), h_i[::-1].tolist(), strict=True):
+            places[h].append(p)  # the first place is the last of its list
+        clear_i, end = _runs(free_i, size), -1
+        done = []
+        for a, h in zip(at_d.tolist(), h_d.tolist(), strict=True):
+            if a < end:
                 continue
-            # partly covered by a longer tile: its free stretches queue again
-            cuts = np.flatnonzero(np.diff(np.r_[False, clear, False]))
-            queue += [(-(e - s), a + s, b + s) for s, e in zip(cuts[::2].tolist(), cuts[1::2].tolist(), strict=True) if e - s >= size]
-            queue.sort()
-        if size == least:
-            return out
-        size = max(least, size // 2)
+            stack = places[h]
+            while stack and not (clear_i[stack[-1]] and free_i[stack[-1]] and free_i[stack[-1] + size - 1]):
+                stack.pop()  # covered by now, for good
+            if stack and (doc[a : a + size] == item[stack[-1] : stack[-1] + size]).all():
+                b = stack.pop()
+                free_i[b : b + size] = False
+                done.append((a, b, size))
+                end = a + size
+        for a, _, _ in done:
+            free_d[a : a + size] = False
+        out += done
+        longest = size - 1 if not done else size
+        if done and not _common(doc, item, free_d, free_i, size):
+            longest = size - 1
+    return out
+
+
+def _common(doc, item, free_d, free_i, size: int) -> tuple | None:
+    """Free windows of ``size`` words that both sides have, by their hashes: (doc positions, hashes, item positions, hashes)."""
+    at_d, at_i = np.flatnonzero(_runs(free_d, size)), np.flatnonzero(_runs(free_i, size))
+    if not len(at_d) or not len(at_i):
+        return None
+    hd, hi = windows(doc, size)[at_d], windows(item, size)[at_i]
+    in_d, in_i = np.isin(hd, hi), np.isin(hi, hd)
+    return (at_d[in_d], hd[in_d], at_i[in_i], hi[in_i]) if in_d.any() else None
 
 
 def _runs(free: np.ndarray, size: int) -> np.ndarray:
@@ -109,12 +126,6 @@ def _runs(free: np.ndarray, size: int) -> np.ndarray:
     return total[size:] - total[:-size] == size
 
 
-def _extent(doc, item, free_d, free_i, a: int, b: int) -> int:
-    m = min(len(doc) - a, len(item) - b)
-    same = (doc[a : a + m] == item[b : b + m]) & free_d[a : a + m] & free_i[b : b + m]
-    return m if same.all() else int(np.argmin(same))
-
-
 class Index:
     """Seeds of one block of the benchmark."""
 
@@ -122,11 +133,12 @@ class Index:
         self.least, self.threshold = least, threshold
         self.vocabulary: dict[str, int] = {}
         self.items = [(i, np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(t)], np.int64)) for i, t in items]
-        self.short = defaultdict(list)
+        #: Of items of fewer words than a match: hash of all words by their number, with the items.
+        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         keys, which, where = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for n, (item, ids) in enumerate(self.items):
+        for n, (_, ids) in enumerate(self.items):
             if 0 < len(ids) < least:
-                self.short[tuple(ids.tolist())].append((item, len(ids)))
+                self.short[len(ids)][int(windows(ids, len(ids))[0])].append(n)
             h = windows(ids, least)
             keys.append(h)
             which.append(np.full(len(h), n))
@@ -134,31 +146,49 @@ class Index:
         keys = np.concatenate(keys)
         order = np.argsort(keys, kind="stable")
         self.keys, self.which, self.where = keys[order], np.concatenate(which)[order], np.concatenate(where)[order]
+        self.short = {n: dict(x) for n, x in self.short.items()}
 
     def hits(self, text: str | None) -> list[tuple]:
         """(item_id, coverage, matched, item words, tiles) of the contaminating items."""
         get = self.vocabulary.get
-        w = words(text)
-        ids = np.array([get(x, -1) for x in w], np.int64)
-        if len(ids) < self.least:
-            return [(i, 1.0, n, n, 1) for i, n in self.short.get(tuple(ids.tolist()), ())] if w else []
-        at = np.flatnonzero(_runs(ids >= 0, self.least))
-        if not len(at):
-            return []
-        h = windows(ids, self.least)[at]
-        lo = np.searchsorted(self.keys, h, "left")
-        ok = lo < len(self.keys)
-        ok[ok] = self.keys[lo[ok]] == h[ok]
-        if not ok.any():
-            return []
-        at, h, lo = at[ok], h[ok], lo[ok]
+        ids = np.array([get(x, -1) for x in words(text)], np.int64)
+        out = self._short_hits(ids)
+        at = np.flatnonzero(_runs(ids >= 0, self.least)) if len(ids) >= self.least else []
+        if len(at):
+            h = windows(ids, self.least)[at]
+            lo = np.searchsorted(self.keys, h, "left")
+            ok = lo < len(self.keys)
+            ok[ok] = self.keys[lo[ok]] == h[ok]
+            at, h, lo = at[ok], h[ok], lo[ok]
+        if len(at):
+            out += self._long_hits(ids, at, h, lo)
+        return sorted(out, key=lambda x: (x[0] is not None, x[0] or 0))
+
+    def _short_hits(self, ids: np.ndarray) -> list[tuple]:
+        out = []
+        for n, known in self.short.items():
+            if len(ids) < n:
+                continue
+            at = np.flatnonzero(_runs(ids >= 0, n))
+            h, first = np.unique(windows(ids, n)[at], return_index=True) if len(at) else ([], [])
+            for key, p in zip(map(int, h), first, strict=True):
+                for k in known.get(key, ()):
+                    item, own = self.items[k]
+                    if (ids[at[p] : at[p] + n] == own).all():
+                        out.append((item, 1.0, n, n, 1))
+        return out
+
+    def _long_hits(self, ids: np.ndarray, at: np.ndarray, h: np.ndarray, lo: np.ndarray) -> list[tuple]:
         # distinct seeds only: the items' covered words bound the coverage that tiles can reach
         _, first = np.unique(h, return_index=True)
-        covered: dict[int, set] = defaultdict(set)
-        for p, key in zip(lo[first].tolist(), h[first], strict=True):
-            while p < len(self.keys) and self.keys[p] == key:
-                covered[int(self.which[p])].update(range(self.where[p], self.where[p] + self.least))
-                p += 1
+        start, n = lo[first], np.searchsorted(self.keys, h[first], "right") - lo[first]
+        every = np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        order = np.lexsort((self.where[every], self.which[every]))
+        which, where = self.which[every][order], self.where[every][order]
+        gap = np.r_[np.diff(where), self.least]
+        gap[np.flatnonzero(np.diff(which))] = self.least
+        found, begin = np.unique(which, return_index=True)
+        covered = np.add.reduceat(np.minimum(gap, self.least), begin)
         # the document's words under some seed, with a gap wherever others were left out
         under = np.zeros(len(ids) + 1, np.int64)
         np.add.at(under, at, 1)
@@ -167,15 +197,15 @@ class Index:
         near = keep | np.r_[False, keep[:-1]]
         seeded = np.where(keep, ids, -1)[near]
         out = []
-        for n, words_in in covered.items():
-            item, own = self.items[n]
-            if len(words_in) < self.threshold * len(own):
+        for k, most in zip(found.tolist(), covered.tolist(), strict=True):
+            item, own = self.items[k]
+            if most < self.threshold * len(own):
                 continue
             got = tiles(seeded, own, self.least)
             matched = sum(m for _, _, m in got)
             if matched >= self.threshold * len(own):
                 out.append((item, matched / len(own), matched, len(own), len(got)))
-        return sorted(out, key=lambda x: (x[0] is not None, x[0] or 0))
+        return out
 
 
 def _blocks(spark, benchmark: DataFrame, block_chars: int) -> list:
@@ -205,21 +235,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH,
 def clean_documents(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` that no benchmark item contaminates.
 
-    Every row is judged by its own text, whatever its id. A benchmark of few
-    blocks is tested in one pass, without a shuffle; a larger one block after
-    block, so that a task holds one block, and hits leave by where they stand.
+    Every row is judged by its own text, whatever its id, without a shuffle: one
+    pass per block of the benchmark over the rows that the blocks before left, so
+    a task holds one block's index.
     """
     blocks = _blocks(docs.sparkSession, benchmark, block_chars)
-    if len(blocks) > INLINE_BLOCKS:
-        if not has_locator(docs):
-            docs = written(docs, "decontam-source")
-        parts = []
-        for rows in blocks:
-            shared = docs.sparkSession.sparkContext.broadcast(Index(rows(), least, threshold))  # bounded: one block
-            parts.append(written(located(docs).filter(_hit(shared)("text")).select("file", "row"), "contaminated"))
-            shared.destroy()
-        return without_rows(docs, union_all(parts).distinct())
-    for rows in blocks:
+    for k, rows in enumerate(blocks):
+        if k:
+            docs = written(docs, "decontaminated")
         docs = docs.filter(~_hit(docs.sparkSession.sparkContext.broadcast(Index(rows(), least, threshold)))(docs["text"]))  # bounded: one block
     return docs
 
