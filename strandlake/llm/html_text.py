@@ -1,10 +1,14 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
 A page is cut into flat blocks of text at block-level tags. A block has a word
-count and a link density, those of its neighbours before and after, and what its
-enclosing elements say of themselves (element names, class, id and role words).
-A decision tree decides which blocks are main text. It is trained, here, on the
-small labelled table that :mod:`strandlake.llm.html_labels` holds.
+count and a link density, those of its neighbours before and after, and what the
+*nearest* enclosing element that says anything says of itself (element name,
+class, id and role words): part of an article, of what surrounds it, or of the
+page's header. A menu inside an article is a menu, and a page without such
+elements is decided by words and links alone. A class name that only holds a
+telling word among others is weak evidence and overrules no element. A decision
+tree decides which blocks are main text. It is trained, here, on the small
+labelled table that :mod:`strandlake.llm.html_labels` holds.
 
 Everything is done page by page, in one pass over the whole html.
 
@@ -37,15 +41,19 @@ CHROME = frozenset("nav footer aside form menu dialog fieldset".split())
 CONTENT = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words of class and id that mark what surrounds an article, and those that mark the article.
+#: Words of class and id that mark what surrounds an article, those that mark the article, and those that say nothing beside them.
 CHROME_WORDS = frozenset(
-    "ad ads adsense advert adverts advertisement advertising banner banners breadcrumb breadcrumbs byline captcha comment comments commentlist cookie cookies consent copyright disclaimer disqus "
-    "donate feedback footer footnav gdpr header login masthead menu menus meta modal nav navbar navigation newsletter notice notification notices overlay pager pagination paywall popup privacy promo "
-    "promos promoted promotion rail recommended recommendations register related replies reply respond reviews search share sharing sidebar sidebars signin signup skip skyscraper social sponsor sponsored sponsors "
-    "subscribe subscription tagcloud tags teaser toc toolbar topbar trending widget widgets alert".split()
+    "ad ads adsense advert adverts advertisement advertising banner banners breadcrumb breadcrumbs byline captcha comment comments commentlist cookie cookies consent copyright disclaimer discussion disqus "
+    "donate feedback footer footnav gdpr header login masthead menu menus meta modal nav navbar navigation newsletter notice notification notices opinions overlay pager pagination paywall popup privacy promo "
+    "promos promoted promotion rail reactions recommended recommendations register related replies reply respond responses reviews search share sharing sidebar sidebars signin signup skip skyscraper social sponsor sponsored sponsors "
+    "subscribe subscription tagcloud tags talkback teaser toc toolbar topbar trending widget widgets alert".split()
 )
 CONTENT_WORDS = frozenset("article articlebody body content entry main maincontent post postbody story text".split())
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_chrome", "chrome_word", "in_content", "content_word", "heading", "in_header", "list_item")
+PLAIN_WORDS = frozenset(
+    "area author bar block blocks body bottom box btn button buttons card cards container content col column entry footer form global group icons inline inner item items left link links list lower main message "
+    "more module nav news outer page panel pane post posts primary reader readers right row secondary section site slot stories story top text title unit upper user users wrap wrapper".split()
+)
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_content", "in_chrome", "weak_word", "heading", "list_item")
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>?"
@@ -65,34 +73,71 @@ class Block:
     flags: tuple
 
 
+#: What the nearest telling element makes of a block.
+NONE, CONTENT_ZONE, CHROME_ZONE, FORM_ZONE, HEADER_ZONE = range(5)
+
+
+def _name_hint(value: str) -> tuple[bool, bool, bool]:
+    """(chrome, content, weak) of a class or id value. A name marks chrome if all its other words are known; otherwise it is weak."""
+    chrome = content = weak = False
+    for token in value.split():
+        parts = [p.lower() for p in _PART.findall(token)] or [token.lower()]
+        whole = token.lower().replace("-", "").replace("_", "")
+        if whole in CHROME_WORDS or any(p in CHROME_WORDS for p in parts):
+            if whole in CHROME_WORDS or all(p in CHROME_WORDS or p in CONTENT_WORDS or p in PLAIN_WORDS for p in parts):
+                chrome = True
+            else:
+                weak = True
+        elif whole in CONTENT_WORDS or any(p in CONTENT_WORDS for p in parts):
+            content = True
+    return chrome, content, weak
+
+
 @lru_cache(4096)
-def _hints(attributes: str) -> tuple[bool, bool, str]:
-    """(chrome words, content words, label) of an opening tag's attributes; label is the training mark, if any."""
-    chrome = content = False
+def _hints(attributes: str) -> tuple[bool, bool, bool, bool, str]:
+    """(chrome, content, weak, main role, label) of an opening tag's attributes; label is the training mark, if any."""
+    chrome = content = weak = main = False
     label = ""
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            parts = {p.lower() for p in _PART.findall(value)} | set(re.split(r"[\s_-]+", value.lower()))
-            chrome |= not parts.isdisjoint(CHROME_WORDS)
-            content |= not parts.isdisjoint(CONTENT_WORDS)
+            x, y, z = _name_hint(value)
+            chrome, content, weak = chrome or x, content or y, weak or z
         elif name == "role":
             chrome |= value.lower() in ROLES
+            main |= value.lower() == "main"
             content |= value.lower() in CONTENT
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
             chrome = True
         elif name == "data-label":
             label = value
-    return chrome, content, label
+    return chrome, content, weak, main, label
+
+
+def _zone(name: str, up: int, chrome: bool, content: bool, main: bool) -> int:
+    """What an element makes of its blocks, inside an element that made ``up`` of them."""
+    if name == "main" or main:
+        return CONTENT_ZONE
+    if chrome:
+        return CHROME_ZONE
+    if name in CHROME:
+        return FORM_ZONE if name in ("form", "fieldset") else CHROME_ZONE
+    if name == "article":
+        return up if up == CHROME_ZONE else CONTENT_ZONE
+    if content:
+        return up if up in (CHROME_ZONE, FORM_ZONE) else CONTENT_ZONE
+    if name == "header" and up == NONE:
+        return HEADER_ZONE
+    return up
 
 
 def blocks(page: str | None) -> list[tuple[Block, str]]:
     """Flat text blocks of a page in order, each with its training label ('' on ordinary pages)."""
     page = page or ""
     out: list[tuple[Block, str]] = []
-    # (name, chrome, chrome word, content, content word, heading, header, list item, label, dropped) of all open elements
+    # (name, zone, weak word, heading, list item, label, dropped) of all open elements
     stack: list[tuple] = []
-    root = state = ("", False, False, False, False, False, False, False, "", False)
+    root = state = ("", NONE, False, False, False, "", False)
     text: list[str] = []
     linked: list[str] = []
     anchors = 0
@@ -101,8 +146,9 @@ def blocks(page: str | None) -> list[tuple[Block, str]]:
         if text:
             flat = " ".join(html.unescape("".join(text)).split())
             if flat:
-                n = flat.count(" ") + 1
-                out.append((Block(flat, n, min(n, len(html.unescape(" ".join(linked)).split())), state[1:8]), state[8]))
+                n, zone = flat.count(" ") + 1, state[1]
+                flags = (zone == CONTENT_ZONE, zone in (CHROME_ZONE, FORM_ZONE, HEADER_ZONE), state[2] and zone == NONE, *state[3:5])
+                out.append((Block(flat, n, min(n, len(html.unescape(" ".join(linked)).split())), flags), state[5]))
             text.clear()
             linked.clear()
 
@@ -110,7 +156,7 @@ def blocks(page: str | None) -> list[tuple[Block, str]]:
     while at < size:
         m = _TOKEN.search(page, at)
         piece = page[at : m.start() if m else size]
-        if piece and not state[9]:
+        if piece and not state[6]:
             text.append(piece)
             if anchors:
                 linked.append(piece)
@@ -127,16 +173,16 @@ def blocks(page: str | None) -> list[tuple[Block, str]]:
                 end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
                 at = end.end() if end else size
             continue
-        if name in DROPPED or state[9]:
+        if name in DROPPED or state[6]:
             # no text inside, and no block ends there: inner elements only count as open, with the flags around them
             if not closing:
                 if name not in VOID and not m[0].endswith("/>"):
-                    stack.append((name, *state[1:9], True))
+                    stack.append((name, *state[1:6], True))
             elif any(s[0] == name for s in stack):
                 at_name = max(i for i, s in enumerate(stack) if s[0] == name)
                 if name in BLOCK or name in DROPPED or not any(s[0] in BLOCK or s[0] in DROPPED for s in stack[at_name:]):
                     after = stack[at_name - 1] if at_name else root
-                    if name in BLOCK and not after[9]:  # the end of a block around an unclosed one
+                    if name in BLOCK and not after[6]:  # the end of a block around an unclosed one
                         close()
                         anchors = 0
                     del stack[at_name:]
@@ -157,15 +203,15 @@ def blocks(page: str | None) -> list[tuple[Block, str]]:
                     i -= 1
                 if i >= 0 and stack[i][0] == name:
                     after = stack[i - 1] if i else root
-                    if after[2] != state[2]:
+                    if after[1] != state[1]:
                         close()
                     del stack[i:]
                     state = after
                 continue
-            chrome, _, _ = _hints(m[3] or m[6] or "")
-            if chrome and not state[2]:  # an inline element that is an advert, a share link and the like: a block of its own
+            chrome = _hints(m[3] or m[6] or "")[0]
+            if chrome and state[1] != CHROME_ZONE:  # an inline element that is an advert, a share link and the like: a block of its own
                 close()
-            stack.append((name, state[1], state[2] or chrome, *state[3:]))
+            stack.append((name, CHROME_ZONE if chrome else state[1], *state[2:]))
             state = stack[-1]
             continue
         close()
@@ -182,9 +228,10 @@ def blocks(page: str | None) -> list[tuple[Block, str]]:
             if i >= 0 and (stack[i][0] == "p" and name != "p" or name in ("p", "li", "dt", "dd") and stack[i][0] == name):
                 del stack[i:]
             up = stack[-1] if stack else root
-            chrome, content, label = _hints(m[3] or m[6] or "")
-            inside = up[3] or name in CONTENT
-            stack.append((name, up[1] or name in CHROME, up[2] or chrome, inside, up[4] or content, name in HEADINGS, up[6] or name == "header" and not up[3], up[7] or name == "li", label or up[8], False))
+            chrome, content, weak, main, label = _hints(m[3] or m[6] or "")
+            # an element that says what it is, or a telling word of its own, starts anew
+            zone = _zone(name, up[1], chrome, content, main) if name not in ("body", "html") else NONE
+            stack.append((name, zone, weak or up[2], name in HEADINGS, up[4] or name == "li", label or up[5], False))
         state = stack[-1] if stack else root
     close()
     return out
@@ -195,15 +242,14 @@ def features(found: list[Block]) -> np.ndarray:
     n = len(found)
     words = np.array([0, *[b.words for b in found], 0], float)
     density = np.array([0, *[b.linked / b.words for b in found], 0], float)
-    own = np.array([b.flags for b in found], float).reshape(n, 7)
-    # flags: chrome, chrome word, content, content word, heading, header, list item
+    own = np.array([b.flags for b in found], float).reshape(n, 5)
     return np.column_stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], own])
 
 
 class Tree:
     """A binary decision tree (Gini impurity), fitted on a small table."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 2):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 7, least: int = 2):
         self.nodes: list[tuple] = []
         self._grow(x, y, depth, least)
 
@@ -260,6 +306,24 @@ def default_tree() -> Tree:
     return Tree(np.concatenate(x), np.array(y, float))
 
 
+def described(tree: Tree | None = None) -> str:
+    """The tree in words, one node a line."""
+    tree, lines = tree or default_tree(), []
+
+    def walk(at: int, depth: int) -> None:
+        k, cut, share, a, b = tree.nodes[at]
+        if k < 0:
+            lines.append(f"{'  ' * depth}{'main' if share >= 0.5 else 'other'} ({share:.2f})")
+            return
+        lines.append(f"{'  ' * depth}{FEATURES[k]} <= {cut:g}:")
+        walk(a, depth + 1)
+        lines.append(f"{'  ' * depth}{FEATURES[k]} > {cut:g}:")
+        walk(b, depth + 1)
+
+    walk(0, 0)
+    return "\n".join(lines)
+
+
 def main_text(page: str | None, tree: Tree | None = None) -> str:
     found = [b for b, _ in blocks(page)]
     if not found:
