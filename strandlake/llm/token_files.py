@@ -19,13 +19,15 @@ went where. Every task writes its own file under a temporary name and renames
 it, so a repeated task leaves no half-written file.
 
 Edge cases: null and empty texts have 0 tokens; empty files have no document;
-text that spells a special token is ordinary text; repeated rows are counted
+text that spells a special token is ordinary text; runs of millions of equal
+characters, white space too, are encoded whole; repeated rows are counted
 each; an empty table gives an empty result; extra columns do no harm.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -39,6 +41,8 @@ from .common import only, shared_dir, written
 #: Fixed value: the pattern by which the rank vocabularies split text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RANKS, EOD = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50256
+#: The characters that the pattern counts as white space; runs from this length on are cut out.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 BLOCK_TOKENS = 1 << 22
 FLUSH_TOKENS = 1 << 20
 
@@ -50,6 +54,24 @@ def _encoder(ranks: bytes):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
 
+def encode(coder, text: str | None) -> list[int]:
+    """Token ids of a whole text.
+
+    The pattern looks ahead over white space, which its engine can't do over a
+    very long run. Such a run ends a piece where it starts, and is one piece up
+    to its last character, which belongs to what follows: so the text is cut
+    there, and the ids are those of the uncut text.
+    """
+    text = text if isinstance(text, str) else ""
+    out, at = [], 0
+    for run in _LONG_SPACE.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out += coder.encode_ordinary(text[at : run.start()])
+        out += coder._encode_single_piece(text[run.start() : end].encode("utf-8"))
+        at = end
+    return out + coder.encode_ordinary(text[at:]) if at else coder.encode_ordinary(text)
+
+
 def _filesystem(uri: str):
     """(file system, path) of a URI; plain paths are local."""
     from pyarrow import fs
@@ -72,7 +94,7 @@ def write(docs: DataFrame, folder: str, ranks_path: str = RANKS, eod: int = EOD,
                 fs.create_dir(root, recursive=True)
                 sink = fs.open_output_stream(f"{root}/_{name}.tmp")
             for text in b["text"]:
-                ids = coder.encode_ordinary(text or "") if isinstance(text, str) else []
+                ids = encode(coder, text)
                 held.append(np.array([*ids, eod], dtype))
                 n += len(ids) + 1
                 if n >= FLUSH_TOKENS:
