@@ -6,10 +6,13 @@ the predicted family, where close relatives are told apart by features trained
 on them alone. Features are hashed character 1- to 4-grams of the whole
 lower-cased text, as the square root of their frequency, scaled to unit length.
 
-Training uses at most ``FIT_PER_LANGUAGE`` labelled rows per language, chosen by
-a hash of the id; features are made on the executors and only these bounded
-vectors reach the driver, where the machines are fitted by dual coordinate
-descent. Everything else covers all rows.
+Training uses at most about ``FIT_PER_LANGUAGE`` labelled rows per language for
+the machines inside a family, and as many per family for those between families,
+chosen by a hash of the id. Every machine is a task of its own: it gets the
+vectors of its two classes, at most twice that many, and is fitted by dual
+coordinate descent on an executor. The driver gets the weights only: pairs of
+families and of close relatives, whatever the number of rows. Everything else
+covers all rows.
 
 Edge cases: null and letterless texts are ``und`` with score 0; without any
 labelled row all texts are ``und``; with one language everything else is that
@@ -28,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import only, written
 
 #: Families of language codes.
 FAMILIES = {
@@ -93,23 +96,29 @@ def fit_svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: floa
     return w
 
 
+Machine = tuple[str | None, str, str]
+
+
+def machines_of(langs: list[str]) -> list[Machine]:
+    """(family or None, first, second) of all machines: families against each other, and the languages of each family."""
+    members: dict[str, list[str]] = {}
+    for x in sorted(set(langs)):
+        members.setdefault(family(x), []).append(x)
+    return [(None, a, b) for a, b in combinations(sorted(members), 2)] + [(f, a, b) for f, m in sorted(members.items()) for a, b in combinations(m, 2)]
+
+
 class Model:
     """Pairwise machines between families, and between the languages of each family."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str]):
+    def __init__(self, langs: list[str], weights: dict[Machine, np.ndarray] | None = None):
         self.langs = sorted(set(langs))
         self.members: dict[str, list[str]] = {}
         for x in self.langs:
             self.members.setdefault(family(x), []).append(x)
-        of_family = [family(x) for x in langs]
-        self.machines: list[tuple[str | None, str, str]] = []
-        weights = []
-        for level, names, labels in [(None, sorted(self.members), of_family), *((f, m, langs) for f, m in sorted(self.members.items()))]:
-            for a, b in combinations(names, 2):
-                part = [k for k, x in enumerate(labels) if x in (a, b)]
-                weights.append(fit_svm([rows[k] for k in part], np.array([1 if labels[k] == a else -1 for k in part])))
-                self.machines.append((level, a, b))
-        self.weights = np.array(weights, np.float32).reshape(len(weights), (1 << DIMS_LOG2) + 1)
+        self.machines = machines_of(self.langs)
+        size = (1 << DIMS_LOG2) + 1
+        # a pair without rows on both sides decides nothing
+        self.weights = np.array([(weights or {}).get(m, np.zeros(size)) for m in self.machines], np.float32).reshape(len(self.machines), size)
 
     def _vote(self, level: str | None, names: list[str], margins: dict) -> tuple[str, float]:
         if len(names) == 1:
@@ -141,19 +150,40 @@ def fit(labelled: DataFrame, per_language: int = FIT_PER_LANGUAGE) -> Model:
     labelled = only(labelled, "doc_id", "text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
     counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}  # one row per language
     if not counts:
-        return Model([], [])
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, per_language / n) * 1_000_000))])
-    sample = labelled.filter(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
+        return Model([])
+    spark, machines = labelled.sparkSession, machines_of(list(counts))
+    size = {f: sum(family(x) == f for x in counts) for f in map(family, counts)}
+    # (machine, side) of each language; the share of its rows that a machine between families takes is smaller
+    roles = [(lang, k, 1 if (lang if level else family(lang)) == a else -1, 1.0 if level else 1.0 / size[family(lang)])
+             for k, (level, a, b) in enumerate(machines) for lang in counts if (lang if level else family(lang)) in (a, b) and (not level or family(lang) == level)]
+    million = lambda x: int(min(1.0, x) * 1_000_000)
+    order = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000))
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, million(per_language / n))])
+    sample = labelled.withColumn("at", order).filter(F.col("at") < share[F.col("lang")])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [(d, lang, *x) for d, t, lang in zip(b["doc_id"], b["text"], b["lang"], strict=True) if (x := features(t))]
-            yield pd.DataFrame({"doc_id": pd.array([g[0] for g in got], "Int64"), "lang": [g[1] for g in got], "i": [g[2].astype(np.int32) for g in got], "v": [g[3].astype(np.float32) for g in got]})
-
-    # bounded: per_language rows of at most 2^DIMS_LOG2 values each
-    rows = sample.mapInPandas(run, "doc_id long, lang string, i array<int>, v array<float>").toArrow().to_pandas()
-    rows = rows.sort_values(["doc_id", "lang"], kind="stable")
-    return Model([(np.asarray(i), np.asarray(v)) for i, v in zip(rows["i"], rows["v"], strict=True)], rows["lang"].tolist())
+            got = [(d, at, lang, *x) for d, t, at, lang in zip(b["doc_id"], b["text"], b["at"], b["lang"], strict=True) if (x := features(t))]
+            if got:
+                yield pd.DataFrame({"doc_id": pd.array([g[0] for g in got], "Int64"), "at": [g[1] for g in got], "lang": [g[2] for g in got], "i": [g[3].astype(np.int32) for g in got], "v": [g[4].astype(np.float32) for g in got]})
+
+    rows = written(sample.mapInPandas(run, "doc_id long, at long, lang string, i array<int>, v array<float>"), "language-features")
+    if not machines:
+        return Model(list(counts))
+    part = spark.createDataFrame([(lang, k, y, million(per_language / counts[lang] * f)) for lang, k, y, f in roles], "lang string, machine int, y int, below int")
+    given = rows.join(F.broadcast(part), "lang").filter(F.col("at") < F.col("below"))  # one row per language and machine
+
+    def train(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["doc_id", "lang"], kind="stable")
+        y = g["y"].to_numpy()
+        if len(set(y)) == 2:
+            w = fit_svm([(np.asarray(i), np.asarray(v)) for i, v in zip(g["i"], g["v"], strict=True)], y)
+        else:  # all rows on one side: always that side
+            w = np.r_[np.zeros(1 << DIMS_LOG2), y[0]]
+        return pd.DataFrame({"machine": [key[0]], "w": [w.astype(np.float32)]})
+
+    found = given.groupBy("machine").applyInPandas(train, "machine int, w array<float>").toArrow().to_pandas()  # one row per machine
+    return Model(list(counts), {machines[k]: np.asarray(w) for k, w in zip(found["machine"], found["w"], strict=True)})
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
