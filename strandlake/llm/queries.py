@@ -42,20 +42,20 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op3_sql() -> str:
     rows = ", ".join("({}, '{}', '{}')".format(i + 1, k, t.replace("'", "''")) for i, (k, t) in enumerate(licenses.TEMPLATES))
+    near = licenses.THRESHOLD / (2 - licenses.THRESHOLD)
+    words = r"string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')"
     return rf"""
 WITH t0(template, license, text) AS (VALUES {rows}),
-s0 AS (
-  SELECT DISTINCT rid, doc_id, raw FROM (
-    SELECT rid, doc_id, unnest(list_concat([text], regexp_split_to_array(text, '\n[\x20\t\r]*\n'), string_split(text, chr(10)))) AS raw
-    FROM (SELECT row_number() OVER () AS rid, doc_id, text FROM documents WHERE text IS NOT NULL))
-), s1 AS (SELECT rid, doc_id, raw, trim(regexp_replace(lower(raw), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS segment FROM s0),
-s AS (SELECT row_number() OVER () AS sid, doc_id, segment, string_split(segment, ' ') AS w FROM s1),
-sb AS (SELECT sid, w[i] || ' ' || w[i + 1] AS b, count(*) AS n FROM (SELECT sid, w, unnest(range(1, len(w))) AS i FROM s) GROUP BY ALL),
-t1 AS (SELECT template, license, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM t0),
-tb AS (SELECT template, w[i] || ' ' || w[i + 1] AS b, count(*) AS n FROM (SELECT template, w, unnest(range(1, len(w))) AS i FROM t1) GROUP BY ALL),
-hit AS (SELECT sid, template, sum(least(sb.n, tb.n)) AS shared FROM sb JOIN tb USING (b) GROUP BY ALL)
-SELECT s.doc_id, s.segment, CAST(template AS INTEGER) AS template, license, CAST(2 * shared AS DOUBLE) / (len(s.w) + len(t1.w) - 2) AS dice
-FROM hit JOIN s USING (sid) JOIN t1 USING (template) WHERE CAST(2 * shared AS DOUBLE) / (len(s.w) + len(t1.w) - 2) >= {licenses.THRESHOLD}
+t AS (SELECT template, license, len(w) - 1 AS m, w FROM (SELECT template, license, {words} AS w FROM t0)),
+tb AS (SELECT template, m, w[i] || ' ' || w[i + 1] AS b, count(*) AS c FROM (SELECT template, m, w, unnest(range(1, len(w))) AS i FROM t) GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS did, doc_id, {words} AS w FROM documents WHERE text IS NOT NULL),
+db AS (SELECT did, i AS pos, w[i] || ' ' || w[i + 1] AS b FROM (SELECT did, w, unnest(range(1, len(w))) AS i FROM d)),
+h0 AS (SELECT did, template, m, c, pos, b, row_number() OVER (PARTITION BY did, template ORDER BY pos) AS j, row_number() OVER (PARTITION BY did, template, b ORDER BY pos) AS r FROM db JOIN tb USING (b)),
+h AS (SELECT x.did, x.template, x.m, x.pos, coalesce(y.pos, 0) AS before FROM h0 x LEFT JOIN h0 y ON x.did = y.did AND x.template = y.template AND x.b = y.b AND x.r - x.c = y.r),
+v AS (SELECT a.did, a.template, a.m, a.pos, e.pos - a.pos + 1 AS n, sum(CASE WHEN e.before < a.pos THEN 1 ELSE 0 END) OVER (PARTITION BY a.did, a.template, a.pos ORDER BY e.pos) AS shared
+  FROM h a JOIN h e ON a.did = e.did AND a.template = e.template AND e.pos >= a.pos AND e.pos < a.pos + floor(a.m / {near} + 1e-9)),
+best AS (SELECT did, template, arg_max({{'pos': pos, 'n': n, 'dice': dice}}, row(dice, -pos, -n)) AS x FROM (SELECT *, CAST(2 * shared AS DOUBLE) / (m + n) AS dice FROM v WHERE n >= ceil(m * {near} - 1e-9)) WHERE dice >= {licenses.THRESHOLD} GROUP BY ALL)
+SELECT doc_id, array_to_string(d.w[x.pos:x.pos + x.n], ' ') AS segment, CAST(template AS INTEGER) AS template, license, x.dice AS dice, x.pos - 1 AS start FROM best JOIN d USING (did) JOIN t USING (template)
 """
 
 
