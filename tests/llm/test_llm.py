@@ -3,6 +3,7 @@
 import gzip
 import itertools
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -80,6 +81,34 @@ def test_exact_dedup_checks_bytes(spark):
     assert got == {0: (2, 2, False), 2: (2, 2, True), 1: (1, 2, True), 5: (1, 2, False), 3: (3, 1, True), 4: (4, 1, True)}
 
 
+def test_exact_dedup_byte_check_beyond_broadcast(spark, monkeypatch):
+    """More hits than are broadcast: hot groups and others are checked apart, with the same result."""
+    monkeypatch.setattr(exact_dedup, "BROADCAST_HITS", 3)
+    weak = lambda text: F.substring(exact_dedup.normalised(text), 1, 1)
+    df = docs(spark, [f"{c}{'x' * (i % 2 if c in 'ad' else 0)}" for c in "abcdef" for i in range(12 if c == "a" else 3)])
+    got = Counter(r.group_size for r in exact_dedup.dedup(df, weak).collect() if r.kept)
+    assert got == {6: 2, 3: 4, 1: 1, 2: 1}
+
+
+def test_exact_dedup_goes_on(spark, tmp_path):
+    """A second call with the same state folder judges its rows against those of the first."""
+    first, second = docs(spark, ["a b", "c", "d"]), spark.createDataFrame([(7, "ab", "en", "s", 2), (8, "e", "en", "s", 1), (9, "a  b ", "en", "s", 5), (10, "e", "en", "s", 1)], SCHEMA)
+    state = f"file://{tmp_path}/state"
+    one = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.dedup(first, state=state).collect()}
+    assert one == {0: (0, 1, True), 1: (1, 1, True), 2: (2, 1, True)}
+    two = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.dedup(second, state=state).collect()}
+    assert two == {7: (9, 3, False), 9: (9, 3, True), 8: (8, 2, True), 10: (8, 2, False)}
+    third = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.dedup(docs(spark, ["ab"]), state=state).collect()}
+    assert third == {0: (9, 4, False)}
+
+
+def test_shared_folder(spark):
+    from strandlake.llm.common import shared_dir
+
+    before = spark.conf.get("spark.checkpoint.dir")
+    assert shared_dir(spark, "x").startswith(before)
+
+
 # SimHash
 
 
@@ -173,10 +202,29 @@ def test_mix(spark):
     sums = a.groupby("source", dropna=False).agg(taken=("taken", "sum"), target=("target", "first"))
     assert ((sums.taken - sums.target).abs() <= 1).all()
     m = mixing.mix(messy(spark))
-    assert m.count() == messy(spark).count() and m.columns[:5] == messy(spark).columns[:5]
+    assert m.count() == messy(spark).count()
+    assert m.columns == [{"size": "input_size", "target": "input_target"}.get(c, c) for c in messy(spark).columns] + list(mixing.RESULT)
+    assert {r[0] for r in m.select("input_size").collect()} == {7}
     assert mixing.mix(empty(spark)).count() == 0 and mixing.mixed_sizes(empty(spark)).count() == 0
 
 
+def test_mix_of_repeated_rows(spark, monkeypatch):
+    """Rows that repeat are decided one by one: targets are met, however they are laid out and numbered."""
+    monkeypatch.setattr(mixing, "SLICE", 7)
+    rows = [(1, "w " * 10, "en", "a", 0)] * 100 + [(None, "v " * 3, "en", "b", 0)] * 50 + [(i, "u " * 10, "en", "c", 0) for i in range(30)] + [(2, None, "en", None, 0)] * 3
+    df = spark.createDataFrame(rows, SCHEMA)
+    seen = []
+    for d in (df.repartition(3), df.coalesce(1)):
+        a = mixing.mixed_sizes(d).toPandas()
+        assert len(a) == len(rows)
+        sums = a.groupby("source", dropna=False).agg(taken=("taken", "sum"), target=("target", "first"), least=("size", "min"))
+        assert ((sums.taken - sums.target).abs() <= sums.least / 2 + 1e-9).all()
+        seen.append(Counter((r.doc_id if r.doc_id == r.doc_id else None, r.copies) for r in a.itertuples()))
+        b = Counter(r.copies for r in mixing.mix(d).collect())
+        assert b == Counter(a.copies)
+    assert seen[0] == seen[1]
+
+
 # decontamination
 
 
@@ -186,10 +234,10 @@ def test_decontamination(spark):
     moved = " ".join([*w[10:], "and", "then", *w[:10]])
     partial = " ".join(w[:12]) + " other words"
     shuffled = " ".join(w[::-1])
-    df = docs(spark, [f"intro {item} outro", f"x {moved} y", partial, shuffled, "", None, "tiny item", LONG + item + LONG, " ".join(w[:16]) + " end", item.upper()])
+    df = docs(spark, [f"intro {item} outro", f"x {moved} y", partial, shuffled, "", None, "tiny item", LONG + item + LONG, " ".join(w[:16]) + " end", item.upper(), "such a Tiny, item here"])
     bench = spark.createDataFrame([(1, item, 0), (2, "tiny item", 0), (3, None, 0), (4, "", 0)], "item_id long, text string, coverage int")
     got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(df, bench).collect()}
-    assert set(got) == {(0, 1), (1, 1), (6, 2), (7, 1), (8, 1), (9, 1)}
+    assert set(got) == {(0, 1), (1, 1), (6, 2), (7, 1), (8, 1), (9, 1), (10, 2)}
     assert got[1, 1].n_tiles == 2 and got[1, 1].coverage == 1.0 and got[8, 1].coverage == 0.8
     blocked = {(r.doc_id, r.item_id) for r in decontam.contaminated(df, bench, block_chars=20).collect()}
     assert blocked == set(got)
@@ -232,7 +280,39 @@ def test_tiles_are_greedy():
             assert (doc[a : a + m] == item[b : b + m]).all()
         assert len({x for a, _, m in got for x in range(a, a + m)}) == sum(m for *_, m in got) == len({x for _, b, m in got for x in range(b, b + m)})
         assert max([m for *_, m in got], default=0) == max((m for m in range(3, 16) if set(zip(*[doc[i:] for i in range(m)], strict=False)) & set(zip(*[item[i:] for i in range(m)], strict=False))), default=0)
-        assert sum(m for *_, m in got) >= slow_tiles(doc.tolist(), item.tolist(), 3) * 0.6
+        assert sum(m for *_, m in got) == slow_tiles(doc.tolist(), item.tolist(), 3)
+
+
+def test_tiles_of_repetitive_texts():
+    """Periodic sequences: the same coverage as the slow version, and long ones end soon."""
+    for n, m, p, q in itertools.product((9, 40), (7, 23), (1, 2, 5), (1, 3, 4)):
+        doc, item = np.arange(n) % p, np.arange(m) % q
+        assert sum(x for *_, x in decontam.tiles(doc, item, 3)) == slow_tiles(doc.tolist(), item.tolist(), 3)
+    began = time.time()
+    assert sum(m for *_, m in decontam.tiles(np.zeros(20_000, int), np.zeros(1000, int), 5)) == 1000
+    assert sum(m for *_, m in decontam.tiles(np.arange(20_000) % 7, np.arange(1000) % 5, 5)) == 1000
+    assert time.time() - began < 2
+    cyclic = " ".join(f"w{i % 7}" for i in range(20_000))
+    assert decontam.Index([(1, " ".join(f"w{i % 5}" for i in range(1000)))], 5, 0.8).hits(cyclic)[0][1] == 1.0
+
+
+def test_seeds_bound_the_coverage():
+    """The vectorised bound of an item's covered words is that of sets."""
+    rng = np.random.default_rng(3)
+    draw = lambda n: " ".join(rng.choice(list("abc"), n))
+    items = [(i, draw(int(rng.integers(1, 25)))) for i in range(30)]
+    index = decontam.Index(items, 3, 0.8)
+    for _ in range(60):
+        doc = draw(int(rng.integers(0, 40)))
+        want = []
+        for i, t in items:
+            w, d = t.split(), doc.split()
+            short = len(w) < 3 and any(d[k : k + len(w)] == w for k in range(len(d)))
+            ids = {x: k for k, x in enumerate("abc")}
+            n = len(w) if short else slow_tiles([ids[x] for x in d], [ids[x] for x in w], 3)
+            if short or len(w) >= 3 and n >= 0.8 * len(w):
+                want.append((i, n))
+        assert [(h[0], h[2]) for h in index.hits(doc)] == want
 
 
 # toxicity and language
@@ -288,6 +368,8 @@ def test_language(spark):
     assert langid.predict(messy(spark), model).count() == messy(spark).count()
     none = langid.fit(empty(spark))
     assert {r.lang_pred for r in langid.predict(messy(spark), none).collect()} == {"und"}
+    pair = langid.fit(docs(spark, ["1 2 3", "noch einer", "und das"], langs=["nl", "de", "de"]))  # a language without any letter
+    assert langid.predict(docs(spark, ["abc"]), pair).first().lang_pred == "de"
     single = langid.fit(docs(spark, ["ein text", "noch einer"], langs=["de", "de"]))
     assert langid.predict(docs(spark, ["abc"]), single).first().lang_pred == "de"
 
@@ -303,15 +385,49 @@ def test_features_of_pieces(monkeypatch):
 # licences, html, tokens, WARC
 
 
+def brute_windows(text, template, threshold):
+    """(dice, start, words) of the best window: every window of every size, counted by multisets."""
+    cut = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
+    pairs = lambda w: list(zip(w, w[1:], strict=False))
+    own, words = Counter(pairs(cut(template))), cut(text)
+    p, m, best = pairs(words), sum(own.values()), None
+    for a in range(len(p)):
+        for e in range(a, len(p)):
+            n = e - a + 1
+            dice = 2 * sum((Counter(p[a : e + 1]) & own).values()) / (m + n)
+            if dice >= threshold and (best is None or (dice, -a, -n) > best[0]):
+                best = (dice, -a, -n), " ".join(words[a : e + 2])
+    return best and (best[1], round(best[0][0], 9), -best[0][1])
+
+
 def test_licenses(spark):
     line = "Licensed under the Apache License, Version 2.0."
-    df = docs(spark, [f"some text\n{line}\nmore", "nothing here at all", None, "", line, "Released under the MIT Licence.", "word", LONG])
-    got = {(r.doc_id, r.license, round(r.dice, 3)) for r in licenses.scan(df).collect()}
-    assert got == {(0, "Apache-2.0", 1.0), (0, "Apache-2.0", 0.824), (4, "Apache-2.0", 1.0)}  # the line, and the three-line text around it: 7 of 7 and 10 pairs
-    own = spark.createDataFrame([(1, "X", "a a b a a b"), (2, "Y", "a")], "template int, license string, text string")
-    hits = {(r.doc_id, round(r.dice, 3)) for r in licenses.scan(docs(spark, ["a a b a a b", "a a b a a c"]), own, 0.5).collect()}
-    assert hits == {(0, 1.0), (1, 0.8)}
+    inside = f"Copyright 2024 Someone. {line} See LICENSE for the details of this project, or ask."
+    wrapped = "# Licensed under the\n#  Apache License,\n * Version 2.0\n\nint main();"
+    texts = [f"some text\n{line}\nmore", "nothing here at all", None, "", line, "Released under the MIT Licence.", "word", LONG, inside, wrapped, f"{line} {line}", "x " * 30_000 + inside]
+    got = {(r.doc_id, r.license, r.segment, round(r.dice, 3)) for r in licenses.scan(docs(spark, texts)).collect()}
+    assert got == {(i, "Apache-2.0", "licensed under the apache license version 2 0", 1.0) for i in (0, 4, 8, 9, 10, 11)}
+    own = spark.createDataFrame([(1, "X", "a a b a a b"), (2, "Y", "a"), (3, None, None), (4, "X", "")], "template int, license string, text string")
+    hits = {(r.doc_id, round(r.dice, 3)) for r in licenses.scan(docs(spark, ["a a b a a b", "a a b a a c", "b a a b a a b a"]), own, 0.5).collect()}
+    assert hits == {(0, 1.0), (1, 0.889), (2, 1.0)}
     assert licenses.scan(messy(spark)).count() == 0 and licenses.scan(empty(spark)).count() == 0
+    assert licenses.scan(docs(spark, texts), own.limit(0)).count() == 0
+    # ties and repeated rows are reported each
+    twins = spark.createDataFrame([(1, "X", "one two three four"), (2, "Y", "one two three four")], "template int, license string, text string")
+    same = docs(spark, ["zero one two three four five"])
+    assert Counter((r.doc_id, r.template, r.start) for r in licenses.scan(same.union(same), twins).collect()) == {(0, 1, 1): 2, (0, 2, 1): 2}
+
+
+def test_licenses_are_best_windows(spark):
+    """Random texts of few words, in one block of templates and in many, against every window of every size."""
+    rng = np.random.default_rng(21)
+    draw = lambda n: " ".join(rng.choice(["ab", "ba", "license", "the", "of"], n))
+    texts, own = [draw(int(n)) for n in rng.integers(1, 40, 60)], [draw(int(n)) for n in rng.integers(2, 12, 6)]
+    t = spark.createDataFrame([(i, "L", x) for i, x in enumerate(own)], "template int, license string, text string")
+    for threshold, chars in ((0.8, 10**6), (0.6, 40)):
+        want = {(d, k): w for d, x in enumerate(texts) for k, y in enumerate(own) if (w := brute_windows(x, y, threshold))}
+        got = {(r.doc_id, r.template): (r.segment, round(r.dice, 9), r.start) for r in licenses.scan(docs(spark, texts), t, threshold, chars).collect()}
+        assert got == want
 
 
 def test_main_text(spark):
@@ -328,6 +444,35 @@ def test_main_text(spark):
     assert html_text.default_tree().nodes[0][0] >= 0
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<main><nav>Home News</nav><p>Text here.</p></main>", "Text here."),
+        ("<article><p>One.</p><form><p>Your mail</p></form><p>Two.</p><footer>me</footer><aside>side text</aside></article>", "One. Two."),
+        ('<main><p>T.</p><section class="reader-opinions"><p>I think so too, and so do all of my friends.</p></section></main>', "T."),
+        ("<body><p>short paragraph</p><p>Another one.</p></body>", "short paragraph Another one."),
+        ('<article class="story privacy-law"><p>Kept.</p></article>', "Kept."),
+        ('<form id="f"><main><p>In a form.</p></main></form>', "In a form."),
+        ('<aside><article><p>Read this too, it is about the sea.</p></article></aside><article><p>Main.</p></article>', "Main."),
+        ('<article><h1><a href="/x">Linked title</a></h1><p>Body.</p><p><a href="/y">The source</a></p></article>', "Linked title Body. The source"),
+        ('<ul><li><a href="/">Home</a></li><li><a href="/b">Blog</a></li></ul><p>A page without any telling element, but with a paragraph.</p>', "A page without any telling element, but with a paragraph."),
+        ('<article><p>It said so.</p></article><div class="comments"><article><p>No!</p></article></div>', "It said so."),
+        ('<header><p>Motto of the site</p></header><p>Text of the page.</p>', "Text of the page."),
+        ("<article><header><h1>Own head</h1></header><p>Body.</p></article>", "Own head Body."),
+        ("bare text", "bare text"),
+    ],
+)
+def test_main_text_by_contract(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_tree_uses_words_and_links():
+    tree = html_text.default_tree()
+    used = {html_text.FEATURES[k] for k, *_ in tree.nodes if k >= 0}
+    assert {"words", "links"} <= used and used & {"words_before", "links_before"} and used & {"words_after", "links_after"}
+    assert "main" in html_text.described()
+
+
 def test_main_text_of_pages(spark):
     from html import unescape
 
@@ -348,6 +493,18 @@ def test_token_counts(spark):
     assert token_files.count_tokens(empty(spark)).count() == 0
 
 
+def test_tokens_of_long_runs(monkeypatch):
+    coder = token_files._encoder(open(token_files.RANKS, "rb").read())
+    for text in (" " * 2_000_000, "a" + " \n" * 1_000_000 + "b", "x" * 2_000_000, "7" * 2_000_000):
+        assert coder.decode(token_files.encode(coder, text)) == text
+    monkeypatch.setattr(token_files, "_LONG_SPACE", re.compile(token_files._LONG_SPACE.pattern.replace("1000,", "2,")))
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        text = "".join(rng.choice(["ab", " ", "  ", "\n", "\t\t", "1", "!", "\u3000", "\x1f"], int(rng.integers(0, 25))))
+        assert token_files.encode(coder, text) == coder.encode_ordinary(text)
+    assert token_files.encode(coder, None) == []
+
+
 def test_open_tail(spark, tmp_path):
     np.array([1, 2, 9, 9, 3, 3, 3, 9, 4], "<u2").tofile(tmp_path / "tokens-a.bin")
     (tmp_path / "tokens-b.bin").touch()
