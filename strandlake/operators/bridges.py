@@ -7,9 +7,9 @@ Tables (see :mod:`strandlake.plans.model` for how the driver tables map to them)
 * ``pairs``: pair_id, len1, len2, bad1, bad2, dupe
 * bridges: chr1, pos1, high1, chr2, pos2, high2, offset and support lengths
 
-Everything that happens inside a read or pair is a window over (pair, read),
-whose groups are as small as a read; no self-join of the matches is needed for
-support.
+Duplicates and bridges come from the match store (:mod:`strandlake.operators.store`),
+one row per pair. What is asked of single matches in a flat table is a window over
+(pair, read), whose groups are as small as a read.
 """
 
 from __future__ import annotations
@@ -18,11 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coords import anchor_position, invariant, read_position
+from .store import MAX_MATE_DISTANCE, SIGNATURE, SUPPORT
 
-SIGNATURE = ["chr1", "pos1", "high1", "chr2", "pos2", "high2", "offset"]
-SUPPORT = ["anchor1_len", "anchor2_len", "mate1_len", "mate2_len"]
-#: Least support of an anchor, largest mate distance, and the largest value of a saturating count.
-MIN_SUPPORT, MAX_MATE_DISTANCE, SATURATED = 20, 1000, 65535
+#: Fixed value: the largest value of a saturating count.
+SATURATED = 65535
 
 
 def with_read_position(mums: DataFrame) -> DataFrame:
@@ -34,24 +33,6 @@ def first_mums(mums: DataFrame) -> DataFrame:
     return mums.groupBy("pair_id", "read_2").agg(F.min_by(F.struct("ord", "chr", "pos", "off", "len", "flipped", "read_len"), "ord").alias("m")).select("pair_id", "read_2", "m.*")
 
 
-def mark_duplicates(pairs: DataFrame, mums: DataFrame, keys: tuple[str, ...] = ("sample",)) -> DataFrame:
-    """``pairs`` with ``dupe``: equal to the pair right before it in pair order.
-
-    Pair order puts pairs with a first match in read 1 by (chr, read position),
-    then by that of read 2; longer reads come first, bad ones last. Runs of equal
-    pairs chain, and the first of a run stays unmarked. Equal pairs are neighbours
-    in the order, so it is enough to number the rows of each group of equal pairs:
-    groups are the partitions of the window, not whole samples.
-    """
-    f = with_read_position(first_mums(mums))
-    one = f.filter("NOT read_2").select("pair_id", F.col("chr").alias("chr_a"), F.col("readpos").alias("rp_a"))
-    two = f.filter("read_2").select("pair_id", F.col("chr").alias("chr_b"), F.col("readpos").alias("rp_b"))
-    keyed = pairs.join(one, "pair_id", "left").join(two, "pair_id", "left")
-    same = Window.partitionBy(*keys, "len1", "len2", "chr_a", "rp_a", "chr_b", "rp_b").orderBy("bad1", "bad2", "pair_id")
-    mapped = F.col("chr_a").isNotNull() | F.col("chr_b").isNotNull()
-    return keyed.withColumn("dupe", mapped & (F.row_number().over(same) > 1)).drop("chr_a", "rp_a", "chr_b", "rp_b")
-
-
 def read_support(mums: DataFrame) -> DataFrame:
     """``mums`` with low_support and high_support: own length plus co-linear matches of the read on either side."""
     m = with_read_position(mums)
@@ -97,42 +78,6 @@ def mate_support(mums: DataFrame) -> DataFrame:
     return mums.join(mates, ["pair_id", "read_2"], "left").withColumn("mate_support", folded).drop("mates")
 
 
-def pair_bridges(mums: DataFrame, pairs: DataFrame | None = None, least: int = MIN_SUPPORT, exclude_snps: bool = False) -> DataFrame:
-    """One row per pair and signature: the bridge and its four support lengths (largest of the pair).
-
-    Bridges join matches of one read: ``m1`` before ``m2``. Bad reads and
-    duplicate pairs are left out if ``pairs`` is given.
-    """
-    m = mate_support(read_support(mums))
-    if pairs is not None:
-        m = m.join(pairs.select("pair_id", "bad1", "bad2", "dupe"), "pair_id").filter(~F.col("dupe") & ~F.when(F.col("read_2"), F.col("bad2")).otherwise(F.col("bad1")))
-    keep = ["ord", "chr", "pos", "off", "len", "flipped", "low_support", "high_support", "mate_support"]
-    sample = ["sample"] if "sample" in mums.columns else []
-    a = m.select("pair_id", "read_2", *sample, *[F.col(c).alias(f"a_{c}") for c in keep])
-    b = m.select("pair_id", "read_2", *[F.col(c).alias(f"b_{c}") for c in keep])
-    met = a.join(b, ["pair_id", "read_2"]).filter("a_ord < b_ord")
-    high_a, high_b = ~F.col("a_flipped"), F.col("b_flipped")
-    end = lambda s, high: F.struct(
-        F.col(f"{s}_chr").alias("chr"), anchor_position(F.col(f"{s}_pos"), F.col(f"{s}_len"), high).alias("pos"), high.alias("high"),
-        F.when(high, F.col(f"{s}_low_support")).otherwise(F.col(f"{s}_high_support")).alias("anchor"),
-        # the mate lies on the far side of the later match only
-        (F.lit(0).cast("long") if s == "a" else F.col("b_mate_support")).alias("mate"),
-    )
-    # both base positions lie between the matches in the read
-    offset = F.col("b_off") - (F.col("a_off") + F.col("a_len") - 1)
-    ends = met.select("pair_id", *sample, end("a", high_a).alias("x"), end("b", high_b).alias("y"), offset.cast("int").alias("offset"))
-    ends = ends.filter((F.col("x.anchor") >= least) & (F.col("y.anchor") >= least))
-    x_first = F.when(F.col("x.chr") != F.col("y.chr"), F.col("x.chr") > F.col("y.chr")).when(F.col("x.pos") != F.col("y.pos"), F.col("x.pos") < F.col("y.pos")).otherwise(F.col("x.high") | ~F.col("y.high"))
-    ordered = ends.withColumn("p", F.when(x_first, F.col("x")).otherwise(F.col("y"))).withColumn("q", F.when(x_first, F.col("y")).otherwise(F.col("x")))
-    flat = ordered.select(
-        "pair_id", *sample, F.col("p.chr").alias("chr1"), F.col("p.pos").alias("pos1"), F.col("p.high").alias("high1"), F.col("q.chr").alias("chr2"), F.col("q.pos").alias("pos2"), F.col("q.high").alias("high2"), "offset",
-        F.col("p.anchor").alias("anchor1_len"), F.col("q.anchor").alias("anchor2_len"), F.col("p.mate").alias("mate1_len"), F.col("q.mate").alias("mate2_len"),
-    )
-    if exclude_snps:
-        flat = flat.filter((F.col("chr1") != F.col("chr2")) | (bridge_invariant() != 0))
-    return flat.groupBy("pair_id", *sample, *SIGNATURE).agg(*[F.max(c).alias(c) for c in SUPPORT])
-
-
 def bridge_invariant() -> Column:
     return invariant(F.col("high1"), F.col("pos1"), F.col("high2"), F.col("pos2"), F.col("offset"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import ship
 from ..operators import bridges as br
+from ..operators import store as st
 
 
 def micros(c: str) -> Column:
@@ -45,32 +46,44 @@ class Tables:
         return self.spark.range(20).select(s.alias("sample"), family.alias("family"), member.alias("member"), F.when(s % 4 < 2, "parent").otherwise("child").alias("relation"), sex.alias("sex"))
 
     @cached_property
-    def mums(self) -> DataFrame:
-        order = Window.partitionBy("pair_id").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    def reads(self) -> DataFrame:
+        """The matches of each order's two reads as an array: one shuffle on the order."""
         m = self.lineitem.select(
-            F.col("l_orderkey").alias("pair_id"), "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_suppkey") % 3).cast("int").alias("chr"), ((F.col("l_partkey") % 12) * 100).cast("long").alias("pos"),
-            (20 + F.col("l_quantity").cast("int") % 3).cast("int").alias("len"), (F.col("l_returnflag") == "R").alias("flipped"), (F.col("l_linestatus") == "F").alias("read_2"),
-        ).withColumn("ord", (F.row_number().over(order) - 1).cast("int")).drop("l_linenumber", "l_partkey", "l_suppkey")
-        read = Window.partitionBy("pair_id", "read_2")
-        off = F.coalesce(F.sum(F.col("len") + 1).over(read.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
-        m = m.withColumn("off", off)
-        return m.withColumns({"read_len": F.max(F.col("off") + F.col("len")).over(read).cast("int"), "last_hit": F.col("ord") == F.max("ord").over(read)})
+            F.col("l_orderkey").alias("pair_id"),
+            F.struct(
+                "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_suppkey") % 3).cast("int").alias("chr"), ((F.col("l_partkey") % 12) * 100).cast("long").alias("pos"),
+                (20 + F.col("l_quantity").cast("int") % 3).cast("int").alias("len"), (F.col("l_returnflag") == "R").alias("flipped"), (F.col("l_linestatus") == "F").alias("read_2"),
+            ).alias("m"),
+        )
+        return st.laid_out(m.groupBy("pair_id").agg(F.sort_array(F.collect_list("m")).alias("raw")))
 
     @cached_property
-    def pairs(self) -> DataFrame:
-        """One row per order: read lengths, bad reads by order priority, and the sample."""
-        lens = self.mums.groupBy("pair_id").agg(F.coalesce(F.max(F.when(~F.col("read_2"), F.col("read_len"))), F.lit(0)).cast("int").alias("len1"), F.coalesce(F.max(F.when(F.col("read_2"), F.col("read_len"))), F.lit(0)).cast("int").alias("len2"))
+    def mums(self) -> DataFrame:
+        return st.flat(self.reads)
+
+    @cached_property
+    def store(self) -> DataFrame:
+        """The match store: one row per order with its matches, read lengths, bad reads by order priority, and the sample."""
         first = F.substring("o_orderpriority", 1, 1)
         o = self.orders.select(F.col("o_orderkey").alias("pair_id"), (F.col("o_custkey") % 20).cast("int").alias("sample"), (first == "1").alias("bad1"), (first == "2").alias("bad2"))
-        return o.join(lens, "pair_id")
+        return st.read_lengths(o.join(self.reads, "pair_id"))
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """One row per order: read lengths, bad reads, and the sample."""
+        return self.store.select("pair_id", "sample", "bad1", "bad2", "len1", "len2")
+
+    @cached_property
+    def marked_store(self) -> DataFrame:
+        return st.mark_duplicates(self.store)
 
     @cached_property
     def marked_pairs(self) -> DataFrame:
-        return br.mark_duplicates(self.pairs, self.mums)
+        return self.marked_store.drop("matches")
 
     @cached_property
     def observed_bridges(self) -> DataFrame:
-        return br.pair_bridges(self.mums.join(self.pairs.select("pair_id", "sample"), "pair_id"), self.marked_pairs)
+        return st.bridges(self.marked_store, "sample")
 
     @cached_property
     def sample_bridges(self) -> DataFrame:
