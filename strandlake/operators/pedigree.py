@@ -68,7 +68,7 @@ def family_maxima(bridges: DataFrame, samples: DataFrame) -> DataFrame:
     parent = F.col("relation") == "parent"
     return own.groupBy(*SIGNATURE, "family").agg(
         *[F.max(c).alias(c) for c in ("bridge_count", "anchor1_len", "anchor2_len", "mate1_len", "mate2_len", "mate1_count", "mate2_count")],
-        F.count_if(parent).alias("n_parents"), F.count_if(~parent).alias("n_children"),
+        F.count_if(parent).alias("n_parents"), F.count_if(~parent).alias("n_children"), F.coalesce(F.sum(F.when(parent, F.col("bridge_count"))), F.lit(0)).alias("parent_sum"),
     )
 
 
@@ -76,15 +76,16 @@ def candidates(bridges: DataFrame, samples: DataFrame, mode: str, cuts: Cuts = P
     """(bridge, family) rows that pass a study mode and its thresholds; the cheap cuts come first."""
     m = MODES[mode]
     rows = bridges.filter(bridge_invariant() != 0) if cuts.exclude_snps else bridges
-    seen = families_seen(rows, samples).select(*SIGNATURE, "n_families", "n_samples", "parent_total")
-    fam = family_maxima(rows, samples).join(seen, SIGNATURE)
-    ok = F.col("n_families") <= m.family_limit
-    if m.two_samples:
-        ok &= F.col("n_samples") <= 2
+    fam = family_maxima(rows, samples)
+    own = [c for c in fam.columns if c not in SIGNATURE]
+    # a bridge's families, at most as many as the cohort has, meet in one row: what all of them say needs no second pass
+    met = fam.groupBy(*SIGNATURE).agg(F.collect_list(F.struct(*own)).alias("fams"), F.count("*").alias("n_families"), F.sum(F.col("n_parents") + F.col("n_children")).alias("n_samples"), F.sum("parent_sum").alias("parent_total"))
     if m.one_family:
-        ok &= F.col("n_families") == 1
-    if m.just_kids:
-        ok &= F.col("n_parents") == 0
+        met = met.filter("n_families = 1")
+    if m.two_samples:
+        met = met.filter("n_samples <= 2")
+    fam = met.filter(F.col("n_families") <= m.family_limit).select(*SIGNATURE, "n_families", "n_samples", "parent_total", F.inline("fams")).drop("parent_sum")
+    ok = F.col("n_parents") == 0 if m.just_kids else F.lit(True)
     if mode == "ultra_rare_and_denovo":
         ok &= ~((F.col("n_families") > 1) & (F.col("n_parents") > 0))
     ok &= (F.col("n_parents") <= 1) & (F.col("bridge_count") >= cuts.min_bridge_count)
@@ -109,11 +110,12 @@ def max_other_family(bridges: DataFrame, samples: DataFrame) -> DataFrame:
 
     The two highest family maxima of a bridge decide it for all its families.
     """
-    fam = family_maxima(bridges, samples).select(*SIGNATURE, "family", "bridge_count")
-    top = F.slice(F.sort_array(F.collect_list(F.struct("bridge_count", "family")), asc=False), 1, 2)
-    tops = fam.groupBy(*SIGNATURE).agg(top.alias("top"))
+    fam = family_maxima(bridges, samples)
+    met = fam.groupBy(*SIGNATURE).agg(F.collect_list(F.struct("family", "bridge_count")).alias("fams"))
+    top = F.slice(F.sort_array(F.transform("fams", lambda f: F.struct(f["bridge_count"].alias("bridge_count"), f["family"].alias("family"))), asc=False), 1, 2)
+    rows = met.select(*SIGNATURE, top.alias("top"), F.inline("fams"))
     other = F.when(F.col("top")[0]["family"] != F.col("family"), F.col("top")[0]["bridge_count"]).otherwise(F.coalesce(F.get("top", F.lit(1))["bridge_count"], F.lit(0)))
-    return fam.join(tops, SIGNATURE).select(*SIGNATURE, "family", "bridge_count", other.alias("max_other"))
+    return rows.select(*SIGNATURE, "family", "bridge_count", other.alias("max_other"))
 
 
 def transmission(bridges: DataFrame, samples: DataFrame, t1: int = 10, t2: int = 2) -> DataFrame:
