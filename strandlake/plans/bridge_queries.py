@@ -256,13 +256,7 @@ def _(t):
     return br.unequal_bridges(t.sample_bridges, n, 5, 0.5).withColumn("p", rounded("p"))
 
 
-@query("incidental_split", f"""WITH {m.BRIDGES} SELECT sample, {_S}, bridge_count, row_number() OVER (PARTITION BY chr1, pos1, high1 ORDER BY bridge_count DESC, chr2, pos2, high2, "offset", sample) = 1 AS "real" FROM bridges WHERE sample = 4""")
-def _(t):
-    """Real and incidental bridges of an anchor."""
-    return br.incidental_split(t.sample_bridges.filter("sample = 4")).select("sample", *SIG, "bridge_count", "real")
-
-
-@query("incidental_split_whole", f"""WITH {m.BRIDGES} SELECT sample, {_S}, bridge_count, row_number() OVER (PARTITION BY sample, chr1, pos1, high1 ORDER BY bridge_count DESC, chr2, pos2, high2, "offset") = 1 AS "real" FROM bridges""")
+@query("incidental_split", f"""WITH {m.BRIDGES} SELECT sample, {_S}, bridge_count, row_number() OVER (PARTITION BY sample, chr1, pos1, high1 ORDER BY bridge_count DESC, chr2, pos2, high2, "offset") = 1 AS "real" FROM bridges""")
 def _(t):
     """Real and incidental bridges of an anchor, in every sample."""
     return br.incidental_split(t.sample_bridges, ["sample"]).select("sample", *SIG, "bridge_count", "real")

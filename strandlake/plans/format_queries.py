@@ -49,35 +49,28 @@ def _(t):
     return rd.reference_blocks(seqs(t), 100)
 
 
-_FASTQ = f"r AS (SELECT doc_id, substr({_DNA.format('text')} || 'ACGTN', 1, 30) AS seq FROM documents)"
+_FASTQ = f"r AS (SELECT doc_id, {_DNA.format('text')} || 'ACGTN' AS seq FROM documents)"
 
 
-def _fastq(t, whole: bool = False):
-    """Reads and their records: the first 30 bases of each text, as in the SQL, or all."""
-    s = F.concat(as_dna("text"), F.lit("ACGTN"))
-    r = t.documents.select("doc_id", (s if whole else F.substring(s, 1, 30)).alias("seq"))
+def _fastq(t):
+    """Reads and their records."""
+    r = t.documents.select("doc_id", F.concat(as_dna("text"), F.lit("ACGTN")).alias("seq"))
     rec = F.concat(F.lit("@r"), F.col("doc_id").cast("string"), F.lit("/1\n"), F.col("seq"), F.lit("\n+\n"), F.repeat(F.lit("I"), F.length("seq")))
     return r, rec
 
 
 @query("fastq_scan", f"WITH {_FASTQ} SELECT 'r' || doc_id || '/1' AS name, seq, repeat('I', length(seq)) AS qual FROM r")
-def _fastq_scan(t, whole: bool = False):
+def _(t):
     """S3: FASTQ records."""
-    r, rec = _fastq(t, whole)
+    r, rec = _fastq(t)
     return rd.read_fastq(t.spark, text_file(t, r.select(rec.alias("value")), "fastq")).select("name", "seq", "qual")
 
 
-@query("fastq_scan_whole")
-def _(t):
-    """S3 with reads of any length."""
-    return _fastq_scan(t, True)
-
-
 _SAM = f"""{_FASTQ}, sam AS (SELECT 'q' || (doc_id // 2) AS name, CASE WHEN doc_id % 2 = 0 THEN 65 ELSE 129 END + CASE WHEN doc_id % 3 = 0 THEN 16 ELSE 0 END AS flag, 'c' || (doc_id % 3) AS ref, doc_id * 3 + 1 AS pos, length(seq) || 'M' AS cigar, seq, repeat('I', length(seq)) AS qual, doc_id FROM r)"""
 
 
-def _sam(t, whole: bool = False):
-    r, _ = _fastq(t, whole)
+def _sam(t):
+    r, _ = _fastq(t)
     d = F.col("doc_id")
     flag = (F.when(d % 2 == 0, 65).otherwise(129) + F.when(d % 3 == 0, 16).otherwise(0)).cast("int")
     none = F.lit(0).cast("long")
@@ -88,30 +81,18 @@ def _sam(t, whole: bool = False):
 
 
 @query("sam_round_trip", f"WITH {_SAM} SELECT name, CAST(flag AS INTEGER) AS flag, ref, pos, cigar, seq, doc_id AS score, array_to_string(list_filter(['paired', CASE WHEN flag & 16 <> 0 THEN 'reverse' END, CASE WHEN flag & 64 <> 0 THEN 'first' END, CASE WHEN flag & 128 <> 0 THEN 'second' END], lambda x: x IS NOT NULL), ',') AS flags FROM sam")
-def _sam_round_trip(t, whole: bool = False):
+def _(t):
     """SAM written and read, flags and tags."""
-    s = rd.optional_fields(rd.read_sam(t.spark, text_file(t, wr.sam_lines(_sam(t, whole)), "sam")), {"AS": "score"})
+    s = rd.optional_fields(rd.read_sam(t.spark, text_file(t, wr.sam_lines(_sam(t)), "sam")), {"AS": "score"})
     return s.select("name", "flag", "ref", "pos", "cigar", "seq", F.col("score").cast("long").alias("score"), F.array_join(rd.sam_flags(F.col("flag")), ",").alias("flags"))
 
 
-@query("sam_round_trip_whole")
-def _(t):
-    """S4, S23, P10 with records of any length."""
-    return _sam_round_trip(t, True)
-
-
 @query("sam_to_fastq", f"WITH {_SAM} SELECT name, '@' || name || chr(10) || CASE WHEN flag & 16 <> 0 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END || chr(10) || '+' || chr(10) || qual AS value FROM sam")
 def _(t):
     """K8: reads back in their own direction."""
     return wr.sam_to_fastq(_sam(t)).select("name", "value")
 
 
-@query("sam_to_fastq_whole")
-def _(t):
-    """K8 with records of any length."""
-    return wr.sam_to_fastq(_sam(t, True)).select("name", "value")
-
-
 @query("name_pairs", f"WITH {_SAM} SELECT a.name, a.pos AS pos1, b.pos AS pos2 FROM sam a JOIN sam b ON a.name = b.name AND a.flag & 64 <> 0 AND b.flag & 128 <> 0")
 def _(t):
     """Mates met by name."""
@@ -119,19 +100,13 @@ def _(t):
 
 
 @query("fastq_to_sam", f"WITH {_FASTQ}, p AS (SELECT doc_id // 2 AS pair_id, max(seq) FILTER (doc_id % 2 = 0) AS a, max(seq) FILTER (doc_id % 2 = 1) AS b FROM r GROUP BY 1 HAVING count(*) = 2) SELECT CAST(pair_id AS BIGINT) AS pair_id, 77 AS flag, replace(a, 'N', 'A') AS seq FROM p UNION ALL SELECT pair_id, 141, replace(b, 'N', 'A') FROM p")
-def _fastq_to_sam(t, whole: bool = False):
+def _(t):
     """K9, S3: two FASTQ mates as unaligned SAM rows."""
-    r, _rec = _fastq(t, whole)
+    r, _rec = _fastq(t)
     one = r.select(F.col("doc_id").alias("record"), F.col("doc_id").cast("string").alias("name"), "seq", F.repeat(F.lit("I"), F.length("seq")).alias("qual"))
     return wr.fastq_to_sam(rd.fastq_pairs(one), "A").select("pair_id", "flag", "seq")
 
 
-@query("fastq_to_sam_whole")
-def _(t):
-    """K9, S3 with mates of any length."""
-    return _fastq_to_sam(t, True)
-
-
 @query("cigar_positions", "SELECT p_partkey, 100 - p_size AS start, CAST(20 + p_partkey % 9 + 3 AS INTEGER) AS span FROM part WHERE p_size > 0")
 def _(t):
     """Section 2.8: reference span and unclipped start of an alignment."""

@@ -51,25 +51,19 @@ def _(t):
     return iv.best_repeat(t.points, t.repeats).select("chr", "pos", "total_length")
 
 
-_SEG_SQL = f"""WITH {m.INTERVALS}, s AS (SELECT chr, start, stop, type, user_id FROM intervals WHERE stop - start < 3000)
+_SEG_SQL = f"""WITH {m.INTERVALS}, s AS (SELECT chr, start, stop, type, user_id FROM intervals)
 SELECT a.user_id AS a_user, b.user_id AS b_user, a.start AS a_start, b.start AS b_start, least(a.stop, b.stop) - greatest(a.start, b.start) AS overlap, (least(a.stop, b.stop) - greatest(a.start, b.start)) / CAST(a.stop - a.start AS DOUBLE) AS share
 FROM s a JOIN s b ON a.chr = b.chr AND a.type = b.type AND a.user_id < b.user_id AND a.start < b.stop AND b.start < a.stop"""
 
 
 @query("segment_overlap", _SEG_SQL)
-def _segment_overlap(t, s=None):
+def _(t):
     """Overlaps of segments of the same type."""
-    s = t.intervals.filter("stop - start < 3000") if s is None else s
+    s = t.intervals
     c = iv.compare_segments(s, s).filter("l_user_id < r_user_id")
     return c.select(F.col("l_user_id").alias("a_user"), F.col("r_user_id").alias("b_user"), F.col("l_start").alias("a_start"), F.col("r_start").alias("b_start"), "overlap", F.col("l_share").alias("share"))
 
 
-@query("segment_overlap_whole", _SEG_SQL.replace(" WHERE stop - start < 3000", ""))
-def _(t):
-    """J17, O9 over segments of any length."""
-    return _segment_overlap(t, t.intervals)
-
-
 @query("merged_intervals", f"""WITH {m.GENES}, r AS (SELECT *, max(stop) OVER (PARTITION BY chr ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM genes),
 i AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach + 5 THEN 1 ELSE 0 END) OVER (PARTITION BY chr ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM r)
 SELECT chr, min(start) AS start, max(stop) AS stop, count(*) AS n FROM i GROUP BY chr, island""")
@@ -102,7 +96,7 @@ def _(t):
     return iv.peaks(t.events, ["event_type"], "ts", "value", 50.0)
 
 
-@query("depth_1k", f"""WITH {m.INTERVALS}, s AS (SELECT * FROM intervals WHERE stop - start < 100000), b AS (SELECT chr, start, stop, unnest(range(start // 1000, (stop - 1) // 1000 + 1)) AS bin FROM s)
+@query("depth_1k", f"""WITH {m.INTERVALS}, s AS (SELECT * FROM intervals WHERE stop - start < 1000000), b AS (SELECT chr, start, stop, unnest(range(start // 1000, (stop - 1) // 1000 + 1)) AS bin FROM s)
 SELECT chr, CAST(bin AS BIGINT) AS bin, round(sum(least(stop, (bin + 1) * 1000) - greatest(start, bin * 1000)) / 1000.0 / 2, 6) AS depth FROM b GROUP BY 1, 2""")
 def _(t):
     """Mean depth per kilobase."""
@@ -141,20 +135,13 @@ def _(t):
     return iv.paint_track(t.genes, 200, 400)
 
 
-_TRUTH_SQL = f"""WITH {m.INTERVALS}, k AS (SELECT *, row_number() OVER (ORDER BY user_id, start) AS id FROM intervals), a AS (SELECT * FROM k WHERE user_id % 2 = 0 AND stop - start < 3000), b AS (SELECT * FROM k WHERE user_id % 2 = 1 AND stop - start < 3000),
+_TRUTH_SQL = f"""WITH {m.INTERVALS}, k AS (SELECT *, row_number() OVER (ORDER BY user_id, start) AS id FROM intervals), a AS (SELECT * FROM k WHERE user_id % 2 = 0), b AS (SELECT * FROM k WHERE user_id % 2 = 1),
 h AS (SELECT a.id AS x, b.id AS y FROM a JOIN b ON a.chr = b.chr AND a.type = b.type AND a.start < b.stop AND b.start < a.stop)
 SELECT (SELECT count(DISTINCT x) FROM h) AS found, (SELECT count(*) FROM a) - (SELECT count(DISTINCT x) FROM h) AS missed, (SELECT count(*) FROM b) - (SELECT count(DISTINCT y) FROM h) AS "false" """
 
 
 @query("truth_comparison", _TRUTH_SQL)
-def _truth_comparison(t, s=None):
+def _(t):
     """Known against called events."""
-    s = t.intervals.filter("stop - start < 3000") if s is None else s
-    s = s.withColumn("id", F.xxhash64("user_id", "start", "stop", "type"))
+    s = t.intervals.withColumn("id", F.xxhash64("user_id", "start", "stop", "type"))
     return iv.found_missed_false(s.filter("user_id % 2 = 0"), s.filter("user_id % 2 = 1"))
-
-
-@query("truth_comparison_whole", _TRUTH_SQL.replace(" AND stop - start < 3000", ""))
-def _(t):
-    """A41 over events of any length."""
-    return _truth_comparison(t, t.intervals)

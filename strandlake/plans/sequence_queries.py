@@ -42,32 +42,20 @@ def _(t):
     return sq.repeated_substrings(t.benchmark, "text", 12)
 
 
-_CYCLE = f"WITH d AS (SELECT doc_id % 50 AS grp, substr({_DNA.format('text')}, 1, 30) AS s FROM documents), c AS (SELECT grp, CAST(i AS INTEGER) AS pos, substr(s, CAST(i AS BIGINT) + 1, 1) AS b FROM (SELECT grp, s, unnest(range(length(s))) AS i FROM d)) "
+_CYCLE = f"WITH d AS (SELECT doc_id % 50 AS grp, {_DNA.format('text')} AS s FROM documents), c AS (SELECT grp, CAST(i AS INTEGER) AS pos, substr(s, CAST(i AS BIGINT) + 1, 1) AS b FROM (SELECT grp, s, unnest(range(length(s))) AS i FROM d)) "
 
 
 @query("consensus", _CYCLE + """, n AS (SELECT grp, pos, b, count(*) AS n FROM c GROUP BY ALL), m AS (SELECT grp, pos, max(n) AS top FROM n GROUP BY 1, 2), w AS (SELECT grp, pos, CASE WHEN count(*) = 1 THEN min(b) ELSE 'x' END AS b FROM n JOIN m USING (grp, pos) WHERE n = top GROUP BY 1, 2)
 SELECT grp, string_agg(b, '' ORDER BY pos) AS consensus FROM w GROUP BY 1""")
 def _(t):
     """Majority sequence of a group, 'x' on ties."""
-    d = t.documents.select((F.col("doc_id") % 50).alias("grp"), F.substring(as_dna("text"), 1, 30).alias("s"))
+    d = t.documents.select((F.col("doc_id") % 50).alias("grp"), as_dna("text").alias("s"))
     return sq.consensus(d, ["grp"], "s")
 
 
-@query("consensus_whole")
-def _(t):
-    """A27 over whole texts."""
-    return sq.consensus(t.documents.select((F.col("doc_id") % 50).alias("grp"), as_dna("text").alias("s")), ["grp"], "s")
-
-
 @query("base_counts", _CYCLE + """SELECT pos AS cycle, count(*) AS depth, count(*) FILTER (b = 'A') AS "A", count(*) FILTER (b = 'C') AS "C", count(*) FILTER (b = 'G') AS "G", count(*) FILTER (b = 'T') AS "T", CAST(0 AS BIGINT) AS "N" FROM c GROUP BY 1""")
 def _(t):
     """Bases per cycle."""
-    return sq.base_counts(t.documents.select(F.substring(as_dna("text"), 1, 30).alias("s")), [], "s")
-
-
-@query("base_counts_whole")
-def _(t):
-    """A28 over whole texts: every cycle."""
     return sq.base_counts(t.documents.select(as_dna("text").alias("s")), [], "s")
 
 
@@ -77,17 +65,10 @@ def _(t):
     return sq.quality_stats(t.part, "p_name").withColumn("mean_quality", F.round("mean_quality", 6))
 
 
-@query("sequence_similarity", f"""WITH d AS (SELECT doc_id, substr({_DNA.format('text')}, 1, 40) AS a, substr({_DNA.format('text')}, 3, 40) AS b FROM documents), c AS (SELECT doc_id, substr(a, CAST(i AS BIGINT), 1) AS x, substr(b, CAST(i AS BIGINT), 1) AS y FROM (SELECT *, unnest(range(1, least(length(a), length(b)) + 1)) AS i FROM d))
+@query("sequence_similarity", f"""WITH d AS (SELECT doc_id, {_DNA.format('text')} AS a, substr({_DNA.format('text')}, 3) AS b FROM documents), c AS (SELECT doc_id, substr(a, CAST(i AS BIGINT), 1) AS x, substr(b, CAST(i AS BIGINT), 1) AS y FROM (SELECT *, unnest(range(1, least(length(a), length(b)) + 1)) AS i FROM d))
 SELECT d.doc_id, CAST(count(*) FILTER (x = y) AS INTEGER) AS matches, CAST(count(x) AS INTEGER) AS testable FROM d LEFT JOIN c USING (doc_id) GROUP BY 1""")
 def _(t):
-    """Matches over testable positions."""
-    s = as_dna("text")
-    return t.documents.select("doc_id", dna.similarity(F.substring(s, 1, 40), F.substring(s, 3, 40)).alias("x")).select("doc_id", "x.matches", "x.testable")
-
-
-@query("sequence_similarity_whole")
-def _(t):
-    """A32 over whole texts: each against itself two bases on."""
+    """Matches over testable positions, each text against itself two bases on."""
     s = as_dna("text")
     return t.documents.select("doc_id", dna.similarity(s, F.substring(s, F.lit(3), F.length(s))).alias("x")).select("doc_id", "x.matches", "x.testable")
 
@@ -102,14 +83,14 @@ def _(t):
     return sq.match_barcodes(t.part.select(code.alias("barcode")).distinct(), sheet, 2).select("barcode", "distance", "name")
 
 
-_MEMS = """WITH q AS (SELECT doc_id AS query, text AS seq FROM documents WHERE n_chars BETWEEN 40 AND 400), qk AS (SELECT query, i, substr(seq, CAST(i AS BIGINT) + 1, 30) AS k FROM (SELECT query, seq, unnest(range(length(seq) - 29)) AS i FROM q WHERE length(seq) >= 30)),
+_MEMS = """WITH q AS (SELECT doc_id AS query, text AS seq FROM documents), qk AS (SELECT query, i, substr(seq, CAST(i AS BIGINT) + 1, 30) AS k FROM (SELECT query, seq, unnest(range(length(seq) - 29)) AS i FROM q WHERE length(seq) >= 30)),
 rk AS (SELECT item_id AS ref, i, substr(text, CAST(i AS BIGINT) + 1, 30) AS k FROM (SELECT item_id, text, unnest(range(length(text) - 29)) AS i FROM benchmark WHERE length(text) >= 30)),
 h AS (SELECT query, ref, rk.i - qk.i AS diag, qk.i AS q_pos FROM qk JOIN rk USING (k)), s AS (SELECT *, q_pos - row_number() OVER (PARTITION BY query, ref, diag ORDER BY q_pos) AS island FROM h),
 m AS (SELECT query, ref, diag, min(q_pos) AS q_start, max(q_pos) - min(q_pos) + 30 AS len FROM s GROUP BY query, ref, diag, island) """
 
 
 def _mems(t):
-    q = t.documents.filter("n_chars BETWEEN 40 AND 400").select(F.col("doc_id").alias("query"), F.col("text").alias("seq"))
+    q = t.documents.select(F.col("doc_id").alias("query"), F.col("text").alias("seq"))
     return q, t.benchmark.select(F.col("item_id").alias("ref"), F.col("text").alias("seq"))
 
 
@@ -125,22 +106,6 @@ def _(t):
     return sq.unique_matches(*_mems(t), 30).select("query", "ref", "q_start", "r_start", "len")
 
 
-def _all_mems(t):
-    return t.documents.select(F.col("doc_id").alias("query"), F.col("text").alias("seq")), t.benchmark.select(F.col("item_id").alias("ref"), F.col("text").alias("seq"))
-
-
-@query("maximal_matches_whole")
-def _(t):
-    """J22 with every document as a query, of any length."""
-    return sq.maximal_matches(*_all_mems(t), 30)
-
-
-@query("unique_matches_whole")
-def _(t):
-    """J22, D2 with every document as a query, of any length."""
-    return sq.unique_matches(*_all_mems(t), 30).select("query", "ref", "q_start", "r_start", "len")
-
-
 @query("mappability")
 def _(t):
     """Shortest unique lengths of every base."""
@@ -160,16 +125,9 @@ def _(t):
     return t.documents.select("doc_id", F.substring(s, 1, 4).alias("umi"), F.substring(s, 5, 6).alias("code"))
 
 
-@query("pileup_genotypes", f"""WITH r AS (SELECT doc_id AS pair_id, doc_id % 5 AS chr, doc_id % 7 AS p, substr({_DNA.format('text')}, 1, 20) AS s FROM documents), c AS (SELECT pair_id, chr, p + i AS pos, substr(s, CAST(i AS BIGINT) + 1, 1) AS base FROM (SELECT *, unnest(range(length(s))) AS i FROM r)),
+@query("pileup_genotypes", f"""WITH r AS (SELECT doc_id AS pair_id, doc_id % 5 AS chr, doc_id % 7 AS p, {_DNA.format('text')} AS s FROM documents), c AS (SELECT pair_id, chr, p + i AS pos, substr(s, CAST(i AS BIGINT) + 1, 1) AS base FROM (SELECT *, unnest(range(length(s))) AS i FROM r)),
 n AS (SELECT chr, pos, base, count(*) AS n FROM c GROUP BY ALL), k AS (SELECT *, sum(n) OVER (PARTITION BY chr, pos) AS total FROM n) SELECT chr, pos, CAST(total AS BIGINT) AS total, string_agg(base, '/' ORDER BY base) AS call FROM k WHERE n >= 2 AND n >= 0.3 * total GROUP BY 1, 2, 3""")
 def _(t):
     """Bases over positions and calls."""
-    r = t.documents.select(F.col("doc_id").alias("pair_id"), (F.col("doc_id") % 5).alias("chr"), (F.col("doc_id") % 7).alias("pos"), F.substring(as_dna("text"), 1, 20).alias("seq"))
-    return sq.genotype(sq.pileup(r), 2, 0.3)
-
-
-@query("pileup_genotypes_whole")
-def _(t):
-    """A9, D28 over whole texts: every position."""
     r = t.documents.select(F.col("doc_id").alias("pair_id"), (F.col("doc_id") % 5).alias("chr"), (F.col("doc_id") % 7).alias("pos"), as_dna("text").alias("seq"))
     return sq.genotype(sq.pileup(r), 2, 0.3)

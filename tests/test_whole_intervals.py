@@ -1,7 +1,4 @@
-"""Interval and bridge queries over all segments and samples, against their SQL and the depth bound against its rule."""
-
-import pytest
-from test_oracles import con, rows  # noqa: F401
+"""The bound of the depth query."""
 
 from strandlake.operators import intervals
 from strandlake.plans import interval_queries, registry
@@ -9,12 +6,6 @@ from strandlake.plans import interval_queries, registry
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["segment_overlap", "truth_comparison", "incidental_split"])
-def test_whole_equals_sql(spark, con, name):  # noqa: F811
-    got, want = registry.QUERIES[f"{name}_whole"](spark, SF).toPandas(), con.sql(registry.ORACLES[f"{name}_whole"]).df()
-    assert rows(got) == rows(want) != rows(con.sql(registry.ORACLES[name]).df())
-
-
 def test_depth_takes_intervals_below_a_megabase(spark, monkeypatch):
     asked = []
     depth = intervals.depth
