@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import stored
+
 
 def moments(x: Column) -> dict[str, Column]:
     n = F.count(x)
@@ -40,7 +42,7 @@ def wide_upper_median(df: DataFrame, keys: list[str], value: str, name: str = "m
     its own approximate quantiles: only the slice that holds the median is
     ranked, and slices are separate tasks.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    counts = stored(df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__n")), "value-counts")
     cuts = counts.groupBy(*keys).agg(F.percentile_approx("__v", [i / 64 for i in range(1, 64)], 1000).alias("__cuts"), F.sum("__n").alias("__all"))
     on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
     cuts = cuts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__cuts", "__all")
@@ -70,6 +72,12 @@ def mad(df: DataFrame, keys: list[str], value: str, wide: bool = False) -> DataF
     return find(far, [*keys, "__med"], "__dev", "mad").select(*keys, F.col("__med").alias("median"), "mad")
 
 
+def mad_in_row(values: Column) -> Column:
+    """(median, mad) of an array, for groups that fit a row: a cohort's samples of one bin."""
+    middle = lambda a: F.get(F.array_sort(a), F.floor(F.size(a) / 2).cast("int"))
+    return F.get(F.transform(F.array(middle(values)), lambda m: F.struct(m.alias("median"), middle(F.transform(values, lambda x: F.abs(x - m))).alias("mad"))), 0)
+
+
 def regression(y: Column, x: Column) -> dict[str, Column]:
     """Least squares of y on x: slope, intercept and their standard errors."""
     n, sxx, syy, sxy = F.regr_count(y, x), F.regr_sxx(y, x), F.regr_syy(y, x), F.regr_sxy(y, x)
