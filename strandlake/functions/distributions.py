@@ -68,10 +68,15 @@ def poisson_upper(k: pd.Series, mean: pd.Series) -> pd.Series:
     return pd.Series(1 - poisson_cdf(k, mean))
 
 
+def chi2_tail_1(x: np.ndarray) -> np.ndarray:
+    """Upper tail of chi-square with one degree of freedom."""
+    return _erfc(np.sqrt(np.maximum(np.asarray(x, float), 0) / 2)) if np.size(x) else np.zeros(np.shape(x))
+
+
 @F.pandas_udf(T.DoubleType())
 def chi2_upper_1(x: pd.Series) -> pd.Series:
-    """Upper tail of chi-square with one degree of freedom."""
-    return pd.Series(_erfc(np.sqrt(np.maximum(x.to_numpy(float), 0) / 2)))
+    """:func:`chi2_tail_1` of a column."""
+    return pd.Series(chi2_tail_1(x.to_numpy(float)))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distributions import chi2_upper_1, poisson_lower, poisson_upper
-from ..functions.stats import mad, upper_median
+from ..functions.distributions import chi2_tail_1, poisson_lower, poisson_upper
+from ..functions.stats import mad, mad_in_row, upper_median
+from ..shared import stored
 from .intervals import depth, genes_in_intervals, overlap_join, peaks, point_join, run_lengths
 from .models import lowess
 
@@ -36,15 +38,65 @@ def bin_counts(points: DataFrame, bins: DataFrame, weight: str | None = None) ->
     return bins.join(found, "bin", "left").withColumn("count", F.coalesce("count", F.lit(0)))
 
 
-def allocate(totals: dict[int, float], n_bins: int) -> dict[int, int]:
-    """Bins per chromosome in proportion to its total; the rest one by one to the highest count per bin."""
-    whole = sum(totals.values())
-    got = {c: max(1, int(n_bins * t / whole)) for c, t in totals.items()}
+def allocate(totals: dict[int, float], n_bins: int, correction: dict[int, float] | None = None) -> dict[int, int]:
+    """Bins per chromosome so that the least corrected count per bin is as high as swaps can make it.
+
+    It starts in proportion to the corrected totals. Then a bin moves from the
+    chromosome of the least count per bin to the one that has the most left
+    after it got one more, as long as that is more; no allocation is tried twice.
+    """
+    size = {c: float(t) * (correction or {}).get(c, 1.0) for c, t in totals.items()}
+    whole = sum(size.values())
+    if not whole:
+        return dict.fromkeys(size, 1)
+    got = {c: max(1, int(n_bins * t / whole)) for c, t in size.items()}
     while sum(got.values()) < n_bins:
-        got[max(totals, key=lambda c: (totals[c] / got[c], -c))] += 1
+        got[max(size, key=lambda c: (size[c] / got[c], -c))] += 1
+    tried = set()
+    while len(size) > 1:
+        low = min(size, key=lambda c: (size[c] / got[c], c))
+        high = max(size, key=lambda c: (size[c] / (got[c] + 1), -c))
+        if low == high or got[low] == 1 or size[low] / got[low] >= size[high] / (got[high] + 1):
+            return got
+        got[low] -= 1
+        got[high] += 1
+        if (state := tuple(sorted(got.items()))) in tried:
+            return got
+        tried.add(state)
     return got
 
 
+def empirical_counts(counts: DataFrame, cut: float = 20.0) -> DataFrame:
+    """Population counts per base for binning: (chr, pos, region, count, total, bad).
+
+    ``counts``: chr, pos, region (auto, X or Y), sex (XX or XY) and count. X is
+    counted in females and Y in males only, scaled by what these have of the
+    autosomes. Bases whose scaled total is above ``cut`` upper medians of the
+    autosomes' nonzero totals are bad, and count nothing.
+    """
+    male, female = F.col("sex") == "XY", F.col("sex") == "XX"
+    amount = lambda which: F.coalesce(F.sum(F.when(which, F.col("count"))), F.lit(0))
+    at = stored(counts.groupBy("chr", "pos", "region").agg(amount(male).alias("male"), amount(female).alias("female")), "base-totals")
+    used = F.when(F.col("region") == "X", F.col("female")).when(F.col("region") == "Y", F.col("male")).otherwise(F.col("male") + F.col("female"))
+    at = at.withColumn("count", used)
+    usual = upper_median(at.filter("region = 'auto' AND count > 0"), [], "count", "usual").first()  # one row
+    limit = cut * (usual["usual"] or 0) if usual else 0.0
+    kept = at.filter((F.col("region") == "auto") & (F.col("count") <= limit)).agg(F.sum("male"), F.sum("female")).first()
+    m, f = kept[0] or 0, kept[1] or 0
+    # two copies of X in females, one of Y in males
+    factor = F.when(F.col("region") == "X", F.lit((m + f) / f if f else 1.0)).when(F.col("region") == "Y", F.lit(2.0 * (m + f) / m if m else 1.0)).otherwise(1.0)
+    total = factor * F.col("count")
+    return at.select("chr", "pos", "region", F.when(total > limit, 0).otherwise(F.col("count")).cast("long").alias("count"), total.alias("total"), (total > limit).alias("bad"))
+
+
+def theoretical_counts(mappability: DataFrame, regions: dict[int, str], least: int = 15, most: int = 40) -> DataFrame:
+    """(sex, chr, pos, count): the copies that a sample of each sex has of every base whose low mappability is from ``least`` to ``most``."""
+    region = F.coalesce(F.create_map(*[F.lit(x) for kv in regions.items() for x in kv])[F.col("chr")], F.lit("auto")) if regions else F.lit("auto")
+    copies = F.when(F.col("sex") == "XX", F.when(region == "Y", 0).otherwise(2)).otherwise(F.when(region == "auto", 2).otherwise(1))
+    rows = mappability.filter(F.col("low").between(least, most)).select("chr", "pos", F.explode(F.array(F.lit("XX"), F.lit("XY"))).alias("sex"))
+    return rows.select("sex", "chr", "pos", copies.alias("count")).filter("count > 0")
+
+
 def equal_mass_bins(counts: DataFrame, n_bins: int) -> DataFrame:
     """Bins of about equal total count, none across chromosomes: bin, chr, start, stop, count.
 
@@ -82,9 +134,11 @@ def gc_corrected(profile: DataFrame, frac: float = 0.1, iterations: int = 5, del
 
 def bad_bins(profile: DataFrame, cut: float = 6.0) -> DataFrame:
     """Bins whose ratios spread over the samples more than ``cut`` deviations above what is usual in their region."""
-    spread = mad(profile, ["bin", "region"], "ratio")
-    usual = mad(spread.select("region", F.col("mad").alias("spread")), ["region"], "spread").select("region", F.col("median").alias("usual"), F.col("mad").alias("dev"))
-    return spread.select("bin", "region", F.col("mad").alias("spread")).join(F.broadcast(usual), "region").withColumn("bad", F.col("spread") > F.col("usual") + cut * F.col("dev"))
+    # a bin has one ratio per sample: a cohort's worth, told in one row
+    both = profile.filter("ratio IS NOT NULL").groupBy("bin", "region").agg(mad_in_row(F.collect_list("ratio")).alias("x"))
+    spread = stored(both.select("bin", "region", F.col("x.mad").alias("spread")), "bin-spreads")
+    usual = mad(spread, ["region"], "spread").select("region", F.col("median").alias("usual"), F.col("mad").alias("dev"))
+    return spread.join(F.broadcast(usual), "region").withColumn("bad", F.col("spread") > F.col("usual") + cut * F.col("dev"))  # one row per region
 
 
 def quantal(profile: DataFrame, low: float = 1.5, high: float = 5.5, step: float = 0.05) -> DataFrame:
@@ -108,23 +162,47 @@ def call_states(segs: DataFrame, n_states: int = STATES) -> DataFrame:
     copies). Squared deviations over expected counts become chi-square tails; the
     exponent falls from 2 by 0.1 until some state has probability.
     """
-    state = F.explode(F.sequence(F.lit(0), F.lit(n_states - 1))).alias("state")
-    rows = segs.withColumn("seg", F.xxhash64(*segs.columns)).select("*", state)
-    mean = F.col("n_bins") * F.when(F.col("state") == 0, F.col("avg") / 10).otherwise(F.col("state") * F.col("avg") / 2)
-    rows = rows.withColumn("mean", mean)
-    # every exponent at once; the first whose probabilities do not all vanish is taken
-    powers = [round(2.0 - 0.1 * k, 1) for k in range(20)]
-    rows = rows.withColumn("e", F.explode(F.array(*[F.lit(p) for p in powers])))
-    rows = rows.withColumn("p", chi2_upper_1(F.pow(F.abs(F.col("count") - F.col("mean")), F.col("e")) / F.col("mean")))
-    per = rows.groupBy(*segs.columns, "seg", "e").agg(F.sum("p").alias("total"), F.max_by("state", F.struct("p", -F.col("state"))).alias("state"), F.max("p").alias("top"), F.sum(F.when(F.col("state") == F.round("expected"), F.col("p"))).alias("p_expected"))
-    best = per.filter("total > 0").groupBy(*segs.columns, "seg").agg(F.max_by(F.struct("state", "top", "total", "p_expected", "e"), "e").alias("b"))
-    tail = F.greatest(1 - F.col("b.top") / F.col("b.total"), F.lit(1e-300))
-    return best.select(
-        *segs.columns, F.col("b.state").alias("state"), (F.col("b.state") != F.round("expected")).alias("event"), (-F.log10(tail)).alias("score"), (F.col("b.p_expected") / F.col("b.total")).alias("p_expected"),
-        F.when(F.col("b.state") > F.round("expected"), "gain").when(F.col("b.state") < F.round("expected"), "loss").otherwise("norm").alias("call"),
+    names = list(segs.columns)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.concat([b[names], _states(b, n_states)], axis=1)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in segs.schema)
+    got = segs.mapInPandas(run, kinds + ", state int, score double, p_expected double, found boolean").filter("found").drop("found")
+    expected = F.round("expected")
+    return got.select(
+        *segs.columns, "state", (F.col("state") != expected).alias("event"), "score", "p_expected", F.when(F.col("state") > expected, "gain").when(F.col("state") < expected, "loss").otherwise("norm").alias("call"),
     )
 
 
+def _states(b: pd.DataFrame, n_states: int) -> pd.DataFrame:
+    """State, score and probability of the expected state of a batch of segments; all states and segments at once, one exponent after the other."""
+    n = len(b)
+    state = np.arange(n_states)
+    avg, n_bins, count = (b[c].to_numpy(float) for c in ("avg", "n_bins", "count"))
+    mean = n_bins[:, None] * np.where(state == 0, avg[:, None] / 10, state * avg[:, None] / 2)
+    best, top, total, at_expected = np.zeros(n, int), np.zeros(n), np.zeros(n), np.zeros(n)
+    expected = np.floor(b["expected"].to_numpy(float) + 0.5).astype(int)
+    todo = np.arange(n)
+    for k in range(20):
+        power = round(2.0 - 0.1 * k, 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            x = np.abs(count[todo, None] - mean[todo]) ** power / mean[todo]
+        p = chi2_tail_1(x)
+        found = p.sum(1) > 0
+        at = todo[found]
+        best[at], top[at], total[at] = p[found].argmax(1), p[found].max(1), p[found].sum(1)
+        known = (expected[at] >= 0) & (expected[at] < n_states)
+        at_expected[at] = np.where(known, p[found][np.arange(len(at)), np.where(known, expected[at], 0)], 0.0)
+        todo = todo[~found]
+        if not len(todo):
+            break
+    ok = total > 0
+    share = np.divide(top, total, out=np.zeros(n), where=ok)
+    return pd.DataFrame({"state": best.astype(np.int32), "score": -np.log10(np.maximum(1 - share, 1e-300)), "p_expected": np.divide(at_expected, total, out=np.zeros(n), where=ok), "found": ok}, index=b.index)
+
+
 def annotate_segments(called: DataFrame, genes: DataFrame) -> DataFrame:
     """Gene names over each segment (chr, start, stop), sorted."""
     hit = genes_in_intervals(called, genes)
@@ -255,28 +333,3 @@ def simulate_mixture(spark, n_bins: int, samples: int, share: float, event: tupl
     normal = F.sqrt(-2 * F.log(unit(1))) * F.cos(2 * math.pi * unit(2))
     m = copies * mean / 2
     return rows.withColumn("expected", m).withColumn("count", F.greatest(F.lit(0), F.round(m + F.sqrt(m) * normal)).cast("long"))
-
-
-def golden_minimum(f, low: float, high: float, tolerance: float = 1e-8) -> float:
-    """Golden-section search."""
-    g = (math.sqrt(5) - 1) / 2
-    a, b = low, high
-    c, d = b - g * (b - a), a + g * (b - a)
-    fc, fd = f(c), f(d)
-    while b - a > tolerance:
-        if fc < fd:
-            b, d, fd = d, c, fc
-            c = b - g * (b - a)
-            fc = f(c)
-        else:
-            a, c, fc = c, d, fd
-            d = a + g * (b - a)
-            fd = f(d)
-    return (a + b) / 2
-
-
-def beta_moments(values: pd.Series) -> tuple[float, float]:
-    """Parameters of a beta distribution by its mean and variance."""
-    m, v = float(np.mean(values)), float(np.var(values))
-    k = m * (1 - m) / v - 1
-    return m * k, (1 - m) * k
