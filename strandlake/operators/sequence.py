@@ -62,6 +62,19 @@ def match_barcodes(reads: DataFrame, barcodes: DataFrame, most: int, column: str
     return reads.join(named, F.col(column) == F.col("seen"), "left").drop("seen")
 
 
+def placed_kmers(df: DataFrame, name: str, k: int, chunk: int = 256) -> DataFrame:
+    """(name, at, kmer) of every substring of length k of ``seq``.
+
+    A sequence is cut into overlapping chunks first: a substring of a long text
+    costs its distance from the start, so that all k-mers of a whole text would
+    cost its length squared.
+    """
+    n = F.length("seq")
+    cut = df.filter(n >= k).select(name, F.explode(F.sequence(F.lit(0), n - k, F.lit(chunk))).alias("begin"), "seq")
+    cut = cut.select(name, "begin", F.explode(F.array(F.substring("seq", F.col("begin") + 1, F.lit(chunk + k - 1)))).alias("piece"))
+    return cut.select(name, "begin", F.posexplode(kmers(F.col("piece"), k)).alias("i", "kmer")).select(name, (F.col("begin") + F.col("i")).alias("at"), "kmer")
+
+
 def maximal_matches(queries: DataFrame, reference: DataFrame, least: int) -> DataFrame:
     """All maximal exact matches of at least ``least`` characters: (query, ref, q_start, r_start, len).
 
@@ -69,8 +82,7 @@ def maximal_matches(queries: DataFrame, reference: DataFrame, least: int) -> Dat
     of the k-mers; consecutive seeds on one diagonal are one match, which is
     maximal by construction.
     """
-    q = queries.select("query", F.posexplode(kmers(F.col("seq"), least)).alias("q_pos", "kmer"))
-    r = reference.select("ref", F.posexplode(kmers(F.col("seq"), least)).alias("r_pos", "kmer"))
+    q, r = placed_kmers(queries, "query", least).withColumnRenamed("at", "q_pos"), placed_kmers(reference, "ref", least).withColumnRenamed("at", "r_pos")
     hits = q.join(r, "kmer").select("query", "ref", (F.col("r_pos") - F.col("q_pos")).alias("diagonal"), "q_pos")
     w = Window.partitionBy("query", "ref", "diagonal").orderBy("q_pos")
     island = F.col("q_pos") - F.row_number().over(w)
@@ -199,26 +211,29 @@ def repeated_substrings(df: DataFrame, seq: str, length: int) -> DataFrame:
 def parse_read(seq: Column, fixed: list[tuple[str, int]], pattern: str, least: int = 4) -> Column:
     """Pieces of a read: fixed-size parts first, then the key up to the start of a pattern's longest prefix.
 
-    Returns a struct with the fixed parts, ``key`` (what lies before the pattern)
-    and ``matched`` (pattern characters found, one mismatch allowed); key is null
-    if no more than ``least`` characters match.
+    Returns a struct with the fixed parts and ``rest``: ``key`` (what lies before
+    the pattern) and ``matched`` (pattern characters found, one mismatch allowed);
+    key is null if no more than ``least`` characters match.
     """
     parts, at = [], 1
     for name, size in fixed:
         parts.append(F.substring(seq, at, size).alias(name))
         at += size
-    rest = F.substring(seq, F.lit(at), F.greatest(F.length(seq) - (at - 1), F.lit(0)))
-
-    def prefix(i: Column) -> Column:
-        """Characters of the pattern that match from position i on, up to the second mismatch."""
-        n = F.least(F.length(rest) - i, F.lit(len(pattern)))
-        cells = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: (F.substring(rest, (i + k).cast("int"), F.lit(1)) != F.substring(F.lit(pattern), k, F.lit(1))).cast("int"))
-        folded = F.aggregate(cells, F.struct(F.lit(0).alias("bad"), F.lit(0).alias("n")), lambda a, c: F.struct((a["bad"] + c).alias("bad"), F.when(a["bad"] + c <= 1, a["n"] + 1).otherwise(a["n"]).alias("n")))
-        return F.when(n > 0, folded["n"]).otherwise(0)
-
-    starts = F.transform(F.sequence(F.lit(0), F.greatest(F.length(rest) - 1, F.lit(0))), lambda i: F.struct(prefix(i).alias("n"), (-i).alias("back")))
-    best = F.array_max(starts)
-    return F.struct(*parts, F.when(best["n"] > least, F.substring(rest, F.lit(1), -best["back"])).alias("key"), best["n"].alias("matched"))
+    def found(rest: Column) -> Column:
+        """(key, matched) from the letters of the read's rest, as an array."""
+
+        def prefix(i: Column) -> Column:
+            """Characters of the pattern that match from position i on, up to the second mismatch."""
+            cells = F.transform(F.array(*[F.lit(c) for c in pattern]), lambda c, k: F.coalesce((F.get(rest, i + k) != c).cast("int"), F.lit(2)))
+            return F.aggregate(cells, F.struct(F.lit(0).alias("bad"), F.lit(0).alias("n")), lambda a, c: F.struct((a["bad"] + c).alias("bad"), F.when(a["bad"] + c <= 1, a["n"] + 1).otherwise(a["n"]).alias("n")), lambda a: a["n"])
+
+        best = F.array_max(F.transform(rest, lambda _, i: F.struct(prefix(i).alias("n"), (-i).alias("back"))))
+        return F.get(F.transform(F.array(best), lambda x: F.struct(F.when(x["n"] > least, F.array_join(F.slice(rest, F.lit(1), -x["back"]), "")).alias("key"), F.coalesce(x["n"], F.lit(0)).alias("matched"))), 0)
+
+    # the letters are bound once: inside a function they would be split again for every place
+    letters = bases(F.substring(seq, F.lit(at), F.greatest(F.length(seq) - (at - 1), F.lit(0))))
+    hit = F.get(F.transform(F.array(letters), found), 0)
+    return F.struct(*parts, hit.alias("rest"))
 
 
 def pileup(reads: DataFrame) -> DataFrame:

@@ -168,3 +168,87 @@ def bridges(store: DataFrame, *columns: str, least: int = MIN_SUPPORT, exclude_s
     if exclude_snps:
         out = out.filter((F.col("chr1") != F.col("chr2")) | (invariant(F.col("high1"), F.col("pos1"), F.col("high2"), F.col("pos2"), F.col("offset")) != 0))
     return out
+
+
+def build(reads: DataFrame, matches: DataFrame) -> DataFrame:
+    """The store of sequenced pairs: matches by place, read lengths, and the bases that no match covers.
+
+    ``reads``: pair_id, read_2, bases, bad. ``matches``: pair_id, read_2, off,
+    len, chr, pos, flipped. Result: pair_id, len1, len2, bad1, bad2, matches and
+    ``extra``: the uncovered bases of read 1, then of read 2, in read order.
+    Reads without matches are kept whole in ``extra``.
+    """
+    at = F.struct("read_2", "off", "len", "chr", "pos", "flipped")
+    m = matches.groupBy("pair_id").agg(F.sort_array(F.collect_list(at)).alias("found"))
+    r = reads.groupBy("pair_id").agg(F.collect_list(F.struct("read_2", "bases", "bad")).alias("reads"))
+    rows = r.join(m, "pair_id", "left").withColumn("found", F.coalesce("found", F.array().cast(m.schema["found"].dataType)))
+    read = lambda two: F.get(F.filter("reads", lambda x: x["read_2"] == two), F.lit(0))
+    rows = once(rows, "r1", F.coalesce(read(F.lit(False))["bases"], F.lit("")))
+    rows = once(rows, "r2", F.coalesce(read(F.lit(True))["bases"], F.lit("")))
+    bad = lambda two: F.coalesce(read(F.lit(two))["bad"], F.lit(False)).alias(f"bad{two + 1}")
+
+    def left_over(two: bool) -> Column:
+        seq, own = F.col(f"r{two + 1}"), F.filter("found", lambda x: x["read_2"] == F.lit(two))
+
+        def step(acc: Column, x: Column) -> Column:
+            gap = F.substring(seq, acc["at"] + 1, F.greatest(x["off"] - acc["at"], F.lit(0)))
+            return F.struct(F.greatest(acc["at"], x["off"] + x["len"]).cast("int").alias("at"), F.concat(acc["extra"], gap).alias("extra"))
+
+        return F.aggregate(own, F.struct(F.lit(0).alias("at"), F.lit("").alias("extra")), step, lambda acc: F.concat(acc["extra"], F.substring(seq, acc["at"] + 1, F.length(seq))))
+
+    def place(x: Column, i: Column) -> Column:
+        last = ~F.exists(F.slice("found", i + 2, F.size("found")), lambda y: y["read_2"] == x["read_2"])
+        length = F.when(x["read_2"], F.length("r2")).otherwise(F.length("r1")).cast("int")
+        return F.struct(i.cast("int").alias("ord"), *[x[c].alias(c) for c in ("chr", "pos", "len", "flipped", "read_2", "off")], length.alias("read_len"), last.alias("last_hit"), (x["off"] + x["len"] == length).alias("touches_end"))
+
+    return rows.select(
+        "pair_id", F.length("r1").cast("int").alias("len1"), F.length("r2").cast("int").alias("len2"), bad(False), bad(True), F.transform("found", place).alias("matches"), F.concat(left_over(False), left_over(True)).alias("extra")
+    )
+
+
+def merge(parts: list[DataFrame], keys: tuple[str, ...] = ()) -> DataFrame:
+    """One store of several with distinct pair ids, with duplicates marked over all of them."""
+    from functools import reduce
+
+    return mark_duplicates(reduce(DataFrame.unionByName, parts), keys)
+
+
+def index(store: DataFrame) -> DataFrame:
+    """The matches in genome order: chr, pos, pair_id, ord. Ranges are sorted apart, and spill."""
+    return flat(store).select("chr", "pos", "pair_id", "ord").repartitionByRange("chr", "pos", "pair_id", "ord").sortWithinPartitions("chr", "pos", "pair_id", "ord")
+
+
+def reconstruct(store: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
+    """(pair_id, seq1, seq2): the reads of a built store, from the reference under their matches and the bases beside them.
+
+    ``blocks``: the reference in blocks of ``size`` bases (chr, block, start,
+    seq). A match meets the blocks that it spans by an equi-join.
+    """
+    from ..functions.dna import reverse_complement
+
+    m = flat(store).select("pair_id", "ord", "chr", "pos", "len", "flipped")
+    m = m.withColumn("block", F.explode(F.sequence(F.floor(F.col("pos") / size), F.floor((F.col("pos") + F.col("len") - 1) / size))))
+    b = blocks.select("chr", F.col("block").cast("long").alias("block"), "start", "seq")
+    begin, end = F.greatest(F.col("pos"), F.col("start")), F.least(F.col("pos") + F.col("len"), F.col("start") + size)
+    met = m.join(b, ["chr", "block"]).select("pair_id", "ord", "flipped", "block", F.substring("seq", (begin - F.col("start") + 1).cast("int"), (end - begin).cast("int")).alias("piece"))
+    whole = met.groupBy("pair_id", "ord", "flipped").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "piece"))), lambda x: x["piece"]), "").alias("bases"))
+    turned = F.when(F.col("flipped"), reverse_complement(F.col("bases"))).otherwise(F.col("bases"))
+    found = whole.groupBy("pair_id").agg(F.map_from_entries(F.collect_list(F.struct("ord", turned))).alias("bases"))
+    rows = store.join(found, "pair_id", "left").withColumn("bases", F.coalesce("bases", F.create_map().cast("map<int,string>")))
+
+    def read(two: bool, used: Column) -> Column:
+        length = F.col("len2" if two else "len1")
+
+        def step(acc: Column, x: Column) -> Column:
+            gap = F.greatest(x["off"] - acc["at"], F.lit(0))
+            # what an earlier match has already given is not given again
+            own = F.substring(F.element_at("bases", x["ord"]), F.greatest(acc["at"] - x["off"], F.lit(0)) + 1, x["len"])
+            return F.struct(F.greatest(acc["at"], x["off"] + x["len"]).cast("int").alias("at"), (acc["used"] + gap).cast("int").alias("used"), F.concat(acc["seq"], F.substring(F.col("extra"), acc["used"] + 1, gap), own).alias("seq"))
+
+        start = F.struct(F.lit(0).alias("at"), used.cast("int").alias("used"), F.lit("").alias("seq"))
+        tail = lambda acc: length - acc["at"]
+        return F.aggregate(F.filter("matches", lambda x: x["read_2"] == F.lit(two)), start, step, lambda acc: F.struct(F.concat(acc["seq"], F.substring(F.col("extra"), acc["used"] + 1, tail(acc))).alias("seq"), (acc["used"] + tail(acc)).alias("used")))
+
+    rows = once(rows, "one", read(False, F.lit(0)))
+    rows = once(rows, "two", read(True, F.col("one.used")))
+    return rows.select("pair_id", F.col("one.seq").alias("seq1"), F.col("two.seq").alias("seq2"))

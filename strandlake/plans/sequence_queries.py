@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..operators import sequence as sq
+from ..operators import store as st
+from ..sources import readers as rd
+from . import model as m
 from .registry import query
 
 _DNA = "regexp_replace(upper({}), '[^ACGT]', '', 'g')"
@@ -118,11 +121,14 @@ def _(t):
     return sq.tandem_repeats(t.documents.select(F.col("doc_id").alias("ref"), as_dna("text").alias("seq")))
 
 
-@query("parsed_reads", f"WITH d AS (SELECT doc_id, {_DNA.format('text')} AS s FROM documents) SELECT doc_id, substr(s, 1, 4) AS umi, substr(s, 5, 6) AS code FROM d")
+@query("parsed_reads", f"""WITH d AS (SELECT doc_id, {_DNA.format('text')} AS s FROM documents), r AS (SELECT doc_id, substr(s, 1, 4) AS umi, substr(s, 5, 6) AS code, substr(s, 11) AS rest FROM d),
+p AS (SELECT doc_id, rest, unnest(range(length(rest))) AS i FROM r WHERE rest <> ''), c AS (SELECT doc_id, i, [CASE WHEN i + k > length(rest) THEN 2 WHEN substr(rest, CAST(i + k AS BIGINT), 1) <> substr('GATTACA', CAST(k AS BIGINT), 1) THEN 1 ELSE 0 END for k in range(1, 8)] AS bad FROM p),
+n AS (SELECT doc_id, i, len(list_filter(range(1, 8), lambda k: list_sum(bad[1:k]) <= 1)) AS n FROM c), b AS (SELECT doc_id, max(n) AS n, arg_max(i, n * 1000000000 - i) AS i FROM n GROUP BY 1)
+SELECT doc_id, umi, code, CASE WHEN n > 4 THEN substr(rest, 1, CAST(i AS BIGINT)) END AS key, CAST(coalesce(n, 0) AS INTEGER) AS matched FROM r LEFT JOIN b USING (doc_id)""")
 def _(t):
-    """Fixed parts of a read."""
-    s = as_dna("text")
-    return t.documents.select("doc_id", F.substring(s, 1, 4).alias("umi"), F.substring(s, 5, 6).alias("code"))
+    """Fixed parts of a read, and the key before a pattern."""
+    rows = t.documents.select("doc_id", F.explode(F.array(as_dna("text"))).alias("s"))
+    return rows.select("doc_id", sq.parse_read(F.col("s"), [("umi", 4), ("code", 6)], "GATTACA").alias("r")).select("doc_id", "r.umi", "r.code", "r.rest.key", "r.rest.matched")
 
 
 @query("pileup_genotypes", f"""WITH r AS (SELECT doc_id AS pair_id, doc_id % 5 AS chr, doc_id % 7 AS p, {_DNA.format('text')} AS s FROM documents), c AS (SELECT pair_id, chr, p + i AS pos, substr(s, CAST(i AS BIGINT) + 1, 1) AS base FROM (SELECT *, unnest(range(length(s))) AS i FROM r)),
@@ -131,3 +137,49 @@ def _(t):
     """Bases over positions and calls."""
     r = t.documents.select(F.col("doc_id").alias("pair_id"), (F.col("doc_id") % 5).alias("chr"), (F.col("doc_id") % 7).alias("pos"), as_dna("text").alias("seq"))
     return sq.genotype(sq.pileup(r), 2, 0.3)
+
+
+_BUILT = f"""WITH r AS (SELECT doc_id, {_DNA.format('text')} AS seq FROM documents WHERE text IS NOT NULL), f AS (SELECT item_id, {_DNA.format('text')} AS seq FROM benchmark),
+qk AS (SELECT doc_id, i, substr(seq, CAST(i AS BIGINT) + 1, 20) AS k FROM (SELECT doc_id, seq, unnest(range(length(seq) - 19)) AS i FROM r WHERE length(seq) >= 20)),
+rk AS (SELECT item_id, i, substr(seq, CAST(i AS BIGINT) + 1, 20) AS k FROM (SELECT item_id, seq, unnest(range(length(seq) - 19)) AS i FROM f WHERE length(seq) >= 20)),
+h AS (SELECT doc_id, item_id, rk.i - qk.i AS diag, qk.i AS p FROM qk JOIN rk USING (k)), s AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, diag ORDER BY p) AS island FROM h),
+a AS (SELECT doc_id, item_id, diag, min(p) AS off, max(p) - min(p) + 20 AS len FROM s GROUP BY doc_id, item_id, diag, island),
+m AS (SELECT * FROM a x WHERE NOT EXISTS (SELECT 1 FROM a y WHERE y.doc_id = x.doc_id AND (y.item_id <> x.item_id OR y.diag <> x.diag) AND y.off <= x.off AND y.off + y.len >= x.off + x.len)),
+c AS (SELECT doc_id, seq, unnest(range(length(seq))) AS i FROM r), u AS (SELECT c.doc_id, i, substr(seq, CAST(i AS BIGINT) + 1, 1) AS b FROM c WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = c.doc_id AND m.off <= i AND i < m.off + m.len))"""
+
+
+def built_store(t):
+    """The texts' letters as the reads of pairs, with their unique matches in the benchmark's."""
+    reads = t.documents.filter("text IS NOT NULL").select(F.col("doc_id").alias("query"), as_dna("text").alias("seq"))
+    found = sq.unique_matches(reads, t.benchmark.select(F.col("item_id").alias("ref"), as_dna("text").alias("seq")), 20)
+    two, pair = F.col("query") % 2 == 1, F.floor(F.col("query") / 2)
+    m = found.select(pair.alias("pair_id"), two.alias("read_2"), F.col("q_start").cast("int").alias("off"), F.col("len").cast("int").alias("len"), F.col("ref").cast("int").alias("chr"), F.col("r_start").cast("long").alias("pos"), F.lit(False).alias("flipped"))
+    return st.build(reads.select(pair.alias("pair_id"), two.alias("read_2"), F.col("seq").alias("bases"), (F.length("seq") < 5).alias("bad")), m)
+
+
+@query("store_build", _BUILT + """, e AS (SELECT doc_id // 2 AS pair_id, string_agg(b, '' ORDER BY doc_id, i) AS extra FROM u GROUP BY 1), n AS (SELECT doc_id // 2 AS pair_id, count(*) AS n FROM m GROUP BY 1)
+SELECT doc_id // 2 AS pair_id, CAST(coalesce(sum(length(seq)) FILTER (doc_id % 2 = 0), 0) AS INTEGER) AS len1, CAST(coalesce(sum(length(seq)) FILTER (doc_id % 2 = 1), 0) AS INTEGER) AS len2, CAST(coalesce(any_value(n), 0) AS INTEGER) AS n_matches, coalesce(any_value(extra), '') AS extra
+FROM r LEFT JOIN e ON e.pair_id = doc_id // 2 LEFT JOIN n ON n.pair_id = doc_id // 2 GROUP BY 1""")
+def _(t):
+    """D3: pairs, their matches and the bases beside them, from reads and matches."""
+    return built_store(t).select("pair_id", "len1", "len2", F.size("matches").alias("n_matches"), "extra")
+
+
+@query("store_reconstruct", f"SELECT doc_id // 2 AS pair_id, coalesce(max({_DNA.format('text')}) FILTER (doc_id % 2 = 0), '') AS seq1, coalesce(max({_DNA.format('text')}) FILTER (doc_id % 2 = 1), '') AS seq2 FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def _(t):
+    """Reads rebuilt from the reference and the bases beside their matches."""
+    ref = rd.reference_blocks(t.benchmark.select(F.col("item_id").alias("name"), as_dna("text").alias("seq")), 64)
+    return st.reconstruct(built_store(t), ref.select(F.col("name").cast("int").alias("chr"), "block", "start", "seq"), 64)
+
+
+@query("store_merge", f"WITH {m.DUPES} SELECT pair_id, sample, dupe FROM marked")
+def _(t):
+    """Stores of two parts as one, with duplicates across the parts."""
+    s = t.store
+    return st.merge([s.filter("pair_id % 2 = 0"), s.filter("pair_id % 2 <> 0")], ("sample",)).select("pair_id", "sample", "dupe")
+
+
+@query("store_index", f"WITH {m.MUMS} SELECT chr, pos, pair_id, ord FROM mums")
+def _(t):
+    """Matches in genome order."""
+    return st.index(t.store)
