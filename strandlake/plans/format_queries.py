@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import folder
 from ..sources import readers as rd
 from ..sources import writers as wr
 from . import model as m
@@ -16,12 +14,8 @@ from .sequence_queries import _DNA, as_dna
 
 
 def scratch(t, name: str) -> str:
-    """A new folder below the cluster's shared folder (a temporary one where it is unset)."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="strandlake-")
-        t.spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/strandlake/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder below the cluster's shared folder."""
+    return folder(t.spark, name)
 
 
 def text_file(t, df: DataFrame, name: str) -> str:

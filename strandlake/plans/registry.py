@@ -37,4 +37,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import bridge_queries, cn_queries, format_queries, interval_queries, sequence_queries, table_queries  # noqa: E402, F401
+from . import bridge_queries, cn_queries, format_queries, interval_queries, sequence_queries, source_queries, table_queries  # noqa: E402, F401

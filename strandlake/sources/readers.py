@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The eleven mandatory SAM fields and their types.
@@ -32,21 +32,26 @@ def reference_blocks(fasta: DataFrame, size: int = 1 << 16) -> DataFrame:
     return cut.select("name", "block", "start", F.substring(F.col("seq"), F.col("start") + 1, F.lit(size)).alias("seq"))
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(file, record, name, seq, qual) of four-line records.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): the lines of text files with their numbers from 0, in files of any size, compressed or not.
 
-    A file is one task, as line numbers need its beginning; FASTQ data comes as
-    many files.
+    Files are read in splits. The rows of a split are numbered in reading order;
+    what lies before a split is the prefix sum of the counts of a file's splits,
+    one small row each.
     """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"), "value")
+    splits = rows.groupBy("file", "split").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "split", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return rows.join(splits, ["file", "split"]).select("file", (F.col("id") - F.col("first") + F.col("before")).alias("line"), "value")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for p, data in zip(b["path"], b["content"], strict=True):
-                lines = data.decode("ascii", "replace").splitlines()
-                n = len(lines) // 4
-                yield pd.DataFrame({"file": p, "record": range(n), "name": [x[1:].split(" ")[0] for x in lines[0 : 4 * n : 4]], "seq": lines[1 : 4 * n : 4], "qual": lines[3 : 4 * n : 4]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, record long, name string, seq string, qual string")
+def read_fastq(spark: SparkSession, path: str) -> DataFrame:
+    """(file, record, name, seq, qual) of four-line records, in files of any size, plain or gzip; a cut-off last record is left out."""
+    lines = numbered_lines(spark, path).select("file", F.expr("line div 4").alias("record"), (F.col("line") % 4).alias("k"), F.rtrim("value").alias("value"))
+    at = lambda k: F.max(F.when(F.col("k") == k, F.col("value")))
+    rows = lines.groupBy("file", "record").agg(F.count("*").alias("n"), at(0).alias("head"), at(1).alias("seq"), at(3).alias("qual")).filter("n = 4")
+    return rows.select("file", "record", F.substring_index(F.substring("head", 2, 1 << 30), " ", 1).alias("name"), "seq", "qual")
 
 
 def fastq_pairs(one: DataFrame, two: DataFrame | None = None) -> DataFrame:
@@ -148,8 +153,6 @@ def read_families(spark: SparkSession, path: str) -> DataFrame:
 
     A family file is a cohort's list, so its line numbers come from one window.
     """
-    from pyspark.sql import Window
-
     lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("line", "text"))
     w = Window.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     blank = F.sum(F.when(F.trim("text") == "", 1).otherwise(0)).over(w)
@@ -230,19 +233,32 @@ def read_table(spark: SparkSession, path: str, delimiter: str = "auto", infer: s
     return rows.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in zip(rows.columns, types, strict=True)])
 
 
-def read_integers(spark: SparkSession, path: str, dtype: str = "<u4") -> DataFrame:
-    """(file, index, value) of raw integer dumps."""
+def read_integers(spark: SparkSession, path: str, dtype: str = "<u4", block: int = 1 << 20, pattern: str = "*") -> DataFrame:
+    """(file, index, value) of raw integer dumps; a file is read in blocks of ``block`` numbers, each a task's unit."""
     import numpy as np
 
+    width = np.dtype(dtype).itemsize
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", (F.col("length") / width).cast("long").alias("size"))
+    blocks = files.filter("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(block).cast("long"))).alias("at"))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
         for b in batches:
-            for p, data in zip(b["path"], b["content"], strict=True):
-                a = np.frombuffer(data, dtype)
-                for at in range(0, len(a), 1 << 20):
-                    part = a[at : at + (1 << 20)]
-                    yield pd.DataFrame({"file": p, "index": np.arange(at, at + len(part)), "value": part.astype(np.int64)})
+            for p, size, at in b.itertuples(index=False):
+                store, name = fs.FileSystem.from_uri(p) if "://" in p or p.startswith("file:") else (fs.LocalFileSystem(), p)
+                with store.open_input_file(name) as f:
+                    a = np.frombuffer(f.read_at(min(block, size - at) * width, at * width), dtype)
+                yield pd.DataFrame({"file": p, "index": np.arange(at, at + len(a)), "value": a.astype(np.int64)})
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.repartition(n, "path", "at").mapInPandas(run, "file string, index long, value long")
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, index long, value long")
+def read_finebins(spark: SparkSession, path: str, block: int = 1 << 20) -> DataFrame:
+    """(chr, pos, count) of dense counts per base, one file ``<chr>.bin`` per chromosome; bases without counts are left out."""
+    rows = read_integers(spark, path, "<u4", block, "*.bin").filter("value > 0")
+    return rows.select(F.regexp_extract("file", r"([^/]+)\.bin$", 1).cast("int").alias("chr"), F.col("index").alias("pos"), F.col("value").alias("count"))
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, partition: str | None = None, bounds: tuple[int, int] | None = None, n: int = 16) -> DataFrame:

@@ -104,10 +104,51 @@ def write_by_column(df: DataFrame, column: str, path: str) -> None:
     df.repartition(column).write.partitionBy(column).option("header", True).csv(path)
 
 
-def write_columns(df: DataFrame, path: str) -> None:
-    """One folder per column."""
-    for c in df.columns:
-        df.select(c).write.option("header", True).csv(f"{path}/{c}")
+def write_finebins(counts: DataFrame, lengths: DataFrame, path: str) -> None:
+    """Dense counts per base, one file of unsigned integers per chromosome; ``lengths``: chr, len.
+
+    A chromosome's counts are sorted apart and written as a stream, in pieces of
+    bounded size. Each file is written under another name and then moved.
+    """
+    rows = counts.select("chr", "pos", "count").join(lengths.select("chr", "len"), "chr").unionByName(lengths.select("chr", (F.col("len") - 1).cast("long").alias("pos"), F.lit(0).cast("long").alias("count"), "len"))
+    rows = rows.groupBy("chr", "pos", "len").agg(F.sum("count").alias("count")).filter("pos >= 0 AND pos < len").repartition("chr").sortWithinPartitions("chr", "pos")
+
+    def run(batches):
+        import uuid
+
+        import numpy as np
+        import pandas as pd
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        store.create_dir(root, recursive=True)
+        chromosome, sink, at, mark = None, None, 0, uuid.uuid4().hex
+        done = []
+
+        def close():
+            if sink is not None:
+                sink.close()
+                store.move(f"{root}/_{mark}.{chromosome}", f"{root}/{chromosome}.bin")
+                done.append(chromosome)
+
+        for b in batches:
+            for c, part in b.groupby("chr", sort=False):
+                if c != chromosome:
+                    close()
+                    chromosome, at = c, 0
+                    sink = store.open_output_stream(f"{root}/_{mark}.{c}")
+                pos, n = part["pos"].to_numpy(), part["count"].to_numpy()
+                while len(pos):  # the bases up to the next counts, a piece at a time
+                    end = min(int(pos[-1]) + 1, at + (1 << 20))
+                    k = int(np.searchsorted(pos, end))
+                    piece = np.zeros(end - at, "<u4")
+                    piece[pos[:k] - at] = n[:k]
+                    sink.write(piece.tobytes())
+                    pos, n, at = pos[k:], n[k:], end
+        close()
+        yield pd.DataFrame({"chr": pd.array(done, "Int32")})
+
+    rows.mapInPandas(run, "chr int").write.format("noop").mode("overwrite").save()
 
 
 def junction_bed(junctions: DataFrame, window: int = 5) -> DataFrame:
