@@ -5,11 +5,11 @@ word-beginning patterns mined from labelled rows (tokens far more frequent in
 rows marked toxic, by a log-likelihood ratio). A voter fires or abstains.
 
 *Label model.* A generative model with a latent class per row: every voter fires
-with a class-conditional rate, the given label is one more voter with an unknown
-accuracy, and all rates are estimated by expectation maximisation. Correlated
-voters (a word and its own beginning) would count twice: the within-class
-correlation of every pair is estimated, and a voter's evidence is divided by the
-number of voters it effectively repeats.
+with a rate that depends on the class, the given label is one more voter with an
+unknown accuracy, and all rates are estimated by expectation maximisation.
+Correlated voters (a word and its own beginning) would count twice: so a voter's
+rate also depends on its parent in a tree of the strongest correlations within
+the classes, which is estimated anew in every round.
 
 *Classifier.* A linear (logistic) classifier over words, word beginnings and
 voters is trained on the model's posterior labels and scores every whole text.
@@ -42,6 +42,8 @@ PREFIXES = (4, 5, 6, 7)
 FIT_ROWS = 10_000
 MAX_VOTERS, MAX_FEATURES = 256, 4096
 MIN_ROWS, MIN_G2 = 3, 10.0
+#: Rounds of the label model before it looks for correlations below REPEAT.
+ALONE, REPEAT = 10, 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 _SHOUT = re.compile(r"\b[A-Z]{4,}\b")
 _BANG = re.compile(r"[!?]{2,}")
@@ -73,37 +75,78 @@ def token_keys(text: str | None) -> np.ndarray:
 
 
 class LabelModel:
-    """Class-conditional firing rates of voters, their correlations, and posterior labels."""
+    """A generative model of votes: a latent class, and a tree of voters per class.
+
+    Every voter fires with a rate that depends on the class and on whether its
+    parent in the tree fired, so correlations are factors of the model and not a
+    correction: a voter that only repeats its parent adds no evidence. The tree
+    is the maximum spanning tree by mutual information within the classes
+    (Chow and Liu), of the edges that pay for their parameters. The given label
+    is one more voter of unknown accuracy. Everything is estimated anew in every
+    round of expectation maximisation; the tree holds near repeats only up to
+    round ``ALONE``.
+    """
 
     def __init__(self, fires: np.ndarray, given: np.ndarray, rounds: int = 25):
         n, m = fires.shape
         self.prior, self.rates = 0.0, np.zeros((2, m))
         self.given = np.array([0.02, 0.95])  # P(label says toxic | class)
+        self.parent, self.correlation = np.full(m, -1), np.zeros((m, m))
+        self.after = np.zeros((2, 2, m))  # P(fires | class, whether the parent fired)
+        fires = fires.astype(np.float32)
         q = np.where(given == 1, 0.95, 0.02)
-        self.repeats = np.ones(m)
         for r in range(rounds):
             mass = np.array([(1 - q).sum(), q.sum()])
-            self.prior = mass[1] / n
+            self.prior = float(np.clip(mass[1] / n, 1e-6, 1 - 1e-6))
+            both = np.zeros((2, m, m))
             for c, weight in enumerate((1 - q, q)):
+                both[c] = (fires * weight[:, None].astype(np.float32)).T @ fires
                 self.rates[c] = (weight @ fires + 0.05) / (mass[c] + 1.0)
                 self.given[c] = np.clip((weight @ given + (0.1, 1.9)[c]) / (mass[c] + 2), 1e-3, 1 - 1e-3)
-            if r == 1:
-                self.repeats = self._repeats(fires, q)
+            # the first classes are but the given labels, within which voters of one class look correlated: a tree then would explain the class away
+            self._grow(both, mass, n, r >= ALONE)
             q = self.posterior(fires, given)
 
-    def _repeats(self, fires: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """1 + the summed within-class correlations of each voter with the others."""
-        rest = fires - ((1 - q)[:, None] * self.rates[0] + q[:, None] * self.rates[1])
-        cov = rest.T @ rest
-        scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        self.correlation = cov / scale[:, None] / scale
-        strong = np.where(self.correlation > 0.2, self.correlation, 0.0)
-        return np.maximum(1.0, strong.sum(1))
+    def _grow(self, both: np.ndarray, mass: np.ndarray, n: int, tree: bool) -> None:
+        """The tree and its rates from the weighted numbers of rows in which two voters fire."""
+        m = both.shape[1]
+        gain, cov, var = np.zeros((m, m)), np.zeros((m, m)), np.zeros(m)
+        for c in (0, 1):
+            one, size = np.diag(both[c]), mass[c] + 1e-9
+            cells = (both[c], one[:, None] - both[c], one[None] - both[c], size - one[:, None] - one[None] + both[c])
+            p = one / size
+            expected = (p[:, None] * p, p[:, None] * (1 - p), (1 - p)[:, None] * p, (1 - p)[:, None] * (1 - p))
+            for seen, e in zip(cells, expected, strict=True):
+                x = np.maximum(seen, 0) / size
+                gain += size * np.where(x > 1e-12, x * np.log(np.maximum(x, 1e-12) / np.maximum(e, 1e-12)), 0.0)
+            cov += both[c] - size * p[:, None] * p
+            var += size * p * (1 - p)
+        self.correlation = cov / np.sqrt(np.maximum(np.outer(var, var), 1e-12))
+        # Prim's algorithm; an edge has two parameters per class at the price of log(n) / 2 each, less the two that it replaces
+        parent, best, open_ = np.full(m, -1), np.full(m, np.log(max(n, 2))), np.ones(m, bool)
+        gain = gain if tree else np.where(self.correlation > REPEAT, gain, 0.0)
+        at = 0
+        for _ in range(m):
+            open_[at] = False
+            better = open_ & (gain[at] > best)
+            best[better], parent[better] = gain[at][better], at
+            if not open_.any():
+                break
+            at = int(np.flatnonzero(open_)[np.argmax(best[open_])])
+        self.parent = parent
+        child = np.flatnonzero(parent >= 0)
+        self.after[:] = self.rates[:, None, :]
+        for c in (0, 1):
+            up, one = parent[child], np.diag(both[c])
+            joint, base = both[c][up, child], self.rates[c][child]
+            self.after[c, 1, child] = np.clip((joint + base) / (one[up] + 1), 1e-6, 1 - 1e-6)
+            self.after[c, 0, child] = np.clip((np.maximum(one[child] - joint, 0) + base) / (np.maximum(mass[c] - one[up], 0) + 1), 1e-6, 1 - 1e-6)
 
     def evidence(self, fires: np.ndarray) -> np.ndarray:
-        on = np.log(self.rates[1] / self.rates[0])
-        off = np.log((1 - self.rates[1]) / (1 - self.rates[0]))
-        return ((fires * on + (1 - fires) * off) / self.repeats).sum(1)
+        """Log-odds that each row's votes give."""
+        up = np.where(self.parent[None] >= 0, fires[:, np.maximum(self.parent, 0)], 0) > 0 if len(self.parent) else np.zeros(fires.shape, bool)
+        on, off = np.log(self.after[1] / self.after[0]), np.log((1 - self.after[1]) / (1 - self.after[0]))
+        return (np.where(fires > 0, np.where(up, on[1], on[0]), np.where(up, off[1], off[0]))).sum(1)
 
     def posterior(self, fires: np.ndarray, given: np.ndarray) -> np.ndarray:
         label = np.where(given == 1, np.log(self.given[1] / self.given[0]), np.log((1 - self.given[1]) / (1 - self.given[0])))
