@@ -64,24 +64,44 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page is captured in full at time 2 * page_id and asked for again a while later, with its entity tag: not modified."""
-    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("tag"))
-    name = lambda *kv: F.create_map(*[x if hasattr(x, "cast") else F.lit(x) for x in kv])
-    full = pages.select(
-        F.col("page_id").alias("record_id"), "url", (2 * F.col("page_id")).alias("ts"), F.lit(200).alias("status"),
-        name("etag", F.concat(F.lit('"'), "tag", F.lit('"')), "content-type", "text/html", "date", F.col("page_id").cast("string")).alias("headers"),
-    )
-    again = pages.select(
-        F.col("page_id").alias("record_id"), "url", (2 * F.col("page_id") + REVISIT_AFTER).alias("ts"), F.lit(304).alias("status"),
-        name("etag", F.concat(F.lit('W/"'), "tag", F.lit('"')), "content-length", "0", "date", F.concat(F.col("page_id").cast("string"), F.lit("+"))).alias("headers"),
+#: A page's first full capture is at SPACING * page_id; its second version and the revisits come so much later.
+SPACING, SECOND, AFTER_FIRST, AFTER_SECOND = 4, 6000, 2001, 8001
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """The crawl that the pages stand for: two versions of every page, and four revisits.
+
+    Revisits come after the first version with its entity tag (weak), after the
+    second one with its modification date only, after the second one with the
+    first one's tag, and before both without any validator.
+    """
+    p = pages.select("page_id", "url", F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("tag"))
+    k, text = F.col("page_id"), lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y.cast("string") for y in x])
+    at = SPACING * k
+
+    def row(number, ts, status, **headers):
+        cells = [x for name, v in headers.items() for x in (F.lit(name.replace("_", "-")), v)]
+        return F.struct(number.alias("record_id"), ts.alias("ts"), F.lit(status).alias("status"), F.create_map(*cells).alias("headers"))
+
+    html, first, second = F.lit("text/html"), text('"', F.col("tag"), '"'), text('"', F.col("tag"), '2"')
+    every = F.array(
+        row(2 * k, at, 200, etag=first, last_modified=text("one ", k), content_type=html, date=text(k)),
+        row(2 * k + 1, at + SECOND, 200, etag=second, last_modified=text("two ", k), content_type=html, date=text(k)),
+        row(4 * k, at + AFTER_FIRST, 304, etag=text("W/", first), content_length=F.lit("0"), date=text(k, "+")),
+        row(4 * k + 1, at + AFTER_SECOND, 304, last_modified=text("two ", k), date=text(k, "++")),
+        row(4 * k + 2, at + AFTER_SECOND, 304, etag=first, date=text(k, "++")),
+        row(4 * k + 3, at - 1, 304, date=text(k, "-")),
     )
-    found = warc.resolve(full.unionByName(again))
+    return p.select("url", F.inline(every))
+
+
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit of the crawl that the pages stand for, resolved to a version of its page."""
+    found = warc.resolve(captures(read_table(spark, sf_dir, "pages")))
     header = lambda k: F.try_element_at("merged_headers", F.lit(k))
-    return found.select(F.col("record_id").alias("page_id"), "canonical_url", "outcome", "source_record", "source_ts", header("date").alias("date"), header("content-type").alias("content_type"), header("content-length").alias("content_length"))
+    return found.select("record_id", "canonical_url", "outcome", "source_record", "source_ts", header("date").alias("date"), header("last-modified").alias("last_modified"), header("content-type").alias("content_type"), header("content-length").alias("content_length"))
 
 
-REVISIT_AFTER = 2001
 OP6_SQL = rf"""
 WITH p AS (
   SELECT page_id, md5(coalesce(html, '')) AS tag, regexp_replace(trim(url), '#.*$', '') AS bare FROM pages
@@ -90,13 +110,21 @@ WITH p AS (
          regexp_replace(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '/+$', '') AS path,
          list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^({warc.TRACKING})(=|$)'))) AS q FROM p
 ), u AS (SELECT page_id, tag, host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS curl FROM c),
-f AS (SELECT curl, 2 * page_id AS ts, max(page_id) AS rec, arg_max(tag, page_id) AS tag FROM u GROUP BY ALL),
-j AS (
-  SELECT v.page_id, v.curl, v.tag, f.ts, f.rec, f.tag AS s_tag FROM (SELECT *, 2 * page_id + {REVISIT_AFTER} - 1 AS before FROM u) v ASOF LEFT JOIN f ON v.curl = f.curl AND v.before >= f.ts
+f0 AS (
+  SELECT curl, {SPACING} * page_id AS ts, 2 * page_id AS rec, '"' || tag || '"' AS etag, 'one ' || page_id AS lm FROM u
+  UNION ALL SELECT curl, {SPACING} * page_id + {SECOND}, 2 * page_id + 1, '"' || tag || '2"', 'two ' || page_id FROM u
+), f AS (SELECT curl, ts, max(rec) AS s_rec, arg_max(etag, rec) AS s_etag, arg_max(lm, rec) AS s_lm FROM f0 GROUP BY ALL),
+v AS (
+  SELECT curl, 4 * page_id AS record_id, {SPACING} * page_id + {AFTER_FIRST} AS ts, '"' || tag || '"' AS etag, CAST(NULL AS VARCHAR) AS lm, page_id || '+' AS date FROM u
+  UNION ALL SELECT curl, 4 * page_id + 1, {SPACING} * page_id + {AFTER_SECOND}, NULL, 'two ' || page_id, page_id || '++' FROM u
+  UNION ALL SELECT curl, 4 * page_id + 2, {SPACING} * page_id + {AFTER_SECOND}, '"' || tag || '"', NULL, page_id || '++' FROM u
+  UNION ALL SELECT curl, 4 * page_id + 3, {SPACING} * page_id - 1, NULL, NULL, page_id || '-' FROM u
+), j AS (
+  SELECT w.*, f.ts AS s_ts, s_rec, s_lm, s_rec IS NOT NULL AND CASE WHEN w.etag IS NOT NULL THEN w.etag = s_etag WHEN w.lm IS NOT NULL THEN w.lm = s_lm ELSE true END AS ok
+  FROM (SELECT *, ts - 1 AS before FROM v) w ASOF LEFT JOIN f ON w.curl = f.curl AND w.before >= f.ts
 )
-SELECT page_id, curl AS canonical_url, CASE WHEN rec IS NULL THEN 'orphan' WHEN tag = s_tag THEN 'resolved' ELSE 'mismatch' END AS outcome,
-       CASE WHEN tag = s_tag THEN rec END AS source_record, CASE WHEN tag = s_tag THEN ts END AS source_ts,
-       CASE WHEN tag = s_tag THEN page_id || '+' END AS date, CASE WHEN tag = s_tag THEN 'text/html' END AS content_type, CAST(NULL AS VARCHAR) AS content_length
+SELECT record_id, curl AS canonical_url, CASE WHEN s_rec IS NULL THEN 'orphan' WHEN ok THEN 'resolved' ELSE 'mismatch' END AS outcome, CASE WHEN ok THEN s_rec END AS source_record, CASE WHEN ok THEN s_ts END AS source_ts,
+       CASE WHEN ok THEN date END AS date, CASE WHEN ok THEN s_lm END AS last_modified, CASE WHEN ok THEN 'text/html' END AS content_type, CAST(NULL AS VARCHAR) AS content_length
 FROM j
 """
 

@@ -19,12 +19,10 @@ empty table gives an empty result; extra columns do no harm.
 
 from __future__ import annotations
 
-import gzip
-import io
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +31,8 @@ from .common import only, written
 #: Header fields that a not-modified response may update (RFC 9110, 15.4.5), and query parameters that don't identify content.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 TRACKING = "utm_[^=&]*|ref|fbclid|gclid|sessionid|phpsessid"
-KEYS_PER_BUCKET, MAX_BUCKETS = 20_000, 128
+KEYS_PER_BUCKET, MAX_BUCKETS = 20_000, 1024
+SEPARATOR = "\r\n\r\nWARC/"
 CAPTURE = "record_id long, url string, ts long, status int, headers map<string,string>"
 
 
@@ -95,21 +94,15 @@ def resolve(captures: DataFrame) -> DataFrame:
     )
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(lower-case header fields, block) of each record of a WARC file, plain or gzip member by member."""
-    stream: io.BufferedIOBase = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    try:
-        while line := stream.readline():
-            if not line.strip().startswith(b"WARC/"):
-                continue
-            fields = {}
-            while (line := stream.readline().strip()):
-                name, _, value = line.decode("utf-8", "replace").partition(":")
-                fields[name.strip().lower()] = value.strip()
-            size = fields.get("content-length", "0")
-            yield fields, stream.read(int(size) if size.isdigit() else 0)
-    except (EOFError, gzip.BadGzipFile, zlib.error):  # a cut-off file: the whole records before stay
-        return
+def record(piece: bytes) -> tuple[dict[str, str], bytes]:
+    """(lower-case header fields, block) of one record without its version mark; the block is as long as the record says."""
+    head, _, rest = piece.partition(b"\r\n\r\n")
+    fields = {}
+    for line in head.split(b"\r\n")[1:]:
+        name, _, value = line.decode("utf-8", "replace").partition(":")
+        fields[name.strip().lower()] = value.strip()
+    size = fields.get("content-length", "0")
+    return fields, rest[: int(size) if size.isdigit() else 0]
 
 
 def http_message(block: bytes) -> tuple[int | None, dict[str, str], bytes]:
@@ -122,18 +115,28 @@ def http_message(block: bytes) -> tuple[int | None, dict[str, str], bytes]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Captures of all WARC files under ``path`` (a WARC file is about a gigabyte by custom): the columns of CAPTURE and body."""
+    """Captures of all WARC files under ``path``: the columns of CAPTURE and body.
+
+    A record ends with an empty line and the next one starts with its version
+    mark, so Spark's line reader, told of that separator, hands out records:
+    plain files of any size are read in splits, gzip files as streams, and a task
+    holds a record at a time. Of a file that is cut off, what can't be read any
+    more is left out. Records are numbered by a hash of file and record.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for name, data in zip(b["path"], b["content"], strict=True):
-                base = zlib.crc32(name.encode()) << 30
-                for n, (fields, block) in enumerate(records(data)):
-                    if fields.get("warc-type") not in ("response", "revisit"):
-                        continue
-                    status, headers, body = http_message(block)
-                    ts = int(pd.Timestamp(fields["warc-date"]).timestamp()) if fields.get("warc-date") else None
-                    row = {"record_id": base + n, "url": fields.get("warc-target-uri"), "ts": ts, "status": 304 if fields["warc-type"] == "revisit" else status, "headers": headers, "body": body}
-                    yield pd.DataFrame([row]).astype({"ts": "Int64", "status": "Int64"})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, CAPTURE + ", body binary")
+            rows = []
+            for name, piece in zip(b["file"], b["piece"], strict=True):
+                fields, block = record(piece)
+                if fields.get("warc-type") not in ("response", "revisit"):
+                    continue
+                status, headers, body = http_message(block)
+                ts = int(pd.Timestamp(fields["warc-date"]).timestamp()) if fields.get("warc-date") else None
+                key = xxhash.xxh64_intdigest(name.encode() + (fields.get("warc-record-id") or "").encode() + (b"" if fields.get("warc-record-id") else piece)) >> 1
+                rows.append({"record_id": key, "url": fields.get("warc-target-uri"), "ts": ts, "status": 304 if fields["warc-type"] == "revisit" else status, "headers": headers, "body": body})
+            if rows:
+                yield pd.DataFrame(rows).astype({"ts": "Int64", "status": "Int64"})
+
+    pieces = spark.read.option("lineSep", SEPARATOR).option("ignoreCorruptFiles", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece"))
+    return pieces.mapInPandas(run, CAPTURE + ", body binary")
