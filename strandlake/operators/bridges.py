@@ -14,6 +14,10 @@ one row per pair. What is asked of single matches in a flat table is a window ov
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -218,17 +222,29 @@ def pseudogene_bridges(bridges: DataFrame, junctions: DataFrame, slop: int = 20)
 
 
 def unequal_bridges(bridges: DataFrame, pairs_per_sample: DataFrame, least: int = 5, p_value: float = 0.001) -> DataFrame:
-    """Bridges whose counts differ between samples more than their numbers of pairs explain (Poisson)."""
-    from ..functions.distributions import poisson_lower
-
-    n = F.broadcast(pairs_per_sample)  # one row per sample
-    totals = bridges.groupBy(*SIGNATURE).agg(F.sum("bridge_count").alias("total"), F.collect_list(F.struct("sample", "bridge_count")).alias("seen")).filter(F.col("total") >= least)
-    every = totals.crossJoin(n).withColumn("own", F.coalesce(F.get(F.filter("seen", lambda s: s["sample"] == F.col("sample")), F.lit(0))["bridge_count"], F.lit(0)))  # signatures by samples
-    sized = every.withColumn("mean", F.col("total") * F.col("n_pairs") / F.sum("n_pairs").over(Window.partitionBy(*SIGNATURE)))
-    tails = sized.withColumn("lower", poisson_lower("own", "mean")).withColumn("below", poisson_lower(F.col("own") - 1, "mean"))
-    p = F.least(F.lit(1.0), 2 * F.least("lower", 1 - F.col("below")))
-    scored = tails.groupBy(*SIGNATURE, "total").agg(F.min("own").alias("least"), F.max("own").alias("most"), F.exp(F.sum(F.log(F.greatest(p, F.lit(1e-300))))).alias("p"))
-    return scored.filter((10 * F.col("least") <= F.col("most")) & (F.col("p") < p_value))
+    """Bridges whose counts differ between samples more than their numbers of pairs explain (Poisson).
+
+    A signature meets the cohort's samples as one array in its own row; all tails
+    of a batch of signatures are computed at once.
+    """
+    from ..functions.distributions import poisson_cdf
+
+    cohort = pairs_per_sample.agg(F.sort_array(F.collect_list(F.struct("sample", "n_pairs"))).alias("cohort"), F.sum("n_pairs").alias("pairs"))
+    totals = bridges.groupBy(*SIGNATURE).agg(F.sum("bridge_count").alias("total"), F.map_from_entries(F.collect_list(F.struct("sample", "bridge_count"))).alias("seen")).filter(F.col("total") >= least)
+    rows = totals.crossJoin(F.broadcast(cohort))  # one row
+    rows = rows.select(*SIGNATURE, "total", F.transform("cohort", lambda c: F.coalesce(F.element_at("seen", c["sample"]), F.lit(0)).cast("long")).alias("own"), F.transform("cohort", lambda c: F.col("total") * c["n_pairs"] / F.col("pairs")).alias("mean"))
+    rows = rows.withColumns({"least": F.array_min("own"), "most": F.array_max("own")}).filter(10 * F.col("least") <= F.col("most"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            own, mean = np.stack(b.pop("own").to_numpy()).astype(float), np.stack(b.pop("mean").to_numpy()).astype(float)
+            tail = np.minimum(1.0, 2 * np.minimum(poisson_cdf(own, mean), 1 - poisson_cdf(own - 1, mean)))
+            yield b.assign(p=np.exp(np.log(np.maximum(tail, 1e-300)).sum(1)))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("own", "mean").schema)
+    return rows.mapInPandas(run, f"{kinds}, p double").filter(F.col("p") < p_value)
 
 
 def incidental_split(bridges: DataFrame, keys: list[str] = ()) -> DataFrame:

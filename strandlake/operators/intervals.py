@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import stored
+
+#: Bins of a chromosome, at most.
+MAX_BINS = 1024
+
 
 def _bins(start: Column, stop: Column, width: int) -> Column:
     """All bin numbers that [start, stop) touches."""
@@ -61,21 +66,27 @@ def flatten_genes(genes: DataFrame) -> DataFrame:
     return steps.select("chr", F.col("pos").alias("start"), F.lead("pos").over(w).alias("stop"), depth.alias("n_genes")).filter("stop IS NOT NULL AND n_genes > 0")
 
 
-def nearest_gap(points: DataFrame, gaps: DataFrame, default: int = 10**9, width: int = 1_000_000) -> DataFrame:
+def nearest_gap(points: DataFrame, gaps: DataFrame, default: int = 10**9, rows_per_bin: int = 100_000) -> DataFrame:
     """Distance to the nearest interval of the chromosome (0 inside) and its type; (default, none) without one.
 
     Gaps need not be disjoint. Points and gap ends are put in one order; inside a
     (chromosome, bin) running windows find the nearest end on either side, and one
-    row per bin carries the nearest end of the bins before and after. No pair is
-    made, and no chromosome is one task.
+    row per bin carries the nearest end of the bins before and after. Bins are cut
+    at quantiles of the points, so dense places have as many rows as others. No
+    pair is made, and no chromosome is one task.
     """
+    points = stored(points, "gap-points")
+    n = points.count()
+    bins_ = min(MAX_BINS, n // rows_per_bin)
+    cuts = sorted(set(points.agg(F.percentile_approx("pos", [i / (bins_ + 1) for i in range(1, bins_ + 1)], 10_000)).first()[0] or [])) if bins_ else []
+    bounds = F.array(*[F.lit(int(c)) for c in cuts]).cast("array<bigint>")
     end = "struct<at:bigint,type:string>"
     none = F.lit(None).cast(end)
     left = gaps.select("chr", F.col("stop").alias("pos"), F.struct(F.col("stop").alias("at"), "type").cast(end).alias("left"), none.alias("right"), F.lit(0).alias("kind"))
     right = gaps.select("chr", F.col("start").alias("pos"), none.alias("left"), F.struct(F.col("start").alias("at"), "type").cast(end).alias("right"), F.lit(2).alias("kind"))
     mine = points.select("chr", "pos", none.alias("left"), none.alias("right"), F.lit(1).alias("kind"), F.struct(*points.columns).alias("row"))
     empty = F.lit(None).cast(mine.schema["row"].dataType)
-    both = left.withColumn("row", empty).unionByName(right.withColumn("row", empty)).unionByName(mine).withColumn("bin", F.floor(F.col("pos") / width))
+    both = left.withColumn("row", empty).unionByName(right.withColumn("row", empty)).unionByName(mine).withColumn("bin", F.size(F.filter(bounds, lambda c: c <= F.col("pos"))))
     here = Window.partitionBy("chr", "bin")
     back = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
     sides = both.withColumn("__l", F.last("left", ignorenulls=True).over(back(here.orderBy("pos", "kind")))).withColumn("__r", F.last("right", ignorenulls=True).over(back(here.orderBy(F.desc("pos"), F.desc("kind"))))).filter("kind = 1")

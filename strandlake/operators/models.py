@@ -9,60 +9,86 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import stored
+
+#: Numbers of a tile of differences between queries and points.
+KNN_TILE = 1 << 24
+
 
 def lowess_values(x: np.ndarray, y: np.ndarray, frac: float = 0.1, iterations: int = 5, delta: float = 0.01) -> np.ndarray:
-    """Cleveland's robust locally weighted regression of y on sorted x."""
+    """Cleveland's robust locally weighted regression of y on sorted x.
+
+    Fits are made at *anchors*, each the furthest point within ``delta`` of the
+    one before, all at once in pieces of bounded size; equal x share a fit, and
+    the points between two anchors are interpolated.
+    """
     n = len(x)
     if n < 2:
         return y.astype(float).copy()
-    ns = max(2, min(n, int(frac * n)))
+    size = max(2, min(n, int(frac * n)))
+    anchors = _anchors(x, delta)
+    left = _neighbourhoods(x, x[anchors], size)
     robust, fit = np.ones(n), np.zeros(n)
-    span = x[-1] - x[0]
     for _ in range(iterations + 1):
-        left, last, i = 0, -1, 0
-        while True:
-            right = left + ns - 1
-            while right < n - 1 and x[i] - x[left] > x[right + 1] - x[i]:
-                left, right = left + 1, right + 1
-            h = max(x[i] - x[left], x[right] - x[i])
-            stop = right + 1
-            while stop < n and x[stop] - x[i] <= 0.999 * h:  # ties on the right belong to the neighbourhood
-                stop += 1
-            xs, d = x[left:stop], np.abs(x[left:stop] - x[i])
-            w = np.where(d <= 0.001 * h, 1.0, np.where(d <= 0.999 * h, (1 - (d / h if h > 0 else d) ** 3) ** 3, 0.0)) * robust[left:stop]
-            total = w.sum()
-            if total > 0:
-                w = w / total
-                mean = w @ xs
-                spread = w @ (xs - mean) ** 2
-                if h > 0 and np.sqrt(spread) > 0.001 * span:
-                    w = w * (1 + (x[i] - mean) * (xs - mean) / spread)
-                fit[i] = w @ y[left:stop]
-            else:
-                fit[i] = y[i]
-            if last < i - 1:  # points between two fits are interpolated
-                between = slice(last + 1, i)
-                fit[between] = fit[last] + (fit[i] - fit[last]) * (x[between] - x[last]) / (x[i] - x[last])
-            last = i
-            cut = x[last] + delta
-            i = last + 1
-            while i < n and x[i] <= cut:
-                if x[i] == x[last]:
-                    fit[i] = fit[last]
-                    last = i
-                i += 1
-            i = max(last + 1, i - 1)
-            if last >= n - 1:
-                break
+        at = np.concatenate([_local_fits(x, y, robust, anchors[s : s + FITS], left[s : s + FITS], size) for s in range(0, len(anchors), FITS)])
+        fit = np.interp(x, x[anchors], at)
         rest = np.abs(y - fit)
-        s = np.sort(rest)
-        scale = 3 * (s[n // 2] + (s[n // 2 - 1] if n // 2 else s[0]))
+        middle = np.sort(rest)[[n // 2, max(0, n // 2 - 1)]]
+        scale = 3 * middle.sum()
         if scale <= 1e-12 * max(1.0, np.abs(y).mean()):
             break
-        robust = np.where(rest <= 0.001 * scale, 1.0, np.where(rest <= 0.999 * scale, (1 - (rest / scale) ** 2) ** 2, 0.0))
+        u = rest / scale
+        robust = np.select([u <= 0.001, u <= 0.999], [1.0, (1 - u**2) ** 2], 0.0)
     return fit
 
 
+#: Anchors that are fitted at once.
+FITS = 512
+
+
+def _anchors(x: np.ndarray, delta: float) -> np.ndarray:
+    """Positions of distinct x: from each the furthest within ``delta``, at least the next."""
+    values, first = np.unique(x, return_index=True)
+    out, k = [0], 0
+    while k < len(values) - 1:
+        k = max(k + 1, int(np.searchsorted(values, values[k] + delta, "right")) - 1)
+        out.append(k)
+    return first[np.array(out)]
+
+
+def _neighbourhoods(x: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Start of the ``size`` points nearest to each place: where the point behind the window is further than its first one."""
+    low, high = np.zeros(len(at), int), np.full(len(at), len(x) - size)
+    while (open_ := low < high).any():
+        middle = (low + high) // 2
+        nearer = at - x[middle] > x[np.minimum(middle + size, len(x) - 1)] - at
+        low, high = np.where(open_ & nearer, middle + 1, low), np.where(open_ & ~nearer, middle, high)
+    return low
+
+
+def _local_fits(x: np.ndarray, y: np.ndarray, robust: np.ndarray, anchors: np.ndarray, left: np.ndarray, size: int) -> np.ndarray:
+    """Weighted linear fits at some anchors, over the points that are no further than the furthest of each window."""
+    here = x[anchors]
+    h = np.maximum(here - x[left], x[left + size - 1] - here)
+    stop = np.maximum(left + size, np.searchsorted(x, here + 0.999 * h, "right"))  # ties at the edge belong to it
+    cells = left[:, None] + np.arange(int((stop - left).max()))
+    inside = cells < stop[:, None]
+    cells = np.where(inside, cells, 0)
+    d = np.abs(x[cells] - here[:, None])
+    u = d / np.where(h > 0, h, 1.0)[:, None]
+    w = np.select([u <= 0.001, u <= 0.999], [1.0, (1 - u**3) ** 3], 0.0) * robust[cells] * inside
+    total = w.sum(1)
+    known = total > 0
+    w = w / np.where(known, total, 1.0)[:, None]
+    mean = (w * x[cells]).sum(1)
+    off = x[cells] - mean[:, None]
+    spread = (w * off**2).sum(1)
+    slope = (h > 0) & (np.sqrt(spread) > 0.001 * (x[-1] - x[0]))
+    tilt = np.where(slope, (here - mean) / np.where(slope, spread, 1.0), 0.0)
+    w = w * (1 + tilt[:, None] * off)
+    return np.where(known, (w * y[cells]).sum(1), y[anchors])
+
+
 def lowess(df: DataFrame, keys: list[str], order: str, x: str, y: str, frac: float = 0.1, iterations: int = 5, delta: float = 0.01) -> DataFrame:
     """``smooth`` for every row; a group is one profile (its bins, some tens of thousands)."""
 
@@ -224,35 +250,37 @@ def nearest_neighbours(queries: DataFrame, points: DataFrame, k: int, block_rows
     """The k nearest points (Euclidean, ties: smaller id) of every query: (query_id, point_id, distance, rank).
 
     ``queries`` and ``points`` have id and vector. Queries are a stated set and
-    taken in blocks of bounded size; each block meets the points partition by
-    partition with one matrix product, keeps k per partition, and a top-k per
-    query merges the partitions.
+    taken in blocks of about ``block_rows``, one after the other: the driver and
+    a task hold one block at a time, whatever their number. Each task compares
+    the block with its points, a bounded tile at a time and by one formula, and
+    keeps k per query; a top-k per query merges the tasks.
     """
     q = queries.select("id", "vector")
-    n = q.count()
-    blocks = max(1, -(-n // block_rows))
-    parts = []
+    blocks = max(1, -(-q.count() // block_rows))
+    both = None
     for b in range(blocks):
-        rows = q.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
+        rows = q.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()  # bounded: one block
         ids, vectors = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float).reshape(len(rows), -1)
 
         def run(batches: Iterator[pd.DataFrame], ids=ids, vectors=vectors) -> Iterator[pd.DataFrame]:
             best_d, best_i = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
             for p in batches:
-                x = np.array(p["vector"].tolist(), float)
-                if not len(x) or not len(ids):
+                if not len(p) or not len(ids):
                     continue
-                d = np.sqrt(((vectors[:, None, :] - x[None, :, :]) ** 2).sum(2)) if x.size * len(ids) < 5e7 else np.sqrt(np.maximum((vectors**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * vectors @ x.T, 0))
-                all_d, all_i = np.concatenate([best_d, d], 1), np.concatenate([best_i, np.broadcast_to(p["id"].to_numpy(np.int64), d.shape)], 1)
-                order = np.lexsort((all_i, all_d), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
+                x, at = np.array(p["vector"].tolist(), float), p["id"].to_numpy(np.int64)
+                step = max(1, KNN_TILE // (x.shape[1] * len(ids)))
+                for s in range(0, len(x), step):
+                    d = np.sqrt(((vectors[:, None, :] - x[None, s : s + step, :]) ** 2).sum(2))
+                    all_d, all_i = np.concatenate([best_d, d], 1), np.concatenate([best_i, np.broadcast_to(at[s : s + step], d.shape)], 1)
+                    order = np.lexsort((all_i, all_d), axis=1)[:, :k]
+                    best_d, best_i = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
             keep = np.isfinite(best_d)
             yield pd.DataFrame({"query_id": np.broadcast_to(ids[:, None], keep.shape)[keep], "point_id": best_i[keep], "distance": best_d[keep]})
 
-        parts.append(points.select("id", "vector").mapInPandas(run, "query_id long, point_id long, distance double"))
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.union(p)
+        part = points.select("id", "vector").mapInPandas(run, "query_id long, point_id long, distance double")
+        if blocks > 1:  # done before the next block is fetched
+            part = stored(part, "knn-block")
+        both = part if both is None else both.union(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "point_id"))
     return both.withColumn("rank", rank).filter(F.col("rank") <= k)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dna import bases, hamming, kmers, reverse_complement
+from ..shared import stored
 
 
 def kmer_counts(df: DataFrame, seq: str, k: int, both_strands: bool = True) -> DataFrame:
@@ -111,28 +113,31 @@ def unique_matches(queries: DataFrame, reference: DataFrame, least: int, both_st
     return kept.select("query", F.col("ref.ref").alias("ref"), F.col("ref.flipped").alias("flipped"), "q_start", "r_start", "len")
 
 
-def mappability(reference: DataFrame, most: int = 254, block: int = 4) -> DataFrame:
+def mappability(reference: DataFrame, most: int = 254, block: int = 8) -> DataFrame:
     """Shortest unique length to the right (low) and to the left (high) of every base: (ref, pos, low, high).
 
     255: not unique before the end of its chromosome; ``most`` (254): longer than
     can be told. Suffixes are sorted inside blocks of equal first characters, and
     each is compared with its neighbours there: the longest common prefix plus
     one. Blocks are separate groups of one window; two suffixes of different
-    blocks share less than ``block`` characters, which short block counts tell.
+    blocks share less than ``block`` characters, which is told by how many
+    suffixes begin with each shorter prefix: tables of a few thousand rows.
     """
     out = []
     for name, seq in (("low", F.col("seq")), ("high", F.reverse("seq"))):
         s = reference.select("ref", seq.alias("seq"), F.length("seq").alias("n")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         s = s.select("ref", "n", "i", F.substring(F.col("seq"), F.col("i") + 1, F.lit(most + 1)).alias("suffix"))
+        heads = stored(s.groupBy(F.substring("suffix", 1, block - 1).alias("head")).agg(F.count("*").alias("m")), "suffix-heads")
         w = Window.partitionBy(F.substring("suffix", 1, block)).orderBy("suffix", "ref", "i")
         near = s.withColumn("before", F.lag("suffix").over(w)).withColumn("after", F.lead("suffix").over(w))
         near = near.withColumn("shared", F.greatest(*[F.coalesce(_common_prefix(F.col("suffix"), F.col(x)), F.lit(0)) for x in ("before", "after")]))
         # what a suffix shares with other blocks: the longest prefix of it that others begin with
-        for k in range(1, block):
-            key = F.substring("suffix", 1, k)
-            near = near.withColumn(f"n{k}", F.when(F.length("suffix") >= k, F.count("*").over(Window.partitionBy(key))).otherwise(1))
-        others = F.greatest(F.lit(0), *[F.when(F.col(f"n{k}") > 1, k).otherwise(0) for k in range(1, block)])
-        least = F.greatest("shared", others) + 1
+        long = [heads.select("m", F.substring("head", 1, k).alias("head")).filter(F.length("head") == k).groupBy("head").agg(F.sum("m").alias("m")).filter("m > 1").select("head", F.lit(k).alias("k")) for k in range(1, block)]
+        shared = reduce(DataFrame.union, long)
+        own = heads.select("head").withColumn("p", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("head"), F.lit(1))), lambda k: F.substring("head", F.lit(1), k))))
+        others = own.join(shared.withColumnRenamed("head", "p"), "p").groupBy("head").agg(F.max("k").alias("others"))
+        near = near.withColumn("head", F.substring("suffix", 1, block - 1)).join(others, "head", "left")
+        least = F.greatest("shared", F.coalesce("others", F.lit(0))) + 1
         m = F.when(least > F.col("n") - F.col("i"), 255).when(least > most, most).otherwise(least)
         pos = F.col("i") if name == "low" else F.col("n") - 1 - F.col("i")
         out.append(near.select("ref", pos.alias("pos"), m.cast("int").alias(name)))
