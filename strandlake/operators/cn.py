@@ -15,6 +15,7 @@ from ..functions.stats import mad, mad_in_row, upper_median
 from ..shared import stored
 from .intervals import depth, genes_in_intervals, overlap_join, peaks, point_join, run_lengths
 from .models import lowess
+from .simulate import uniform
 
 #: Copy states told apart, smallest ratio, and the score above which an event passes.
 STATES, LEAST_RATIO, PASS_SCORE = 20, 0.01, 7.0
@@ -329,7 +330,7 @@ def simulate_mixture(spark, n_bins: int, samples: int, share: float, event: tupl
     """Counts per bin of samples in which a share of cells has an event (first bin, last bin, copies)."""
     rows = spark.range(samples).select(F.col("id").alias("sample"), F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
     copies = F.when(F.col("bin").between(event[0], event[1]), 2 * (1 - share) + event[2] * share).otherwise(2.0)
-    unit = lambda salt: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "sample", "bin"), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
+    unit = lambda salt: 1 - uniform(seed, F.lit(salt), F.col("sample"), F.col("bin"))
     normal = F.sqrt(-2 * F.log(unit(1))) * F.cos(2 * math.pi * unit(2))
     m = copies * mean / 2
     return rows.withColumn("expected", m).withColumn("count", F.greatest(F.lit(0), F.round(m + F.sqrt(m) * normal)).cast("long"))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def uniform(seed: int, *key: Column) -> Column:
-    """A number in [0, 1) that depends on the seed and the key only."""
-    return F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 40)) / float(1 << 40)
+    """A number in [0, 1) that depends on the seed and the key only: the first 52 bits of a digest of their text."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in key]).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / float(1 << 52)
 
 
 def random_positions(spark: SparkSession, n: int, chromosomes: DataFrame, seed: int) -> DataFrame:

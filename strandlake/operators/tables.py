@@ -173,7 +173,8 @@ def genome_sort(df: DataFrame, chromosomes: DataFrame, line: Column, chr_col: st
 
 def shuffle_rows(df: DataFrame, seed: int, *key: str) -> DataFrame:
     """Rows in an order that depends only on the seed and the key columns."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *[F.col(k) for k in key or df.columns]))
+    names = list(key or df.columns)
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("")) for k in names]).cast("binary")), *names)
 
 
 def subsample(df: DataFrame, n: int, seed: int, *key: str) -> DataFrame:

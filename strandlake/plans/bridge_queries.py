@@ -58,7 +58,14 @@ def _(t):
     return br.read_support(t.mums).select("pair_id", "ord", "low_support", "high_support")
 
 
-@query("mate_support")
+_FOLD = "{{'n': {}, 'lo': {}, 'hi': {}, 'chr': x.chr, 'pos': x.pos, 'len': x.len, 'flipped': x.flipped}}"
+
+
+@query("mate_support", f"""WITH {m.MUMS}, rp AS (SELECT *, {m.READPOS} AS readpos FROM mums), s AS (SELECT *, min(pos) OVER g AS seen_low, max(pos + len - 1) OVER g AS seen_high FROM rp WINDOW g AS (PARTITION BY pair_id, read_2, chr, flipped, readpos)),
+mt AS (SELECT pair_id, NOT read_2 AS read_2, list({{'n': CAST(0 AS BIGINT), 'lo': pos, 'hi': pos, 'chr': chr, 'pos': pos, 'len': len, 'flipped': flipped}} ORDER BY ord DESC) AS mates FROM mums GROUP BY 1, 2),
+j AS (SELECT s.pair_id, s.ord, s.chr, s.pos, s.flipped, [{{'n': CAST(0 AS BIGINT), 'lo': seen_low, 'hi': CAST(seen_high AS BIGINT), 'chr': s.chr, 'pos': s.pos, 'len': s.len, 'flipped': s.flipped}}] || coalesce(mates, []) AS xs FROM s LEFT JOIN mt USING (pair_id, read_2))
+SELECT pair_id, ord, list_reduce(xs, lambda a, x: CASE WHEN x.chr = j.chr AND x.flipped <> j.flipped AND CASE WHEN j.flipped THEN NOT (x.pos >= a.lo OR j.pos > x.pos + 1000) ELSE NOT (x.pos + x.len - 1 <= a.hi OR x.pos > j.pos + 1000) END
+  THEN {_FOLD.format("CAST(a.n + CASE WHEN j.flipped THEN least(a.lo, x.pos + x.len) - x.pos ELSE x.pos + x.len - greatest(a.hi + 1, x.pos) END AS BIGINT)", "least(a.lo, x.pos)", "CAST(greatest(a.hi, x.pos + x.len - 1) AS BIGINT)")} ELSE a END).n AS mate_support FROM j""")
 def _(t):
     """Bases that the mate adds, an ordered fold."""
     return br.mate_support(br.read_support(t.mums)).select("pair_id", "ord", "mate_support")

@@ -231,15 +231,22 @@ def _(t):
     return models.grid_density(g, "x", "y", 3.0, 3.0).select("id", "density")
 
 
-@query("simulated_mixture")
+_U = "CAST('0x' || substr(md5({}), 1, 13) AS BIGINT) / 4503599627370496.0"
+
+
+@query("simulated_mixture", f"WITH r AS (SELECT s AS sample, CAST(b AS INTEGER) AS bin, CASE WHEN b BETWEEN 50 AND 80 THEN 2 * 0.5 + 3 * 0.5 ELSE 2.0 END * 100 / 2 AS expected, 1 - {_U.format("concat_ws('|', 1, 1, s, b)")} AS u, 1 - {_U.format("concat_ws('|', 1, 2, s, b)")} AS v FROM range(10) t(s), range(200) w(b)) "
+       "SELECT sample, bin, CAST(expected AS DOUBLE) AS expected, CAST(greatest(0, round(expected + sqrt(expected) * sqrt(-2 * ln(u)) * cos(2 * pi() * v))) AS BIGINT) AS count FROM r")
 def _(t):
     """Counts of a simulated mixture."""
     return cn.simulate_mixture(t.spark, 200, 10, 0.5, (50, 80, 3))
 
 
-@query("simulated_events")
+@query("simulated_events", f"""WITH genome AS (SELECT CAST(r_regionkey AS INTEGER) AS chr, CAST(2000 * (r_regionkey + 1) AS BIGINT) AS len, coalesce(sum(2000 * (r_regionkey + 1)) OVER (ORDER BY r_regionkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM region WHERE r_regionkey < 3),
+e AS (SELECT i AS id, CAST(floor({_U.format("'9|' || i")} * (SELECT sum(len) FROM genome)) AS BIGINT) AS abspos, CAST(floor({_U.format("'10|' || i")} * 500) + 1 AS BIGINT) AS size, ['deletion', 'insertion', 'inversion', 'translocation'][CAST(floor({_U.format("'11|' || i")} * 4) AS INTEGER) + 1] AS type FROM range(300) t(i)),
+f AS (SELECT CAST(i AS INTEGER) AS family, m AS member, i || '-' || m AS sample FROM range(20) t(i), (SELECT unnest(['mother', 'father', 'proband', 'sibling']) AS m)), k AS (SELECT *, CAST('0x' || substr(md5('0|' || sample), 1, 7) AS BIGINT) % 300 AS k FROM f)
+SELECT id, chr, CAST(abspos - o AS BIGINT) AS start, CAST(abspos - o + size AS BIGINT) AS stop, type, sample FROM e JOIN genome ON o <= abspos AND abspos < o + len LEFT JOIN k ON id = k.k""")
 def _(t):
     """Simulated events and families."""
     e = simulate.simulate_events(t.spark, 300, t.chromosomes, 500, 9)
-    f = simulate.families(t.spark, 20, 9).withColumn("k", F.pmod(F.xxhash64("sample"), F.lit(300)))
+    f = simulate.families(t.spark, 20, 9).withColumn("k", F.conv(F.substring(F.md5(F.concat(F.lit("0|"), "sample").cast("binary")), 1, 7), 16, 10).cast("long") % 300)
     return e.join(f, F.col("id") == F.col("k"), "left").select("id", "chr", "start", "stop", "type", "sample")

@@ -286,25 +286,29 @@ def _(t):
     return tables.union_same_header([t.region, t.region])
 
 
-@query("random_order")
+@query("random_order", "SELECT * FROM orders")
 def _(t):
     """All rows in a seeded random order."""
     return tables.shuffle_rows(t.orders, 7, "o_orderkey")
 
 
-@query("subsample")
+@query("subsample", "SELECT * FROM orders ORDER BY md5('7|' || o_orderkey), o_orderkey LIMIT 100")
 def _(t):
     """100 rows, each as likely as any other (a sampling operator)."""
     return tables.subsample(t.orders, 100, 7, "o_orderkey")
 
 
-@query("random_positions")
+_UNIFORM = "CAST('0x' || substr(md5({}), 1, 13) AS BIGINT) / 4503599627370496.0"
+_GENOME = "genome AS (SELECT CAST(r_regionkey AS INTEGER) AS chr, CAST(2000 * (r_regionkey + 1) AS BIGINT) AS len, coalesce(sum(2000 * (r_regionkey + 1)) OVER (ORDER BY r_regionkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM region WHERE r_regionkey < 3)"
+
+
+@query("random_positions", f"WITH {_GENOME}, u AS (SELECT i AS id, CAST(floor({_UNIFORM.format("'5|' || i")} * (SELECT sum(len) FROM genome)) AS BIGINT) AS abspos FROM range(1000) t(i)) SELECT id, abspos, chr, CAST(abspos - o AS BIGINT) AS pos FROM u JOIN genome ON o <= abspos AND abspos < o + len")
 def _(t):
     """Uniform genome positions."""
     return simulate.random_positions(t.spark, 1000, t.chromosomes, 5)
 
 
-@query("random_draws")
+@query("random_draws", f"WITH n AS (SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS row_ FROM supplier), u AS (SELECT i AS draw, CAST(floor({_UNIFORM.format("'3|' || i")} * (SELECT count(*) FROM supplier)) AS BIGINT) AS place FROM range(200) t(i)) SELECT draw, n.* EXCLUDE (row_) FROM u JOIN n ON place = row_")
 def _(t):
     """Draws with replacement."""
     return simulate.sample_rows(t.supplier, 200, 3, "s_suppkey")

@@ -52,6 +52,6 @@ def test_query_equals_sql(spark, con, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["lowess", "hmm", "equal_mass_bins", "subsample", "random_positions", "tandem_repeats", "simulated_mixture"])
+@pytest.mark.parametrize("name", ["lowess", "hmm", "equal_mass_bins", "tandem_repeats", "state_calls", "unequal_counts"])
 def test_query_runs(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
