@@ -111,7 +111,7 @@ def population_database(bridges: DataFrame, samples: DataFrame, relations: tuple
     there are samples; bridges without effect and those with one read in every
     sample are left out.
     """
-    own = bridges.join(F.broadcast(samples.filter(F.col("relation").isin(*relations)).select("sample")), "sample")  # a cohort's sample list
+    own = bridges.join(samples.filter(F.col("relation").isin(*relations)).select("sample"), "sample")
     counts = F.sort_array(F.collect_list("bridge_count"))
     out = own.groupBy(*SIGNATURE).agg(
         F.count("*").alias("n_people"), F.sum("bridge_count").alias("n_bridges"), F.get(counts, F.floor(F.count("*") / 2).cast("int")).alias("median_bridges"), F.max("bridge_count").alias("max_bridges")

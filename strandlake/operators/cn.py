@@ -233,7 +233,7 @@ def population_ranks(called: DataFrame) -> DataFrame:
 
 def pedigree_calls(called: DataFrame, samples: DataFrame, near: float = 0.25) -> DataFrame:
     """Children's events: transmitted if a parent has the same call or is within ``near`` copies, de novo otherwise."""
-    own = called.join(F.broadcast(samples.select("sample", "family", "relation")), "sample")
+    own = called.join(samples.select("sample", "family", "relation"), "sample")
     kids = own.filter("relation = 'child' AND call <> 'norm'")
     parents = own.filter("relation = 'parent'").groupBy("family", "chr", "start", "stop").agg(F.collect_set("call").alias("p_calls"), F.collect_list("fcopy").alias("p_copies"))
     met = kids.join(parents, ["family", "chr", "start", "stop"], "left")
@@ -303,7 +303,7 @@ def stable_bins(profile: DataFrame) -> DataFrame:
     """Bins whose ratios range over the samples by no more than the upper median range of their region."""
     spread = profile.groupBy("bin", "region").agg((F.max("ratio") - F.min("ratio")).alias("range"))
     usual = upper_median(spread, ["region"], "range", "usual")
-    return spread.join(F.broadcast(usual), "region").filter(F.col("range") <= F.col("usual"))
+    return spread.join(F.broadcast(usual), "region").filter(F.col("range") <= F.col("usual"))  # one row per region
 
 
 def pair_key(fragments: Column) -> Column:

@@ -1,7 +1,8 @@
 """Cuts on bridges by family and population.
 
 ``samples``: sample, family, member (mother, father, proband, sibling), relation
-(parent or child), sex. It is a cohort's list and always the small side.
+(parent or child), sex. It is a cohort's list; the planner broadcasts it where its
+size allows.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ MODES = {
 
 def families_seen(bridges: DataFrame, samples: DataFrame) -> DataFrame:
     """Per bridge: families, samples, and parent and child totals."""
-    own = bridges.join(F.broadcast(samples.select("sample", "family", "relation")), "sample")
+    own = bridges.join(samples.select("sample", "family", "relation"), "sample")
     parent = F.col("relation") == "parent"
     return own.groupBy(*SIGNATURE).agg(
         F.count_distinct("family").alias("n_families"), F.count("*").alias("n_samples"), F.sum("bridge_count").alias("total"),
@@ -64,7 +65,7 @@ def families_seen(bridges: DataFrame, samples: DataFrame) -> DataFrame:
 
 def family_maxima(bridges: DataFrame, samples: DataFrame) -> DataFrame:
     """Per bridge and family: largest counts and supports, parents and children with it."""
-    own = bridges.join(F.broadcast(samples.select("sample", "family", "relation", "member")), "sample")
+    own = bridges.join(samples.select("sample", "family", "relation", "member"), "sample")
     parent = F.col("relation") == "parent"
     return own.groupBy(*SIGNATURE, "family").agg(
         *[F.max(c).alias(c) for c in ("bridge_count", "anchor1_len", "anchor2_len", "mate1_len", "mate2_len", "mate1_count", "mate2_count")],
@@ -100,7 +101,7 @@ def with_mates(rows: DataFrame, cuts: Cuts) -> DataFrame:
 
 def denovo(bridges: DataFrame, samples: DataFrame) -> DataFrame:
     """Children's bridges that no parent of their family has: an anti-join."""
-    own = bridges.join(F.broadcast(samples.select("sample", "family", "relation")), "sample")
+    own = bridges.join(samples.select("sample", "family", "relation"), "sample")
     kids, parents = own.filter("relation = 'child'"), own.filter("relation = 'parent'").select(*SIGNATURE, "family").distinct()
     return kids.join(parents, [*SIGNATURE, "family"], "left_anti")
 
@@ -120,7 +121,7 @@ def max_other_family(bridges: DataFrame, samples: DataFrame) -> DataFrame:
 
 def transmission(bridges: DataFrame, samples: DataFrame, t1: int = 10, t2: int = 2) -> DataFrame:
     """Bridges of one parent (count >= t1, the other parent <= t2), and how many children of each sex have them."""
-    own = bridges.join(F.broadcast(samples.select("sample", "family", "relation", "sex")), "sample")
+    own = bridges.join(samples.select("sample", "family", "relation", "sex"), "sample")
     parent = F.col("relation") == "parent"
     fam = own.groupBy(*SIGNATURE, "family").agg(
         F.max(F.when(parent, F.col("bridge_count"))).alias("parent_max"), F.min(F.when(parent, F.col("bridge_count"))).alias("parent_min"), F.count_if(parent).alias("n_parents"),
@@ -131,5 +132,5 @@ def transmission(bridges: DataFrame, samples: DataFrame, t1: int = 10, t2: int =
 
 def member_counts(bridges: DataFrame, samples: DataFrame) -> DataFrame:
     """Bridges and pairs per member type and sex."""
-    own = bridges.join(F.broadcast(samples.select("sample", "member", "sex")), "sample")
+    own = bridges.join(samples.select("sample", "member", "sex"), "sample")
     return own.groupBy("member", "sex").agg(F.count("*").alias("n_bridges"), F.sum("bridge_count").alias("n_pairs"), F.max("bridge_count").alias("max_bridge"))

@@ -88,7 +88,7 @@ def table_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     # a subset is told only where there are values of the other kind
     everything = stats.filter("subset = 'all'").select("column", F.col("n").alias("all_n"), (F.col("minimum") < 0).alias("has_negative"), (F.col("minimum") == F.col("maximum")).alias("constant"))
     keep = (F.col("subset") == "all") | (~F.col("constant") & (F.col("n") < F.col("all_n")))
-    stats = stats.join(F.broadcast(everything), "column").filter(keep).drop("all_n", "has_negative", "constant")
+    stats = stats.join(F.broadcast(everything), "column").filter(keep).drop("all_n", "has_negative", "constant")  # one row per column
     return stats.join(mad(rows, ["column", "subset"], "value", wide=True), ["column", "subset"])
 
 
