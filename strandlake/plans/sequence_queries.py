@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dna
+from ..operators import assembly as asm
 from ..operators import sequence as sq
 from ..operators import store as st
+from ..shared import stored
 from ..sources import readers as rd
 from . import model as m
 from .registry import query
@@ -183,3 +185,27 @@ def _(t):
 def _(t):
     """Matches in genome order."""
     return st.index(t.store)
+
+
+_EDGES = f"d AS (SELECT {_DNA.format('text')} AS s FROM benchmark), e AS (SELECT kmer, count(*) AS n FROM (SELECT substr(s, CAST(i AS BIGINT) + 1, {{k}}) AS kmer FROM (SELECT s, unnest(range(length(s) - {{k}} + 1)) AS i FROM d WHERE length(s) >= {{k}})) GROUP BY 1)"
+
+
+def _graph(t, k):
+    return asm.edges(t.benchmark.select(as_dna("text").alias("seq")), k)
+
+
+@query("unitigs", f"""WITH RECURSIVE {_EDGES.format(k=9)}, x AS (SELECT kmer, n, substr(kmer, 1, 8) AS a, substr(kmer, 2) AS b FROM e), i AS (SELECT b AS node, count(*) AS n_in FROM x GROUP BY 1), o AS (SELECT a AS node, count(*) AS n_out FROM x GROUP BY 1),
+node AS (SELECT coalesce(i.node, o.node) AS node, coalesce(n_in, 0) AS n_in, coalesce(n_out, 0) AS n_out FROM i FULL JOIN o ON i.node = o.node), through AS (SELECT node FROM node WHERE n_in = 1 AND n_out = 1),
+w AS (SELECT kmer AS p, kmer AS unitig, b AS last, 1 AS n_edges, n AS total FROM x WHERE a NOT IN (SELECT node FROM through) UNION ALL SELECT w.p, w.unitig || substr(x.kmer, 9), x.b, w.n_edges + 1, w.total + x.n FROM w JOIN x ON x.a = w.last WHERE w.last IN (SELECT node FROM through)),
+best AS (SELECT p, arg_max(unitig, n_edges) AS unitig, max(n_edges) AS n_edges, arg_max(total, n_edges) AS total, arg_max(last, n_edges) AS last FROM w GROUP BY 1)
+SELECT unitig, CAST(n_edges AS BIGINT) AS n_edges, round(total / n_edges, 6) AS mean_count, f.n_in AS starts, l.n_out AS ends FROM best JOIN node f ON f.node = substr(p, 1, 8) JOIN node l ON l.node = last""")
+def _(t):
+    """Unbranched paths of the k-mer graph (the benchmark's has no cycle apart)."""
+    return asm.unitigs(_graph(t, 9)).withColumn("mean_count", F.round("mean_count", 6))
+
+
+@query("mismatch_counts", f"WITH {_EDGES.format(k=12)} SELECT a.kmer, CAST(hamming(a.kmer, b.kmer) AS INTEGER) AS mismatches, CAST(sum(b.n) AS BIGINT) AS n FROM e a JOIN e b ON hamming(a.kmer, b.kmer) <= 2 GROUP BY 1, 2")
+def _(t):
+    """K-mers within two mismatches of each k-mer."""
+    g = stored(_graph(t, 12), "kmers")
+    return asm.mismatch_counts(g.select("kmer"), g, 2)
