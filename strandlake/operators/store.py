@@ -83,49 +83,51 @@ def mark_duplicates(store: DataFrame, keys: tuple[str, ...] = ("sample",)) -> Da
     return rows.withColumn("dupe", mapped & (F.row_number().over(same) > 1)).drop("__a", "__b")
 
 
-def with_support(store: DataFrame) -> DataFrame:
-    """Add to every match low_support and high_support (co-linear matches of its read), seen_low, seen_high and mate_support."""
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: a one-element array is its scope."""
+    return F.get(F.transform(F.array(value), body), 0)
+
 
-    def near(m: Column, y: Column) -> Column:
-        return (y["read_2"] == m["read_2"]) & (y["chr"] == m["chr"]) & (y["flipped"] == m["flipped"]) & (_readpos(y) == _readpos(m))
+def with_support(store: DataFrame) -> DataFrame:
+    """Add to every match readpos, low_support and high_support (co-linear matches of its read), seen_low, seen_high and mate_support."""
+    rows = once(store, "matches", F.transform("matches", lambda m: F.struct(*[m[c].alias(c) for c in FIELDS], _readpos(m).alias("readpos"))))
+    zero = F.lit(0).cast("int")
 
     def support(m: Column) -> Column:
+        same = F.filter("matches", lambda y: (y["readpos"] == m["readpos"]) & (y["read_2"] == m["read_2"]) & (y["chr"] == m["chr"]) & (y["flipped"] == m["flipped"]))
+
         def step(acc: Column, y: Column) -> Column:
-            mine, n = near(m, y), y["len"]
+            n = y["len"]
             return F.struct(
-                (acc["before"] + F.when(mine & (y["ord"] < m["ord"]), n).otherwise(0)).alias("before"), (acc["after"] + F.when(mine & (y["ord"] > m["ord"]), n).otherwise(0)).alias("after"),
-                F.when(mine, F.least(acc["lo"], y["pos"])).otherwise(acc["lo"]).alias("lo"), F.when(mine, F.greatest(acc["hi"], y["pos"] + n - 1)).otherwise(acc["hi"]).alias("hi"),
+                (acc["before"] + F.when(y["ord"] < m["ord"], n).otherwise(0)).alias("before"), (acc["after"] + F.when(y["ord"] > m["ord"], n).otherwise(0)).alias("after"),
+                F.least(acc["lo"], y["pos"]).alias("lo"), F.greatest(acc["hi"], y["pos"] + n - 1).alias("hi"),
             )
 
-        zero = F.lit(0).cast("int")
         start = F.struct(zero.alias("before"), zero.alias("after"), m["pos"].alias("lo"), (m["pos"] + m["len"] - 1).alias("hi"))
-        return F.aggregate("matches", start, step, lambda s: F.struct(
-            *[m[c].alias(c) for c in FIELDS], _readpos(m).alias("readpos"),
-            (m["len"] + F.when(m["flipped"], s["after"]).otherwise(s["before"])).cast("int").alias("low_support"),
-            (m["len"] + F.when(m["flipped"], s["before"]).otherwise(s["after"])).cast("int").alias("high_support"), s["lo"].alias("seen_low"), s["hi"].alias("seen_high"),
+        # most matches are alone on their line
+        around = _bound(same, lambda ys: F.when(F.size(ys) == 1, start).otherwise(F.aggregate(ys, start, step)))
+        return _bound(around, lambda s: F.struct(
+            *[m[c].alias(c) for c in FIELDS], m["readpos"].alias("readpos"), (m["len"] + F.when(m["flipped"], s["after"]).otherwise(s["before"])).cast("int").alias("low_support"),
+            (m["len"] + F.when(m["flipped"], s["before"]).otherwise(s["after"])).cast("int").alias("high_support"), s["lo"].alias("seen_low"), s["hi"].alias("seen_high"), mates(m, s["lo"], s["hi"]).alias("mate_support"),
         ))
 
-    rows = once(store, "matches", F.transform("matches", support))
-    back = F.reverse("matches")
-
-    def mates(m: Column) -> Column:
+    def mates(m: Column, low: Column, high: Column) -> Column:
         """An ordered fold over the mate's matches, from the last to the first, that keeps the range seen so far."""
+        own = F.filter("matches", lambda x: (x["read_2"] != m["read_2"]) & (x["chr"] == m["chr"]) & (x["flipped"] != m["flipped"]))
 
         def step(acc: Column, x: Column) -> Column:
             end = x["pos"] + x["len"] - 1
-            usable = (x["read_2"] != m["read_2"]) & (x["chr"] == m["chr"]) & (x["flipped"] != m["flipped"])
             far = F.when(~m["flipped"], (end <= acc["hi"]) | (x["pos"] > m["pos"] + MAX_MATE_DISTANCE)).otherwise((x["pos"] >= acc["lo"]) | (m["pos"] > x["pos"] + MAX_MATE_DISTANCE))
             gain = F.when(~m["flipped"], end - F.greatest(acc["hi"] + 1, x["pos"]) + 1).otherwise(F.least(acc["lo"], end + 1) - x["pos"])
-            take = usable & ~far
             return F.struct(
-                (acc["n"] + F.when(take, gain).otherwise(0)).cast("long").alias("n"), F.when(take, F.least(acc["lo"], x["pos"])).otherwise(acc["lo"]).cast("long").alias("lo"),
-                F.when(take, F.greatest(acc["hi"], end)).otherwise(acc["hi"]).cast("long").alias("hi"),
+                (acc["n"] + F.when(far, 0).otherwise(gain)).cast("long").alias("n"), F.when(far, acc["lo"]).otherwise(F.least(acc["lo"], x["pos"])).cast("long").alias("lo"),
+                F.when(far, acc["hi"]).otherwise(F.greatest(acc["hi"], end)).cast("long").alias("hi"),
             )
 
-        start = F.struct(F.lit(0).cast("long").alias("n"), m["seen_low"].cast("long").alias("lo"), m["seen_high"].cast("long").alias("hi"))
-        return F.aggregate(back, start, step, lambda s: m.withField("mate_support", s["n"]))
+        start = F.struct(F.lit(0).cast("long").alias("n"), low.cast("long").alias("lo"), high.cast("long").alias("hi"))
+        return _bound(own, lambda xs: F.when(F.size(xs) == 0, F.lit(0).cast("long")).otherwise(F.aggregate(F.reverse(xs), start, step, lambda acc: acc["n"])))
 
-    return once(rows, "matches", F.transform("matches", mates))
+    return once(rows, "matches", F.transform("matches", support))
 
 
 def bridges(store: DataFrame, *columns: str, least: int = MIN_SUPPORT, exclude_snps: bool = False) -> DataFrame:
@@ -135,36 +137,41 @@ def bridges(store: DataFrame, *columns: str, least: int = MIN_SUPPORT, exclude_s
     (dupe) are left out where the store says which they are.
     """
     rows = store.filter(~F.col("dupe")) if "dupe" in store.columns else store
-    rows = with_support(rows)
+    # a bridge takes two matches of one read
+    rows = with_support(rows.filter(F.size("matches") > 1))
     good = (lambda m: ~F.when(m["read_2"], F.col("bad2")).otherwise(F.col("bad1"))) if "bad1" in store.columns else (lambda m: F.lit(True))
-
-    def end(m: Column, high: Column, mate: Column) -> Column:
-        return F.struct(m["chr"].alias("chr"), anchor_position(m["pos"], m["len"], high).alias("pos"), high.alias("high"), F.when(high, m["low_support"]).otherwise(m["high_support"]).alias("anchor"), mate.alias("mate"))
+    high = {0: lambda a: ~a["flipped"], 1: lambda b: b["flipped"]}  # the side of the earlier and of the later match
+    anchor = lambda m, k: F.when(high[k](m), m["low_support"]).otherwise(m["high_support"])
+    place = lambda m, k: anchor_position(m["pos"], m["len"], high[k](m))
 
     def bridge(a: Column, b: Column) -> Column:
         # both base positions lie between the matches in the read; the mate lies on the far side of the later match only
         offset = (b["off"] - (a["off"] + a["len"] - 1)).cast("int")
-        return F.struct(end(a, ~a["flipped"], F.lit(0).cast("long")).alias("x"), end(b, b["flipped"], b["mate_support"]).alias("y"), offset.alias("offset"))
-
-    def turned(e: Column) -> Column:
-        x, y = e["x"], e["y"]
-        first = F.when(x["chr"] != y["chr"], x["chr"] > y["chr"]).when(x["pos"] != y["pos"], x["pos"] < y["pos"]).otherwise(x["high"] | ~y["high"])
-        return F.struct(F.when(first, x).otherwise(y).alias("p"), F.when(first, y).otherwise(x).alias("q"), e["offset"].alias("offset"))
+        none = F.lit(0).cast("long")
 
-    later = lambda a: F.filter("matches", lambda b: (b["read_2"] == a["read_2"]) & (b["ord"] > a["ord"]))
-    met = F.flatten(F.transform(F.filter("matches", good), lambda a: F.transform(later(a), lambda b: bridge(a, b))))
-    rows = once(rows, "matches", met).select("pair_id", *columns, F.transform(F.filter("matches", lambda e: (e["x"]["anchor"] >= least) & (e["y"]["anchor"] >= least)), turned).alias("ends"))
+        def turned(first: Column) -> Column:
+            side = lambda x, y: F.when(first, x).otherwise(y)
+            one = F.struct(
+                side(a["chr"], b["chr"]).alias("chr1"), side(place(a, 0), place(b, 1)).alias("pos1"), side(high[0](a), high[1](b)).alias("high1"),
+                side(b["chr"], a["chr"]).alias("chr2"), side(place(b, 1), place(a, 0)).alias("pos2"), side(high[1](b), high[0](a)).alias("high2"), offset.alias("offset"),
+            )
+            return F.struct(
+                one.alias("s"), side(anchor(a, 0), anchor(b, 1)).alias("anchor1_len"), side(anchor(b, 1), anchor(a, 0)).alias("anchor2_len"),
+                side(none, b["mate_support"]).alias("mate1_len"), side(b["mate_support"], none).alias("mate2_len"),
+            )
 
-    def named(e: Column) -> Column:
-        p, q = e["p"], e["q"]
-        signature = F.struct(p["chr"].alias("chr1"), p["pos"].alias("pos1"), p["high"].alias("high1"), q["chr"].alias("chr2"), q["pos"].alias("pos2"), q["high"].alias("high2"), e["offset"].alias("offset"))
-        return F.struct(signature.alias("s"), p["anchor"].alias("anchor1_len"), q["anchor"].alias("anchor2_len"), p["mate"].alias("mate1_len"), q["mate"].alias("mate2_len"))
+        x, y = place(a, 0), place(b, 1)
+        return _bound(F.when(a["chr"] != b["chr"], a["chr"] > b["chr"]).when(x != y, x < y).otherwise(high[0](a) | ~high[1](b)), turned)
 
-    rows = once(rows.filter(F.size("ends") > 0), "ends", F.transform("ends", named))
+    later = lambda a: F.filter("matches", lambda b: (b["read_2"] == a["read_2"]) & (b["ord"] > a["ord"]) & (anchor(b, 1) >= least))
+    met = F.flatten(F.transform(F.filter("matches", lambda a: good(a) & (anchor(a, 0) >= least)), lambda a: F.transform(later(a), lambda b: bridge(a, b))))
+    rows = once(rows, "matches", met).filter(F.size("matches") > 0).select("pair_id", *columns, F.col("matches").alias("ends"))
     # a signature counts once a pair, with the largest supports
+    flat_ = lambda e: F.struct(*[e["s"][c].alias(c) for c in SIGNATURE], *[e[c].alias(c) for c in SUPPORT])
     most = lambda s, c: F.array_max(F.transform(F.filter("ends", lambda e: e["s"] == s), lambda e: e[c])).alias(c)
-    distinct = F.transform(F.array_distinct(F.transform("ends", lambda e: e["s"])), lambda s: F.struct(*[s[c].alias(c) for c in SIGNATURE], *[most(s, c) for c in SUPPORT]))
-    out = rows.select("pair_id", *columns, F.explode(distinct).alias("b")).select("pair_id", *columns, "b.*")
+    merged = lambda ss: F.transform(ss, lambda s: F.struct(*[s[c].alias(c) for c in SIGNATURE], *[most(s, c) for c in SUPPORT]))
+    distinct = _bound(F.array_distinct(F.transform("ends", lambda e: e["s"])), lambda ss: F.when(F.size(ss) == F.size("ends"), F.transform("ends", flat_)).otherwise(merged(ss)))
+    out = rows.select("pair_id", *columns, F.inline(distinct))
     if exclude_snps:
         out = out.filter((F.col("chr1") != F.col("chr2")) | (invariant(F.col("high1"), F.col("pos1"), F.col("high2"), F.col("pos2"), F.col("offset")) != 0))
     return out
