@@ -66,10 +66,12 @@ def long_form(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def column_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """n, mean, seom, stdev, skew, upper median, minimum, maximum per numeric column."""
-    rows = long_form(df, columns or numeric_columns(df)).filter("value IS NOT NULL")
-    m = moments(F.col("value"))
-    stats = rows.groupBy("column").agg(*[m[k].alias(k) for k in ("n", "mean", "seom", "stdev", "skew", "minimum", "maximum")])
-    return stats.join(wide_upper_median(rows, ["column"], "value"), "column")
+    columns = columns or numeric_columns(df)
+    kinds = ("n", "mean", "seom", "stdev", "skew", "minimum", "maximum")
+    # the moments of all columns in one row, without a row per cell
+    row = df.agg(*[F.struct(F.lit(c).alias("column"), *[moments(F.col(f"`{c}`").cast("double"))[k].alias(k) for k in kinds]).alias(f"c{i}") for i, c in enumerate(columns)])
+    stats = row.select(F.inline(F.array(*[f"c{i}" for i in range(len(columns))]))).filter("n > 0")
+    return stats.join(wide_upper_median(long_form(df, columns).filter("value IS NOT NULL"), ["column"], "value"), "column")
 
 
 def table_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -238,21 +238,21 @@ def _(t):
 @query("coverage_at", f"""WITH {m.MUMS}, p AS (SELECT DISTINCT chr, pos + 5 AS pos FROM mums) SELECT p.chr, p.pos, count(*) AS n_mums, count(DISTINCT pair_id) AS n_pairs FROM p JOIN mums u ON u.chr = p.chr AND u.pos <= p.pos AND p.pos < u.pos + u.len GROUP BY 1, 2""")
 def _(t):
     """Matches and distinct pairs over positions."""
-    return br.coverage_at(t.mums, t.mums.select("chr", (F.col("pos") + 5).alias("pos")).distinct())
+    return br.coverage_at(t.placed, t.placed.select("chr", (F.col("pos") + 5).alias("pos")).distinct())
 
 
 @query("anchor_counts", f"""WITH {m.MUMS}, s AS (SELECT pair_id, chr, len, pos AS a, unnest(range(pos, pos + len)) AS pos FROM mums)
 SELECT chr, pos, count(DISTINCT pair_id) FILTER (pos <> a AND pos <> a + len - 1) AS reference, count(DISTINCT pair_id) FILTER (pos = a) AS low_anchor, count(DISTINCT pair_id) FILTER (pos = a + len - 1) AS high_anchor, max(len) AS max_support FROM s GROUP BY 1, 2""")
 def _(t):
     """Reference and anchor counts per base."""
-    return br.anchor_counts(t.mums)
+    return br.anchor_counts(t.placed)
 
 
 @query("mappable_coverage", f"""WITH {m.MUMS}, {_MAPPA}, s AS (SELECT chr, len, unnest(range(pos, pos + len)) AS pos FROM mums)
 SELECT s.chr, s.pos, count(*) AS n, count(*) FILTER (low + 8 <= len) AS n_low, count(*) FILTER (high + 8 <= len) AS n_high FROM s JOIN mappa m ON s.chr = m.chr AND s.pos = m.pos GROUP BY 1, 2""")
 def _(t):
     """Coverage under a mappability condition."""
-    s = t.mums.select("chr", "len", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("len") - 1)).alias("pos"))
+    s = t.placed.select("chr", "len", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("len") - 1)).alias("pos"))
     return s.join(mappa(t), ["chr", "pos"]).groupBy("chr", "pos").agg(F.count("*").alias("n"), F.count_if(F.col("low") + 8 <= F.col("len")).alias("n_low"), F.count_if(F.col("high") + 8 <= F.col("len")).alias("n_high"))
 
 

@@ -13,7 +13,7 @@ from .registry import query
 @query("fine_counts", f"WITH {m.MUMS} SELECT chr, pos, count(*) AS count FROM mums GROUP BY 1, 2")
 def _(t):
     """A10: counts per base, by parts that add up."""
-    a, b = t.mums.filter("NOT read_2"), t.mums.filter("read_2")
+    a, b = t.placed.filter("NOT read_2"), t.placed.filter("read_2")
     return cn.add_fine_counts([cn.fine_counts(a), cn.fine_counts(b)])
 
 

@@ -125,7 +125,7 @@ x AS (SELECT *, coalesce(max(CASE WHEN p + run > pos + len THEN 1 ELSE 0 END) OV
 SELECT chr, pos, len, arg_max(run, p) AS mappability FROM x WHERE stopped = 0 GROUP BY 1, 2, 3""")
 def _(t):
     """Running minimum of mappability with its early stop."""
-    return iv.range_mappability(t.mums.select("chr", "pos", "len").distinct(), mappa(t))
+    return iv.range_mappability(t.placed.select("chr", "pos", "len").distinct(), mappa(t))
 
 
 @query("base_track", f"""WITH {m.GENES}, c AS (SELECT chr, p FROM (SELECT DISTINCT chr FROM genes WHERE start < 400 AND stop > 200), range(200, 400) t(p))

@@ -63,6 +63,14 @@ class Tables:
     def mums(self) -> DataFrame:
         return st.flat(self.reads)
 
+    @cached_property
+    def placed(self) -> DataFrame:
+        """Matches by place only, for what needs no order in the read: a projection."""
+        return self.lineitem.select(
+            F.col("l_orderkey").alias("pair_id"), (F.col("l_suppkey") % 3).cast("int").alias("chr"), ((F.col("l_partkey") % 12) * 100).cast("long").alias("pos"), (20 + F.col("l_quantity").cast("int") % 3).cast("int").alias("len"),
+            (F.col("l_linestatus") == "F").alias("read_2"),
+        )
+
     @cached_property
     def store(self) -> DataFrame:
         """The match store: one row per order with its matches, read lengths, bad reads by order priority, and the sample."""

@@ -89,7 +89,7 @@ def _(t):
 def _(t):
     """Dense counts per base as raw integers, written and read in blocks."""
     path = scratch(t, "finebins")
-    wr.write_finebins(cn.fine_counts(t.mums), t.chromosomes, path)
+    wr.write_finebins(cn.fine_counts(t.placed), t.chromosomes, path)
     return rd.read_finebins(t.spark, path, 500)
 
 
@@ -118,7 +118,7 @@ SELECT chr, pos, CAST(CASE WHEN total > lim THEN 0 ELSE n END AS BIGINT) AS coun
 def _(t):
     """Population counts per base, sexes apart on X and Y, and bases above the cut."""
     region = F.when(F.col("chr") == 0, "auto").when(F.col("chr") == 1, "X").otherwise("Y")
-    mums = t.mums.join(t.pairs.select("pair_id", "sample"), "pair_id").join(t.samples.select("sample", "sex"), "sample")
+    mums = t.placed.join(t.orders.select(F.col("o_orderkey").alias("pair_id"), (F.col("o_custkey") % 20).cast("int").alias("sample")), "pair_id").join(t.samples.select("sample", "sex"), "sample")
     counts = mums.groupBy("chr", "pos", region.alias("region"), "sex").agg(F.count("*").alias("count"))
     return cn.empirical_counts(counts, 1.1).select("chr", "pos", "count", rounded("total").alias("total"), "bad")
 
