@@ -151,7 +151,7 @@ def rounded(x: Column | str, n: int = 6) -> Column:
 
 #: SQL of the same mappings. Each piece is a list of common table expressions.
 MUMS = """
-m0 AS (SELECT l_orderkey AS pair_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS INTEGER) AS ord, CAST(l_suppkey % 3 AS INTEGER) AS chr,
+m0 AS (SELECT l_orderkey AS pair_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, CAST(trunc(l_quantity) AS INTEGER) % 3, l_returnflag = 'R', l_linestatus = 'F') - 1 AS INTEGER) AS ord, CAST(l_suppkey % 3 AS INTEGER) AS chr,
   CAST((l_partkey % 12) * 100 AS BIGINT) AS pos, CAST(20 + CAST(trunc(l_quantity) AS INTEGER) % 3 AS INTEGER) AS len, l_returnflag = 'R' AS flipped, l_linestatus = 'F' AS read_2 FROM lineitem),
 m1 AS (SELECT *, CAST(coalesce(sum(len + 1) OVER (PARTITION BY pair_id, read_2 ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS off FROM m0),
 mums AS (SELECT *, CAST(max(off + len) OVER (PARTITION BY pair_id, read_2) AS INTEGER) AS read_len, ord = max(ord) OVER (PARTITION BY pair_id, read_2) AS last_hit FROM m1)"""
