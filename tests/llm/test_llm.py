@@ -409,7 +409,7 @@ def test_licenses(spark):
     wrapped = "# Licensed under the\n#  Apache License,\n * Version 2.0\n\nint main();"
     texts = [f"some text\n{line}\nmore", "nothing here at all", None, "", line, "Released under the MIT Licence.", "word", LONG, inside, wrapped, f"{line} {line}", "x " * 30_000 + inside]
     got = {(r.doc_id, r.license, r.segment, round(r.dice, 3)) for r in licenses.scan(docs(spark, texts)).collect()}
-    assert got == {(i, "Apache-2.0", "licensed under the apache license version 2 0", 1.0) for i in (0, 4, 8, 9, 10, 11)}
+    assert got == {(i, "Apache-2.0", "licensed under the apache license version 2 0", 1.0) for i in (0, 4, 8, 9, 10, 11)} | {(5, "MIT", "released under the mit", 0.857)}  # 3 of 3 and 4 pairs
     own = spark.createDataFrame([(1, "X", "a a b a a b"), (2, "Y", "a"), (3, None, None), (4, "X", "")], "template int, license string, text string")
     hits = {(r.doc_id, round(r.dice, 3)) for r in licenses.scan(docs(spark, ["a a b a a b", "a a b a a c", "b a a b a a b a"]), own, 0.5).collect()}
     assert hits == {(0, 1.0), (1, 0.889), (2, 1.0)}
