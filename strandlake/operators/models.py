@@ -285,13 +285,95 @@ def nearest_neighbours(queries: DataFrame, points: DataFrame, k: int, block_rows
     return both.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+#: Places of a task of the density, on either side, and of a leaf of its trees. Cells further out than FAR share one.
+DENSITY_PLACES, DENSITY_LEAF, FAR = 250_000, 128, float(1 << 40)
+
+
+def _boxes(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+    """A tree of halves along the wider side: an order of the points, and (from, to, least x, greatest x, least y, greatest y, children) by node."""
+    order = np.arange(len(x))
+    nodes: list[tuple] = [()]
+    todo = [(0, 0, len(x))]
+    while todo:
+        k, a, b = todo.pop()
+        mine = order[a:b]
+        box = float(x[mine].min()), float(x[mine].max()), float(y[mine].min()), float(y[mine].max())
+        child = 0
+        if b - a > DENSITY_LEAF:
+            along, half = (x if box[1] - box[0] >= box[3] - box[2] else y), (b - a) // 2
+            order[a:b] = mine[np.argpartition(along[mine], half)]
+            child = len(nodes)
+            nodes += [(), ()]
+            todo += [(child, a, a + half), (child + 1, a + half, b)]
+        nodes[k] = a, b, *box, child
+    return order, nodes
+
+
+def near_counts(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, n: np.ndarray, radius: float) -> np.ndarray:
+    """For every (x, y), the sum of n over the (px, py) within ``radius``.
+
+    Boxes that lie wholly inside or outside of the radius are decided at once,
+    by the same formula as single points (which rounding keeps in order); only
+    leaves across its edge are compared point by point.
+    """
+    out, most = np.zeros(len(x), np.int64), radius * radius
+    if not len(x) or not len(px):
+        return out
+    (order, left), (p_order, right) = _boxes(x, y), _boxes(px, py)
+    x, y, px, py, n = x[order], y[order], px[p_order], py[p_order], n[p_order]
+    total = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+    todo = [(0, 0)]
+    while todo:
+        k, m = todo.pop()
+        a, b, x0, x1, y0, y1, child = left[k]
+        pa, pb, px0, px1, py0, py1, p_child = right[m]
+        dx, dy = max(0.0, x0 - px1, px0 - x1), max(0.0, y0 - py1, py0 - y1)
+        if dx * dx + dy * dy > most:
+            continue
+        dx, dy = max(x1 - px0, px1 - x0), max(y1 - py0, py1 - y0)
+        if dx * dx + dy * dy <= most:
+            out[a:b] += total[pb] - total[pa]
+        elif not child and not p_child:
+            dx, dy = x[a:b, None] - px[None, pa:pb], y[a:b, None] - py[None, pa:pb]
+            out[a:b] += np.where(dx * dx + dy * dy <= most, n[pa:pb], 0).sum(1)
+        elif child and (not p_child or b - a >= pb - pa):
+            todo += [(child, m), (child + 1, m)]
+        else:
+            todo += [(k, p_child), (k, p_child + 1)]
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
 def grid_density(df: DataFrame, x: str, y: str, cell: float, radius: float) -> DataFrame:
-    """Points within ``radius`` (at most one cell) of each point, itself included: an equi-join on grid cells."""
+    """Different rows within ``radius`` (at most one cell) of each, itself included; rows without a finite place are near none and left out.
+
+    Rows at one place count as one place with a number. Each cell meets the
+    places of the cells around it, in parts of bounded size, and counts by
+    :func:`near_counts`; no pair of rows is made.
+    """
     if radius > cell:
         raise ValueError("radius must not exceed the cell size")
-    a = df.withColumn("cx", F.floor(F.col(x) / cell)).withColumn("cy", F.floor(F.col(y) / cell))
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    b = a.select(F.col(x).alias("bx"), F.col(y).alias("by"), F.col("cx").alias("ox"), F.col("cy").alias("oy")).withColumn("s", F.explode(steps))
-    b = b.select("bx", "by", (F.col("ox") + F.col("s.i")).alias("cx"), (F.col("oy") + F.col("s.j")).alias("cy"))
-    near = F.pow(F.col(x) - F.col("bx"), 2) + F.pow(F.col(y) - F.col("by"), 2) <= radius * radius
-    return a.join(b, ["cx", "cy"]).groupBy(*df.columns).agg(F.count_if(near).alias("density"))
+    width = cell * (1 + 1e-9)  # a difference that rounds to the radius never skips a cell
+    rows = df.distinct()
+    finite = lambda c: F.abs(F.col(c)) < F.lit(float("inf"))
+    at = lambda c: F.floor(F.greatest(F.least(F.col(c) / width, F.lit(FAR)), F.lit(-FAR)))
+    places = rows.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter(finite("x") & finite("y")).groupBy("x", "y").agg(F.count("*").alias("n"))
+    places = stored(places.withColumn("cx", at("x")).withColumn("cy", at("y")), "density-places")
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    around = lambda d: d.withColumn("s", steps).withColumn("cx", F.col("cx") + F.col("s.i")).withColumn("cy", F.col("cy") + F.col("s.j")).drop("s")
+    parts = lambda c: F.ceil(F.sum(c) / DENSITY_PLACES)
+    cells = places.groupBy("cx", "cy").agg(F.count("*").alias("k"))
+    tasks = cells.groupBy("cx", "cy").agg(parts("k").alias("own")).join(around(cells).groupBy("cx", "cy").agg(parts("k").alias("near")), ["cx", "cy"])
+    part = lambda c: F.pmod(F.xxhash64("x", "y"), F.col(c))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    mine = places.join(tasks, ["cx", "cy"]).select("cx", "cy", part("own").alias("p"), every("near").alias("q"), "x", "y", F.lit(0).cast("long").alias("n"))
+    theirs = around(places).join(tasks, ["cx", "cy"]).select("cx", "cy", every("own").alias("p"), part("near").alias("q"), "x", "y", "n")
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        a, b = p[p["n"] == 0], p[p["n"] > 0]
+        return pd.DataFrame({"x": a["x"], "y": a["y"], "density": near_counts(*(d[c].to_numpy() for d, c in ((a, "x"), (a, "y"), (b, "x"), (b, "y"), (b, "n"))), radius)})
+
+    counts = mine.unionByName(theirs).groupBy("cx", "cy", "p", "q").applyInPandas(run, "x double, y double, density long")
+    counts = counts.groupBy(F.col("x").alias("__x"), F.col("y").alias("__y")).agg(F.sum("density").alias("density"))
+    return rows.join(counts, (F.col(x).cast("double") == F.col("__x")) & (F.col(y).cast("double") == F.col("__y"))).select(*df.columns, "density")

@@ -228,7 +228,7 @@ def _(t):
 def _(t):
     """Density by grid cells."""
     g = t.part.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 10).alias("y"))
-    return models.grid_density(g, "x", "y", 3.0, 3.0).select("id", "density")
+    return models.grid_density(g, "x", "y", 3.0, 3.0).groupBy("id").agg(F.sum("density").alias("density"))
 
 
 _U = "CAST('0x' || substr(md5({}), 1, 13) AS BIGINT) / 4503599627370496.0"
