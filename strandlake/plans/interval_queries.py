@@ -143,5 +143,5 @@ SELECT (SELECT count(DISTINCT x) FROM h) AS found, (SELECT count(*) FROM a) - (S
 @query("truth_comparison", _TRUTH_SQL)
 def _(t):
     """Known against called events."""
-    s = t.intervals.withColumn("id", F.xxhash64("user_id", "start", "stop", "type"))
+    s = t.intervals
     return iv.found_missed_false(s.filter("user_id % 2 = 0"), s.filter("user_id % 2 = 1"))
